@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaweave.llm import chat_format, language_id, quality_rules
-from schemaweave.llm.shared import remainder, stored, tune
+from schemaweave.llm import chat_format, language_id, neighbour_quality, quality_rules, token_files
+from schemaweave.llm.shared import remainder, shared_path, stored, tune
+
+#: Where the public tokenizers' files are; the operators take paths as parameters.
+TOKENIZERS = "/opt/tokenizers"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +23,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "tokens")
+    token_files.write(table(spark, sf_dir, "documents"), path, f"{TOKENIZERS}/word_bpe_49k.json")
+    return token_files.read(spark, path, digests=True)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     measures = stored(quality_rules.measure(docs, F.col("lang")), "measures")
@@ -44,8 +53,17 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = remainder(F.col("doc_id"), 5) == 0
+    model = neighbour_quality.fit(docs, labels, ~held)
+    scored = neighbour_quality.score_rows(docs.select("doc_id", "text"), model)
+    score = F.col(neighbour_quality.SCORE)
+    return scored.select("doc_id", held.alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
-    return {"op1_language_id": op1_language_id, "op3_quality_rules": op3_quality_rules, "op6_chat_format": op6_chat_format}
+    return {"op1_language_id": op1_language_id, "op2_token_files": op2_token_files, "op3_quality_rules": op3_quality_rules, "op6_chat_format": op6_chat_format, "op9_neighbour_quality": op9_neighbour_quality}
 
 
 OP6_SQL = r"""
