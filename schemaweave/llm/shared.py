@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Python workers see this much text at once, however large a partition is.
 BATCH_BYTES = 4 << 20
 BATCH_ROWS = 2000
+#: A side with more rows than this isn't broadcast.
+BROADCAST_ROWS = 10_000
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -52,5 +54,8 @@ def bounded_sample(df: DataFrame, by: str, doc_id: str, bound: int) -> DataFrame
     Counts per value are gathered first; a row stays if its hash lies below bound / count.
     """
     rates = df.groupBy(by).agg(F.least(F.lit(1.0), F.lit(float(bound)) / F.count("*")).alias("__rate"))
+    few = rates.limit(BROADCAST_ROWS + 1).toArrow()
+    if few.num_rows <= BROADCAST_ROWS:  # else a plain join
+        rates = F.broadcast(df.sparkSession.createDataFrame(few)) if few.num_rows else rates
     share = F.pmod(F.xxhash64(F.col(doc_id), F.lit(7)), F.lit(1 << 24)) / float(1 << 24)
     return df.join(rates, by).where(share < F.col("__rate"))
