@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaweave.llm import chat_format, language_id, neighbour_quality, quality_rules, token_files
+from schemaweave.llm import chat_format, language_id, near_duplicates, neighbour_quality, quality_rules, token_files
 from schemaweave.llm.shared import remainder, shared_path, stored, tune
 
 #: Where the public tokenizers' files are; the operators take paths as parameters.
@@ -53,6 +53,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op9_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = remainder(F.col("doc_id"), 5) == 0
@@ -63,7 +67,7 @@ def op9_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_language_id": op1_language_id, "op2_token_files": op2_token_files, "op3_quality_rules": op3_quality_rules, "op6_chat_format": op6_chat_format, "op9_neighbour_quality": op9_neighbour_quality}
+    return {"op1_language_id": op1_language_id, "op2_token_files": op2_token_files, "op3_quality_rules": op3_quality_rules, "op6_chat_format": op6_chat_format, "op7_near_duplicates": op7_near_duplicates, "op9_neighbour_quality": op9_neighbour_quality}
 
 
 OP6_SQL = r"""
