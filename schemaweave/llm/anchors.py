@@ -35,22 +35,28 @@ def _least(values: np.ndarray, span: int) -> np.ndarray:
     return values
 
 
-def elect(items: np.ndarray, bounds: np.ndarray, k: int, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all anchors, ascending, and the hashes of their k-grams. bounds: items before each row."""
+def elect(items: np.ndarray, bounds: np.ndarray, k: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors in ascending order: place, hash of the k-gram, first and last window that elects it.
+
+    bounds: items before each row. Only windows within a row count.
+    """
     window = span + k - 1
     stop = np.repeat(bounds[1:], np.diff(bounds))
-    places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
+    found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for at in range(0, len(items) - window + 1, _CHUNK):
         part = items[at : at + _CHUNK + window - 1]
         grams = rolling_hashes(part, k)
         key = (grams & ~_PLACE) | np.arange(len(grams), dtype=U64)
         best = (_least(key, span) & _PLACE).astype(np.int64)
-        first = at + np.arange(len(best))
-        best = best[first + window <= stop[at : at + len(best)]]
+        first = np.flatnonzero(at + np.arange(len(best)) + window <= stop[at : at + len(best)])
+        best = best[first]
         if len(best):
-            best = best[np.append(True, best[1:] != best[:-1])]
-            places.append(best + at)
-            hashes.append(grams[best])
-    place, value = np.concatenate(places), np.concatenate(hashes)
-    new = np.append(True, place[1:] != place[:-1]) if len(place) else np.zeros(0, bool)
-    return place[new], value[new]
+            new = np.flatnonzero(np.append(True, best[1:] != best[:-1]))
+            last = first[np.append(new[1:], len(best)) - 1]
+            found.append((best[new] + at, grams[best[new]], first[new] + at, last + at))
+    place, value, first, last = map(np.concatenate, zip(*found, strict=True))
+    if not len(place):
+        return place, value, first, last
+    new = np.append(True, place[1:] != place[:-1])  # an anchor may go on into the next chunk
+    end = np.append(np.flatnonzero(new)[1:], len(place)) - 1
+    return place[new], value[new], first[new], last[end]

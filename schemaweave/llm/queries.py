@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaweave.llm import chat_format, language_id, near_duplicates, neighbour_quality, quality_rules, token_files
+from schemaweave.llm import chat_format, language_id, near_duplicates, neighbour_quality, quality_rules, substring_dedup, suffix_dedup, token_files
 from schemaweave.llm.shared import remainder, shared_path, stored, tune
 
 #: Where the public tokenizers' files are; the operators take paths as parameters.
@@ -36,6 +36,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(measures, certified).select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents"), window=200)
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
     probe = spark.range(1).select(F.lit(-1).cast("bigint").alias("conv_id"), F.inline(F.array(*[F.struct(F.lit(i).cast("bigint").alias("turn"), F.lit(r).alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")) for i, r in enumerate(("user", "assistant"))])))
@@ -66,8 +70,12 @@ def op9_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeated_words(table(spark, sf_dir, "documents"), window=20)
+
+
 def queries() -> dict:
-    return {"op1_language_id": op1_language_id, "op2_token_files": op2_token_files, "op3_quality_rules": op3_quality_rules, "op6_chat_format": op6_chat_format, "op7_near_duplicates": op7_near_duplicates, "op9_neighbour_quality": op9_neighbour_quality}
+    return {"op1_language_id": op1_language_id, "op2_token_files": op2_token_files, "op3_quality_rules": op3_quality_rules, "op5_suffix_dedup": op5_suffix_dedup, "op6_chat_format": op6_chat_format, "op7_near_duplicates": op7_near_duplicates, "op9_neighbour_quality": op9_neighbour_quality, "op10_substring_dedup": op10_substring_dedup}
 
 
 OP6_SQL = r"""
