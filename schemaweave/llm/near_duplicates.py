@@ -5,18 +5,20 @@ the SKETCH smallest hashes. Documents with equal sets form a class with one
 representative. Then, among representatives:
 
 1. Inverted lists of the LISTED smallest values bring together documents that share one.
-   Each pair of a short list is a candidate. A pair with Jaccard 0.85 shares none of 16
-   values with probability 0.15 ** 16.
+   Pairs of short lists count how many lists they share: a pair with Jaccard 0.85 shares
+   fewer than LEAST of 16 values with probability 6e-9.
 2. A document in a long list (a passage or family that many documents share) also gets
    BANDS keys of ROWS values each, all drawn from its sketch, which only similar sketches
    share: a pair at 0.85 has none in common with probability (1 - 0.85 ** 6) ** 50, 5e-11.
-   Long lists and large band groups are compared with their smallest document first.
+   Large band groups are compared with their most central document only.
 3. The union sketch of a pair (the SKETCH smallest of both) estimates its Jaccard
-   similarity; pairs far below the threshold are dropped (5.5 standard deviations).
-4. The rest are verified on full sets. Where a large group still has more than one
-   component, all its pairs across components are estimated and verified as well, so
-   hubs only save work and lose no link.
-5. Components of the verified links; the smallest id of each is kept.
+   similarity; pairs 5.5 standard deviations below the threshold are dropped.
+4. The rest are verified on full sets.
+5. Large groups that still hold more than one component are compared exactly, block by
+   block: full sets of two blocks of about BLOCK documents make one group of a shuffle, a
+   matrix product counts what each pair shares, and only links between components leave
+   it. So a central document only saves work, and no link is lost.
+6. Components of the links; the smallest id of each is kept.
 
 Cases: a text with fewer than five words is one shingle, its whole sequence; without
 words its set is empty and it is linked with nothing. A null id has a null
@@ -35,14 +37,16 @@ from pyspark.sql import functions as F
 
 from schemaweave.llm.arrays import U64, lowered, mixed, row_sums, span_hashes, text_bytes, text_slices, window_hashes, window_starts, words
 from schemaweave.llm.components import components
-from schemaweave.llm.shared import stored
+from schemaweave.llm.shared import matching, stored
 
 WIDTH = 5
 SKETCH = 128
 LISTED = 16
 SHORT = 32
+LEAST = 4
 BANDS = 50
 ROWS = 6
+BLOCK = 512
 _SIGN = U64(1 << 63)
 
 
@@ -82,8 +86,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.diff(bounds)
         small = np.arange(len(values)) - np.repeat(bounds[:-1], n) < SKETCH
         prints = [row_sums(mixed(values ^ U64(seed)).view(np.int64), bounds) for seed in (0x1234567, 0x89ABCDEF01)]
-        kept = np.append(0, np.cumsum(np.minimum(n, SKETCH)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), *map(pa.array, prints), _lists(values[small], kept)], ["doc_id", "n", "print_a", "print_b", "sketch"])
+        low = np.arange(len(values)) - np.repeat(bounds[:-1], n) < LISTED
+        lists = [_lists(values[of], np.append(0, np.cumsum(np.minimum(n, k)))) for of, k in ((low, LISTED), (small, SKETCH))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), *map(pa.array, prints), *lists], ["doc_id", "n", "print_a", "print_b", "low", "sketch"])
 
 
 _MULTIPLY = mixed(np.arange(1, BANDS * ROWS + 1, dtype=U64)) | U64(1)
@@ -112,10 +117,11 @@ def _in_range(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _all_pairs(groups: DataFrame, percent: int) -> DataFrame:
+def _all_pairs(groups: DataFrame, percent: int, extra: tuple[str, ...] = ()) -> DataFrame:
     """The pairs of groups(key, doc_id, n) of bounded size, as (a, b) with a < b."""
-    one, two = (groups.select("key", F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-    return one.join(two, "key").where((F.col("a") < F.col("b")) & _in_range(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+    one, two = (groups.select("key", F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", *extra)]) for x in "ab")
+    pairs = one.join(two, "key").where((F.col("a") < F.col("b")) & _in_range(F.col("n_a"), F.col("n_b"), percent))
+    return pairs.select("a", "b", *[f"{c}_{x}" for c in extra for x in "ab"])
 
 
 def _estimated(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -165,47 +171,83 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary())], ["doc_id", "shingles"])
 
 
-def _across(groups: DataFrame, roots: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """Pairs of large groups across components, where one side is outside the group's main component."""
-    placed = groups.join(roots, groups["doc_id"] == roots["node"], "left").select("key", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
-    sums = placed.groupBy("key", "root").agg(F.count("*").alias("m"))
-    main = sums.groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-    split = placed.join(main, "key")
-    minor = split.where("root <> main").select("key", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a"))
-    every = split.select("key", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r_b"))
-    pairs = minor.join(every, "key").where((F.col("r_a") != F.col("r_b")) & _in_range(F.col("n_a"), F.col("n_b"), percent))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+def _shared(rows: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of the sets have in common."""
+    values = np.concatenate(rows)
+    of = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    names, place, count = np.unique(values, return_inverse=True, return_counts=True)
+    column = np.cumsum(count > 1) - 1  # a value of one set only is shared by none
+    of, place = of[count[place] > 1], column[place[count[place] > 1]]
+    out = np.zeros((len(rows), len(rows)), np.float32)
+    for at in range(0, int((count > 1).sum()), 4096):
+        here = (place >= at) & (place < at + 4096)
+        part = np.zeros((len(rows), 4096), np.float32)
+        part[of[here], place[here] - at] = 1
+        out += part @ part.T
+    return out.astype(np.int64)
+
+
+def _across(large: DataFrame, hubs: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components of the verified links within families: documents joined by large groups."""
+    family = components(hubs)
+    placed = large.select("doc_id").distinct().join(family.select(F.col("node").alias("doc_id"), F.col("root").alias("family")), "doc_id")
+    placed = placed.join(roots, placed["doc_id"] == roots["node"], "left").select("family", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    sizes = placed.groupBy("family", "root").agg(F.count("*").alias("m")).groupBy("family").agg(F.sum("m").alias("m"), F.count("*").alias("parts"))
+    blocks = placed.join(sizes.where("parts > 1"), "family").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    own = blocks.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = own.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "root")
+    filled = dealt.join(matching(sets, "doc_id", placed, "doc_id"), "doc_id")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("doc_id")
+        rows = [np.frombuffer(x, np.int64) for x in table.column("shingles").to_pylist()]
+        shared = _shared(rows)
+        n = np.array([len(x) for x in rows])
+        ids, root = table.column("doc_id").to_numpy(), table.column("root").to_numpy()
+        a, b = np.nonzero(100 * shared >= percent * (n[:, None] + n[None] - shared))
+        apart = root[a] < root[b]
+        a, b = a[apart], b[apart]
+        _, one = np.unique(np.stack([root[a], root[b]]), axis=1, return_index=True) if len(a) else (None, np.zeros(0, np.int64))
+        return pa.table({"a": ids[a[one]], "b": ids[b[one]]})
+
+    return filled.groupBy("family", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    sketched = stored(rows.mapInArrow(_sketch, "doc_id bigint, n bigint, print_a bigint, print_b bigint, sketch array<bigint>"), "sketches")
+    sketched = stored(rows.mapInArrow(_sketch, "doc_id bigint, n bigint, print_a bigint, print_b bigint, low array<bigint>, sketch array<bigint>"), "sketches")
     full = sketched.where("n > 0 and doc_id is not null")
     classes = full.groupBy("n", "print_a", "print_b").agg(F.min("doc_id").alias("rep"))
     members = full.select("doc_id", "n", "print_a", "print_b").join(classes, ["n", "print_a", "print_b"]).select("doc_id", "rep")
-    reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", "sketch")
-
-    listed = reps.select(F.explode(F.slice("sketch", 1, LISTED)).alias("key"), "doc_id", "n")
-    sizes = listed.groupBy("key").agg(F.count("*").alias("m"), F.min("doc_id").alias("hub")).where("m > 1")
-    lists = stored(listed.join(sizes, "key"), "lists")
-    short = _all_pairs(lists.where(F.col("m") <= SHORT), percent)
-    long = lists.where(F.col("m") > SHORT)
-    banded = reps.join(long.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_bands, "key bigint, doc_id bigint, n bigint")
-    band_sizes = banded.groupBy("key").agg(F.count("*").alias("m"), F.min("doc_id").alias("hub")).where("m > 1")
-    bands = stored(banded.join(band_sizes, "key"), "bands")
-    large = bands.where(F.col("m") > SHORT)
-    hubs = large.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
-    pairs = short.unionByName(_all_pairs(bands.where(F.col("m") <= SHORT), percent)).unionByName(hubs).distinct()
-    likely = stored(_estimated(pairs, reps, percent), "likely")
-
+    listed = full.select("doc_id", "n", "low").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.explode("low").alias("key"), "doc_id", "n")
+    sketches = full.select("doc_id", "n", "sketch")
+
+    sizes = listed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    long_of = F.count_if(F.col("m") > SHORT).over(Window.partitionBy("doc_id"))
+    lists = stored(listed.join(sizes, "key").withColumn("long", long_of), "lists")
+    pairs = _all_pairs(lists.where(F.col("m") <= SHORT), percent, ("long",)).groupBy("a", "b").agg(F.count("*").alias("c"), F.max(F.least("long_a", "long_b")).alias("more"))
+    overlapping = pairs.where(F.col("c") + F.col("more") >= LEAST).select("a", "b")
+
+    crowded = stored(lists.where(F.col("m") > SHORT).select("doc_id").distinct(), "crowded")
+    banded = matching(sketches, "doc_id", crowded, "doc_id").join(crowded, "doc_id", "left_semi").mapInArrow(_bands, "key bigint, doc_id bigint, n bigint")
+    banded = stored(banded, "bands")
+    bands = banded.join(banded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key")
+    large = stored(bands.where(F.col("m") > SHORT), "bands")
+    centre = large.join(large.groupBy("doc_id").agg(F.sum("m").alias("met")), "doc_id")
+    hub = centre.groupBy("key").agg(F.max_by("doc_id", F.struct("met", "doc_id")).alias("hub"))
+    hubs = stored(large.join(hub, "key").where("doc_id <> hub").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct(), "hubs")
+    candidates = stored(overlapping.unionByName(_all_pairs(bands.where(F.col("m") <= SHORT), percent)).unionByName(hubs).distinct(), "pairs")
+
+    def ends(df: DataFrame) -> DataFrame:
+        return df.select(F.inline(F.array(F.struct(F.col("a").alias("doc_id")), F.struct(F.col("b").alias("doc_id"))))).distinct()
+
+    likely = stored(_estimated(candidates, matching(sketches, "doc_id", ends(candidates), "doc_id"), percent), "likely")
     # Full sets only of documents that have a candidate.
-    wanted = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).unionByName(large.select("doc_id")).distinct()
-    sets = stored(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id bigint, shingles binary"), "sets")
+    wanted = stored(ends(likely).unionByName(large.select("doc_id")).distinct(), "wanted")
+    sets = stored(matching(rows, "doc_id", wanted, "doc_id").join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id bigint, shingles binary"), "sets")
     links = stored(_verified(likely, sets, percent), "verified")
-    roots = components(links)
-    rest = stored(_estimated(_across(large.select("key", "doc_id", "n"), roots, likely, percent), reps, percent), "likely")
-    more = stored(_verified(rest, sets, percent), "verified")
+    more = stored(_across(large, hubs, components(links), sets, percent), "verified")
     final = components(links.unionByName(more).unionByName(members.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
 
     out = sketched.select("doc_id", F.col("n").alias("n_shingles")).join(final, F.col("doc_id") == F.col("node"), "left")

@@ -11,7 +11,7 @@ What both substring operators share. A window is W consecutive items of one docu
    from its text; the operators compare these contexts' windows with each other.
 
 Counts are combined before shuffling, no group is gathered, and texts move only if a
-bitmap of fixed size (see matching()) can't rule them out.
+bitmap of fixed size (see shared.matching()) can't rule them out.
 """
 
 from __future__ import annotations
@@ -27,9 +27,7 @@ from pyspark.sql import functions as F
 
 from schemaweave.llm.anchors import elect
 from schemaweave.llm.arrays import U64, mixed, span_hashes, text_bytes, text_slices, words
-from schemaweave.llm.shared import stored
-
-_BITMAP_WORDS = 1 << 18
+from schemaweave.llm.shared import matching, stored
 
 
 @dataclass(frozen=True)
@@ -61,21 +59,6 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return stored(placed.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"), "keyed")
 
 
-def matching(rows: DataFrame, key: str, side: DataFrame, side_key: str) -> DataFrame:
-    """The rows whose key may occur in `side`, by a bitmap of 16 million bits.
-
-    It saves shuffling: what it lets pass is joined as usual, and when full it lets all pass.
-    """
-    place = lambda c: F.xxhash64(F.col(c), F.lit(11))
-    word = lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(_BITMAP_WORDS - 1))
-    bit = lambda h: h.bitwiseAND(F.lit(63)).cast("int")
-    h = place(side_key)
-    bits = side.groupBy(word(h).alias("__word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit(h))).alias("__bits"))
-    h = place(key)
-    found = rows.join(F.broadcast(bits), word(h) == F.col("__word"))  # at most _BITMAP_WORDS rows
-    return found.where(F.call_function("shiftright", "__bits", bit(h)).bitwiseAND(F.lit(1)) == 1).select(*rows.columns)
-
-
 def _at(place: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """An anchor's place, and how far before it its last and first window start."""
     return place << 16 | (place - last) << 8 | (place - first)
