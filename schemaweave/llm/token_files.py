@@ -22,10 +22,14 @@ columns are read. A text longer than a shard makes one longer shard.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +45,9 @@ BITS = (64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 BLOCK = 1024
 SHARD_IDS = 1 << 17
 _MAGIC = b"S8W1"
-_CACHED_WORDS = 250_000
+_CACHED_WORDS = 600_000
+#: Fixed value: the split pattern for which _ASCII_PIECES holds.
+_KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -127,58 +133,129 @@ def unpack(payload: bytes, first_block: int = 0, last_block: int | None = None)
     return out[: min(n, last_block * BLOCK) - first_block * BLOCK]
 
 
-class _Words(dict):
-    """Gives each word a number; a new word is kept to be encoded."""
+class _Numbered(dict):
+    """Gives each key a number; a new key is kept to be encoded."""
 
     def __init__(self) -> None:
-        self.new: list[bytes] = []
+        self.new: list = []
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
+    def __missing__(self, key: bytes) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
         return n
 
 
+class _Lists:
+    """Lists of numbers end to end."""
+
+    def __init__(self) -> None:
+        self.values, self.first, self.count, self.n, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32), 0, 0
+
+    def one(self, n: int) -> list[int]:
+        return self.values[self.first[n] : self.first[n] + self.count[n]].tolist()
+
+    def add(self, sizes: np.ndarray, values: np.ndarray) -> None:
+        while self.n + len(sizes) > len(self.first):
+            self.first, self.count = (np.append(x, np.zeros_like(x)) for x in (self.first, self.count))
+        while self.used + len(values) > len(self.values):
+            self.values = np.append(self.values, np.zeros_like(self.values))
+        self.first[self.n : self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.count[self.n : self.n + len(sizes)] = sizes
+        self.values[self.used : self.used + len(values)] = values
+        self.n, self.used = self.n + len(sizes), self.used + len(values)
+
+    def joined(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of these lists end to end, and where each ends."""
+        count = self.count[which]
+        stop = np.cumsum(count, dtype=np.int64)
+        return self.values[np.arange(stop[-1] if len(stop) else 0) + np.repeat(self.first[which] - (stop - count), count)], stop
+
+
+#: What this kind of tokenizer's pre-tokenizer finds in lower-case printable ASCII without white space.
+_ASCII_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+_EASY = re.compile(rb"[!-;=-~]+")  # no `<`, with which special tokens begin
+
+
 class Encoder:
-    """Encodes texts word by word: this tokenizer never joins what white space parts, so each word is encoded once."""
+    """Encodes texts word by word: this kind of tokenizer never joins what white space parts, so each word is encoded once.
+
+    Words of printable ASCII are cut as its pre-tokenizer does and their pieces go straight to
+    its model; all others, and those that may hold a special token, go through the whole
+    tokenizer, many at once with a special token between them.
+    """
 
     def __init__(self, definition: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         self.tokenizer = Tokenizer.from_str(definition)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.words, self.ids, self.used = _Words(), np.zeros(1 << 16, np.int32), 0
-        self.first, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.model = self.tokenizer.model
+        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        self.mark, self.mark_id = next(iter(added.items()), ("", -1))
+        self.special = tuple(added)
+        settings = json.loads(definition)
+        self.plain = all(x[0] == "<" for x in added) and settings.get("pre_tokenizer", {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex") == _KNOWN_PATTERN
+        self.words, self.lists, self.before = _Numbered(), _Lists(), ({}, _Lists())
+
+    def _whole(self, words: list[str]) -> list[list[int]]:
+        """Each word's ids, by the whole tokenizer."""
+        if not self.mark:
+            return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        special = re.compile("|".join(map(re.escape, self.special)))
+        found = {w: self.tokenizer.encode(w, add_special_tokens=False).ids for w in words if special.search(w)}
+        rest = [w for w in words if w not in found]
+        for at in range(0, len(rest), 256):
+            some = rest[at : at + 256]
+            ids = self.tokenizer.encode_batch_fast([self.mark.join(some)], add_special_tokens=False)[0].ids
+            ends = [i for i, x in enumerate(ids) if x == self.mark_id] + [len(ids)]
+            first = 0
+            for w, end in zip(some, ends, strict=True):
+                found[w] = ids[first:end]
+                first = end + 1
+        return [found[w] for w in words]
+
+    def _learn(self) -> None:
+        """Encode the new words, and the pieces that they consist of."""
+        words, base = self.words, self.lists.n
+        new, ids, hard, joined = words.new, [], [], []
+        cut, easy, tokenize = _ASCII_PIECES.findall, _EASY.fullmatch, self.model.tokenize
+        before, kept = self.before
+        for w in new:  # grows meanwhile
+            n = before.get(w)
+            if n is not None:
+                ids.append(kept.one(n))
+                continue
+            if not self.plain or not easy(w):
+                hard.append(len(ids))
+                ids.append(w)
+                continue
+            parts = cut(w.lower())
+            if len(parts) == 1 and parts[0] == w:
+                ids.append([t.id for t in tokenize(w.decode())])
+            else:
+                joined.append(len(ids))
+                ids.append([words[x] for x in parts])
+        for i, found in zip(hard, self._whole([ids[i].decode("utf-8", "replace") for i in hard]), strict=True):
+            ids[i] = found
+        for i in joined:
+            ids[i] = [x for n in ids[i] for x in (ids[n - base] if n >= base else self.lists.one(n))]
+        self.lists.add(np.fromiter(map(len, ids), np.int64, len(ids)), np.array(list(chain.from_iterable(ids)), np.int32))
+        words.new = []
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, with end_id after each text, and the number of ids of each text."""
-        if len(self.words) > _CACHED_WORDS:
-            self._clear()
+        if len(self.words) > _CACHED_WORDS:  # what is used again is taken over from the generation before
+            self.before, self.words, self.lists = (self.words, self.lists), _Numbered(), _Lists()
+        if not self.lists.n:  # number 0 is the end of a text
+            self.words[b""] = 0
+            self.lists.add(np.ones(1, np.int64), np.array([end_id], np.int32))
         look = self.words.__getitem__
-        rows = [np.array(list(map(look, text.split())), np.int64) for text in texts]
-        known, new = len(self.words) - len(self.words.new), self.words.new
-        if new:
-            got = [e.ids for at in range(0, len(new), 4096) for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new[at : at + 4096]], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            while known + len(got) > len(self.first):
-                self.first, self.count = np.append(self.first, np.zeros_like(self.first)), np.append(self.count, np.zeros_like(self.count))
-            while self.used + sizes.sum() > len(self.ids):
-                self.ids = np.append(self.ids, np.zeros_like(self.ids))
-            self.first[known : known + len(got)] = self.used + np.cumsum(sizes) - sizes
-            self.count[known : known + len(got)] = sizes
-            self.ids[self.used : self.used + sizes.sum()] = [i for ids in got for i in ids]
-            self.used += int(sizes.sum())
-            self.words.new = []
-        flat = np.concatenate([np.append(r, -1) for r in rows]) if rows else np.zeros(0, np.int64)
-        ends = flat < 0
-        count = np.where(ends, 1, self.count[flat])
-        stop = np.cumsum(count)
-        ids = self.ids[np.arange(stop[-1] if len(stop) else 0) + np.repeat(np.where(ends, 0, self.first[flat]) - (stop - count), count)]
-        last = stop[ends] - 1
-        ids[last] = end_id
-        return ids, np.diff(last, prepend=-1)
+        rows = [np.array([*map(look, text.split()), 0], np.int32) for text in texts]
+        if self.words.new:
+            self._learn()
+        which = np.concatenate(rows)
+        ids, stop = self.lists.joined(which)
+        return ids, np.diff(stop[which == 0], prepend=0)
 
 
 @cache
