@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaweave.llm import chat_format, language_id, near_duplicates, neighbour_quality, quality_rules, substring_dedup, suffix_dedup, token_files
+from schemaweave.llm import chat_format, language_id, near_duplicates, neighbour_quality, piece_sampling, quality_rules, substring_dedup, suffix_dedup, token_files
 from schemaweave.llm.shared import remainder, shared_path, stored, tune
 
 #: Where the public tokenizers' files are; the operators take paths as parameters.
@@ -36,6 +36,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(measures, certified).select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
 
 
+def op4_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.sample_pieces(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", digests=True)
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents"), window=200)
 
@@ -75,7 +79,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_language_id": op1_language_id, "op2_token_files": op2_token_files, "op3_quality_rules": op3_quality_rules, "op5_suffix_dedup": op5_suffix_dedup, "op6_chat_format": op6_chat_format, "op7_near_duplicates": op7_near_duplicates, "op9_neighbour_quality": op9_neighbour_quality, "op10_substring_dedup": op10_substring_dedup}
+    return {"op1_language_id": op1_language_id, "op2_token_files": op2_token_files, "op3_quality_rules": op3_quality_rules, "op4_piece_sampling": op4_piece_sampling, "op5_suffix_dedup": op5_suffix_dedup, "op6_chat_format": op6_chat_format, "op7_near_duplicates": op7_near_duplicates, "op9_neighbour_quality": op9_neighbour_quality, "op10_substring_dedup": op10_substring_dedup}
 
 
 OP6_SQL = r"""
