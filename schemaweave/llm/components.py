@@ -17,6 +17,7 @@ def components(links: DataFrame) -> DataFrame:
     nodes without a link have no row.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("a is not null and b is not null and a <> b").distinct(), "links")
+    before = _print(edges)
     while True:
         both = edges.select("hi", "lo").unionByName(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         least = both.groupBy("hi").agg(F.min("lo").alias("m")).select("hi", F.least("hi", "m").alias("m"))
@@ -26,7 +27,12 @@ def components(links: DataFrame) -> DataFrame:
         below = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(below, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").unionByName(below.select("hi", F.col("m").alias("lo"))).distinct()
         after = stored(small, "links")
-        total = [d.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first() for d in (edges, after)]
-        edges = after
-        if total[0] == total[1]:
+        now, edges = _print(after), after
+        if now == before:
             return edges.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root")).unionByName(edges.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
+        before = now
+
+
+def _print(edges: DataFrame) -> tuple:
+    """Count and sum of hashes: equal for equal sets of links."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())

@@ -56,7 +56,7 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     if not rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").take(1):
         return rows.select(F.col("doc_id").alias("key"), "doc_id", "text")
     placed = rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
-    return stored(placed.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"), "keyed")
+    return stored(placed.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"), "keyed", "zstd")
 
 
 def _at(place: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:

@@ -159,7 +159,7 @@ def repeated_bytes(docs: DataFrame, window: int = 200, crowd: int = CROWD) -> Da
     unit = _unit(window)
     found, groups = repeats.classes(docs, unit)
     copies = repeats.members(found, groups, unit, others_than_first=False)
-    sorted_ = _sorted_buckets(stored(_contexts(docs, groups.where(F.col("kinds") <= crowd), unit), "suffixes"), unit)
+    sorted_ = _sorted_buckets(stored(_contexts(docs, groups.where(F.col("kinds") <= crowd), unit), "suffixes", "zstd"), unit)
     windows = stored(repeats.window_names(docs, groups.where(F.col("kinds") > crowd), unit), "windows")
     again = windows.groupBy("gram", "name").agg(F.count("*").alias("n")).where("n > 1").select("gram", "name")
     crowded = windows.join(again, ["gram", "name"]).select("key", "start", (F.col("start") + window).alias("end"))
