@@ -112,3 +112,9 @@ def row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def lowered(data: np.ndarray) -> np.ndarray:
     """The bytes with A-Z in lower case."""
     return data + (((data >= 65) & (data <= 90)).astype(np.uint8) << 5)
+
+
+def spans_of_rows(first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """All places from each first to before each stop, end to end."""
+    counts = stop - first
+    return np.arange(int(counts.sum())) + np.repeat(first - (np.cumsum(counts) - counts), counts)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaweave.llm import chat_format, language_id, near_duplicates, neighbour_quality, piece_sampling, quality_rules, substring_dedup, suffix_dedup, token_files
+from schemaweave.llm import chat_format, decontamination, language_id, near_duplicates, neighbour_quality, piece_sampling, quality_rules, substring_dedup, suffix_dedup, token_files
 from schemaweave.llm.shared import remainder, shared_path, stored, tune
 
 #: Where the public tokenizers' files are; the operators take paths as parameters.
@@ -65,6 +65,10 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = remainder(F.col("doc_id"), 5) == 0
@@ -79,7 +83,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_language_id": op1_language_id, "op2_token_files": op2_token_files, "op3_quality_rules": op3_quality_rules, "op4_piece_sampling": op4_piece_sampling, "op5_suffix_dedup": op5_suffix_dedup, "op6_chat_format": op6_chat_format, "op7_near_duplicates": op7_near_duplicates, "op9_neighbour_quality": op9_neighbour_quality, "op10_substring_dedup": op10_substring_dedup}
+    return {"op1_language_id": op1_language_id, "op2_token_files": op2_token_files, "op3_quality_rules": op3_quality_rules, "op4_piece_sampling": op4_piece_sampling, "op5_suffix_dedup": op5_suffix_dedup, "op6_chat_format": op6_chat_format, "op7_near_duplicates": op7_near_duplicates, "op8_decontamination": op8_decontamination, "op9_neighbour_quality": op9_neighbour_quality, "op10_substring_dedup": op10_substring_dedup}
 
 
 OP6_SQL = r"""

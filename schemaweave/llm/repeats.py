@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from schemaweave.llm.anchors import elect
 from schemaweave.llm.arrays import U64, mixed, span_hashes, text_bytes, text_slices, words
-from schemaweave.llm.shared import matching, stored
+from schemaweave.llm.shared import divided, matching, stored
 
 
 @dataclass(frozen=True)
@@ -51,12 +51,16 @@ class Unit:
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """key, doc_id, text: the key is the id where ids are unique and not null, else the rows' place by id and text."""
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    if not rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").take(1):
-        return rows.select(F.col("doc_id").alias("key"), "doc_id", "text")
-    placed = rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
-    return stored(placed.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"), "keyed", "zstd")
+    """docs with the column __key: the id where ids are unique and not null, else the rows' place by id and text."""
+    if not docs.groupBy(doc_id).agg(F.count("*").alias("__n")).where((F.col("__n") > 1) | F.col(doc_id).isNull()).take(1):
+        return docs.withColumn("__key", F.col(doc_id).cast("bigint"))
+    placed = docs.repartitionByRange(doc_id, text).sortWithinPartitions(doc_id, text)
+    return stored(placed.withColumn("__key", F.monotonically_increasing_id()), "keyed", "zstd")
+
+
+def plain(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """key, doc_id, text of keyed documents."""
+    return docs.select(F.col("__key").alias("key"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
 
 
 def _at(place: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -193,13 +197,15 @@ def digests(docs: DataFrame, covered: DataFrame, unit: Unit) -> DataFrame:
 def rewritten(docs: DataFrame, text: str, key: str, covered: DataFrame, unit: Unit) -> DataFrame:
     """docs with what is covered cut from the text; a null text stays."""
     spans = stored(_runs(covered).select(F.col("key").alias("__span_key"), F.col("spans").alias("__spans")), "spans")
-    joined = docs.join(spans, F.col(key) == F.col("__span_key"), "left").drop("__span_key")
+    maybe, rest = divided(docs, key, spans, "__span_key")
+    joined = maybe.join(spans, F.col(key) == F.col("__span_key"), "left").drop("__span_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, text):
             column = batch.column(batch.schema.get_field_index(text))
             kept = [x[3].decode("utf-8", "ignore") for x in _cut(*text_bytes(column), batch.column("__spans").to_pylist(), unit)]
             new = pa.array([k if v else None for k, v in zip(kept, column.is_valid().to_pylist(), strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([new if c == text else batch.column(i) for i, c in enumerate(batch.schema.names) if c != "__spans"], [c for c in batch.schema.names if c != "__spans"])
+            names = [c for c in batch.schema.names if c != "__spans"]
+            yield pa.RecordBatch.from_arrays([new if c == text else batch.column(c) for c in names], names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return rest.unionByName(joined.mapInArrow(run, docs.schema))

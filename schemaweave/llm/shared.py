@@ -65,16 +65,28 @@ def bounded_sample(df: DataFrame, by: str, doc_id: str, bound: int) -> DataFrame
     return df.join(rates, by).where(share < F.col("__rate"))
 
 
-def matching(rows: DataFrame, key: str, side: DataFrame, side_key: str) -> DataFrame:
-    """The rows whose key may occur in `side`, by a bitmap of 16 million bits.
+def divided(rows: DataFrame, key: str, side: DataFrame, side_key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key may occur in `side`, and all others, by a bitmap of 16 million bits.
 
-    It saves shuffling: what it lets pass is joined as usual, and when full it lets all pass.
+    It saves shuffling: the first are joined as usual, and when the bitmap is full they are all rows.
     """
-    place = lambda c: F.xxhash64(F.col(c), F.lit(11))
     word = lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(_BITMAP_WORDS - 1))
     bit = lambda h: h.bitwiseAND(F.lit(63)).cast("int")
-    h = place(side_key)
+    h = F.xxhash64(F.col(side_key), F.lit(11))
     bits = side.groupBy(word(h).alias("__word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit(h))).alias("__bits"))
-    h = place(key)
-    found = rows.join(F.broadcast(bits), word(h) == F.col("__word"))  # at most _BITMAP_WORDS rows
-    return found.where(F.call_function("shiftright", "__bits", bit(h)).bitwiseAND(F.lit(1)) == 1).select(*rows.columns)
+    h = F.xxhash64(F.col(key), F.lit(11))
+    found = rows.join(F.broadcast(bits), word(h) == F.col("__word"), "left")  # at most _BITMAP_WORDS rows
+    on = F.coalesce(F.call_function("shiftright", "__bits", bit(h)).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return found.where(on).select(*rows.columns), found.where(~on).select(*rows.columns)
+
+
+def matching(rows: DataFrame, key: str, side: DataFrame, side_key: str) -> DataFrame:
+    """The rows whose key may occur in `side`: see divided()."""
+    return divided(rows, key, side, side_key)[0]
+
+
+def lacking(rows: DataFrame, key: str, side: DataFrame, side_key: str) -> DataFrame:
+    """The rows whose key isn't in `side`; rows with a null key stay."""
+    maybe, rest = divided(rows, key, side, side_key)
+    gone = side.select(F.col(side_key).alias("__gone")).distinct()
+    return rest.unionByName(maybe.join(gone, F.col(key) == F.col("__gone"), "left_anti"))

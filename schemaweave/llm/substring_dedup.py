@@ -35,7 +35,7 @@ def repeated_words(docs: DataFrame, window: int = 20) -> DataFrame:
 
 def remove_repeated_words(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each document."""
-    rows = repeats.keyed(docs, doc_id, text)
+    rows = repeats.plain(repeats.keyed(docs.select(doc_id, text), doc_id, text), doc_id, text)
     unit = repeats.Unit(words=True, window=window, k=max(1, window // 4))
     out = repeats.digests(rows, repeated_words(rows, window), unit)
     return out.select("doc_id", F.col("n").alias("n_words"), "n_removed", "kept_sha256")

@@ -172,12 +172,13 @@ def _unit(window: int) -> repeats.Unit:
 
 def remove_repeated_bytes(docs: DataFrame, window: int = 200, doc_id: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document."""
-    rows = repeats.keyed(docs, doc_id, text)
+    rows = repeats.plain(repeats.keyed(docs.select(doc_id, text), doc_id, text), doc_id, text)
     out = repeats.digests(rows, repeated_bytes(rows, window, crowd), _unit(window))
     return out.select("doc_id", F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
 
 
 def remove_from_texts(docs: DataFrame, window: int = 200, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the repeated bytes cut from their texts; ids must be unique."""
-    rows = docs.select(F.col(doc_id).alias("key"), F.col(text).alias("text"))
-    return repeats.rewritten(docs, text, doc_id, repeated_bytes(rows, window), _unit(window))
+    """docs with the repeated bytes cut from their texts; all columns stay."""
+    rows = repeats.keyed(docs, doc_id, text)
+    covered = repeated_bytes(repeats.plain(rows, doc_id, text), window)
+    return repeats.rewritten(rows, text, "__key", covered, _unit(window)).drop("__key")
