@@ -36,7 +36,7 @@ from schemaweave.llm.arrays import U64, mixed, text_slices
 
 SPACE = "▁"
 _UNITS = re.compile(r" +[^ \n]*|\n|[^ \n]+")
-_CACHED_UNITS = 150_000
+_CACHED_UNITS = 120_000
 _HIDE = str.maketrans({" ": SPACE, SPACE: "\0"})
 
 
@@ -102,9 +102,9 @@ class Sampler:
         self.size = np.array([len(x) for x in texts])
         self.begin = np.cumsum(self.size) - self.size
         self.bytes = np.frombuffer(b"".join(texts), np.uint8)
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.known: dict[str, int] = {}
         # Nodes are the places of all units; node 0 is the start of each. The edges into a node are its last pieces.
         self.end = _Growing(np.int32)  # last node of each unit
@@ -221,7 +221,7 @@ class Sampler:
     def sample(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts end to end, and the number of each."""
         if len(self.known) > _CACHED_UNITS:
-            self._clear()
+            self.clear()
         rows = [_UNITS.findall(x) for x in texts]
         new = dict.fromkeys(u for r in rows for u in r if u not in self.known)
         if new:
@@ -286,6 +286,7 @@ def sample_pieces(docs: DataFrame, model: str, seed: int = 17, theta: float = 1.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = _sampler(shared.value, theta, seed)
+        sampler.clear()  # lattices last for a task: workers live on, and their memory with them
         for batch in text_slices(batches, limit=1 << 19):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             ids, counts = sampler.sample(texts, batch.column("key").to_numpy().view(U64))
@@ -302,6 +303,7 @@ def sample_pieces(docs: DataFrame, model: str, seed: int = 17, theta: float = 1.
             same = [d == t.encode("utf-8", "replace") for d, t in zip(decoded, texts, strict=True)]
             digest = [hashlib.sha256(d).hexdigest() for d in decoded]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(crc, pa.int64()), pa.array(digest), pa.array(same)], ["doc_id", "n_pieces", "pieces_crc32", "decoded_sha256", "lossless"])
+        sampler.clear()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, " + ("n_pieces bigint, pieces_crc32 bigint, decoded_sha256 string, lossless boolean" if digests else "pieces array<int>"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Python workers see this much text at once, however large a partition is.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 BATCH_ROWS = 2000
 #: A side with more rows than this isn't broadcast.
 BROADCAST_ROWS = 10_000

@@ -32,6 +32,7 @@ from schemaweave.llm.shared import stored
 
 CROWD = 4096
 _BUCKET_ROWS = 4096
+_CUT_ROWS = 2048
 
 
 def multikey_order(keys: np.ndarray, groups: np.ndarray) -> np.ndarray:
@@ -104,13 +105,13 @@ def _contexts(docs: DataFrame, groups: DataFrame, unit: repeats.Unit) -> DataFra
         for batch in text_slices(batches):
             data, bounds = text_bytes(batch.column("text"))
             at, row = repeats.flat(batch.column("at"))
-            for k in range(0, len(at), 8192):
-                part, of = at[k : k + 8192], row[k : k + 8192]
+            for k in range(0, len(at), _CUT_ROWS):
+                part, of = at[k : k + _CUT_ROWS], row[k : k + _CUT_ROWS]
                 index = (part >> 16)[:, None] + bounds[of][:, None] + np.arange(-left, unit.window)
                 inside = (index >= bounds[of][:, None]) & (index < bounds[of + 1][:, None])
                 cut = np.where(inside, data[np.clip(index, 0, max(len(data) - 1, 0))], 255).astype(np.uint8)  # no text has byte 255
                 lead = np.ascontiguousarray(cut[:, left : left + 8]).view(">u8")[:, 0].astype(np.uint64) ^ np.uint64(1 << 63)
-                gram, n = (repeats.flat(batch.column(c))[0][k : k + 8192] for c in ("gram", "n"))
+                gram, n = (repeats.flat(batch.column(c))[0][k : k + _CUT_ROWS] for c in ("gram", "n"))
                 cells = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(part), [None, pa.py_buffer(cut.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(lead.view(np.int64)), pa.array(gram), batch.column("key").take(pa.array(of)), pa.array(part), pa.array(n), cells], ["lead", "gram", "key", "at", "n", "bytes"])
 
