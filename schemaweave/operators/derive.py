@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from schemaweave.functions import scanners, text
+from schemaweave.functions.storage import stored
 
 
 def select_items(queries: DataFrame) -> DataFrame:
@@ -22,18 +23,21 @@ def sources(queries: DataFrame) -> DataFrame:
     return rows.withColumn("alias", F.coalesce(given, "table")).select("script_id", "stmt_seq", "source_pos", "table", "alias")
 
 
-def derived_columns(queries: DataFrame, known: DataFrame, rounds: int = 4) -> DataFrame:
+def derived_columns(queries: DataFrame, known: DataFrame) -> DataFrame:
     """script_id, stmt_seq, name, ordinal, column, data_type of each query's columns.
 
     known(script_id, stmt_seq, name, ordinal, column, data_type) are the tables'. A query sees the
-    last definition before it; views on views are typed one nesting level per round.
+    last definition before it. Views on views are typed one nesting level per round, until a
+    round changes nothing.
     """
-    items, tables = select_items(queries), sources(queries)
-    done = None
-    for _ in range(rounds):
-        seen = known if done is None else known.unionByName(done)
-        done = _resolved(items, tables, seen)
-    return done
+    items, tables, known = stored(select_items(queries)), stored(sources(queries)), stored(known)
+    done, before = None, None
+    while True:
+        done = stored(_resolved(items, tables, known if done is None else known.unionByName(done)))
+        now = done.agg(F.count("*"), F.sum(F.xxhash64(*done.columns).cast("decimal(38,0)"))).first()
+        if now == before:
+            return done
+        before = now
 
 
 def _resolved(items: DataFrame, tables: DataFrame, seen: DataFrame) -> DataFrame:
