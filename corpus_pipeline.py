@@ -20,6 +20,8 @@ LEAST_QUALITY = 0.3
 #: Five-word shingles with this Jaccard similarity, in percent, make near-duplicates.
 SIMILAR_PERCENT = 80
 REPEATED_BYTES = 200
+#: Fewer lattices than a single query keeps: the stages before have filled the executors.
+CACHED_UNITS = 40_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +57,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled pieces of each text, decoded again: doc_id, n_pieces, pieces_crc32, decoded_sha256, lossless."""
     tune(spark)
-    return piece_sampling.sample_pieces(docs, f"{TOKENIZERS}/piece_bpe_32k.model", digests=True)
+    return piece_sampling.sample_pieces(docs, f"{TOKENIZERS}/piece_bpe_32k.model", digests=True, cached_units=CACHED_UNITS)
 
 
 STAGES = [

@@ -36,7 +36,8 @@ from schemaweave.llm.arrays import U64, mixed, text_slices
 
 SPACE = "▁"
 _UNITS = re.compile(r" +[^ \n]*|\n|[^ \n]+")
-_CACHED_UNITS = 150_000
+#: Lattices that a task keeps, some 400 bytes each.
+CACHED_UNITS = 150_000
 _HIDE = str.maketrans({" ": SPACE, SPACE: "\0"})
 
 
@@ -80,7 +81,7 @@ class Sampler:
     """The lattices of the units seen so far."""
 
     def __init__(self, v: Vocabulary, theta: float, seed: int) -> None:
-        self.seed = seed
+        self.seed, self.cached_units = seed, CACHED_UNITS
         self.weights: dict[str, tuple[int, float]] = {}  # with all prefixes of pieces, which have id -1
         for rank, i in enumerate(v.normal):
             piece = v.pieces[i]
@@ -220,7 +221,7 @@ class Sampler:
 
     def sample(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts end to end, and the number of each."""
-        if len(self.known) > _CACHED_UNITS:
+        if len(self.known) > self.cached_units:
             self.clear()
         rows = [_UNITS.findall(x) for x in texts]
         new = dict.fromkeys(u for r in rows for u in r if u not in self.known)
@@ -275,7 +276,7 @@ def _sampler(v: Vocabulary, theta: float, seed: int) -> Sampler:
     return Sampler(v, theta, seed)
 
 
-def sample_pieces(docs: DataFrame, model: str, seed: int = 17, theta: float = 1.0, doc_id: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
+def sample_pieces(docs: DataFrame, model: str, seed: int = 17, theta: float = 1.0, doc_id: str = "doc_id", text: str = "text", digests: bool = False, cached_units: int = CACHED_UNITS) -> DataFrame:
     """doc_id and pieces (array<int>) of each text.
 
     With digests: doc_id, n_pieces, pieces_crc32 (of the ids as little-endian unsigned 32-bit
@@ -286,6 +287,7 @@ def sample_pieces(docs: DataFrame, model: str, seed: int = 17, theta: float = 1.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = _sampler(shared.value, theta, seed)
+        sampler.cached_units = cached_units
         sampler.clear()  # lattices last for a task: workers live on, and their memory with them
         for batch in text_slices(batches, limit=1 << 19):
             texts = [x or "" for x in batch.column("text").to_pylist()]
