@@ -15,12 +15,12 @@ def select_items(queries: DataFrame) -> DataFrame:
 
 
 def sources(queries: DataFrame) -> DataFrame:
-    """script_id, stmt_seq, alias, table: what FROM and JOIN name, with the table's own name as an alias too."""
+    """script_id, stmt_seq, name, alias, table: what FROM and JOIN name, with the table's own name as an alias too."""
     pattern = rf"(?iU)\b(?:FROM|JOIN)\s+{text.PATH}{text.NAME}(?:\s+(?:AS\s+)?{text.NAME})?"
     pairs = F.arrays_zip(*[F.regexp_extract_all("body", F.lit(pattern), k).alias(n) for k, n in ((1, "t"), (2, "a"))])
-    rows = queries.select("script_id", "stmt_seq", F.posexplode(pairs).alias("source_pos", "p")).select("script_id", "stmt_seq", "source_pos", F.lower("p.t").alias("table"), F.lower("p.a").alias("given"))
+    rows = queries.select("script_id", "stmt_seq", "name", F.posexplode(pairs).alias("source_pos", "p")).select("script_id", "stmt_seq", "name", "source_pos", F.lower("p.t").alias("table"), F.lower("p.a").alias("given"))
     given = F.when((F.col("given") != "") & ~text.reserved(F.col("given")), F.col("given"))
-    return rows.withColumn("alias", F.coalesce(given, "table")).select("script_id", "stmt_seq", "source_pos", "table", "alias")
+    return rows.withColumn("alias", F.coalesce(given, "table")).select("script_id", "stmt_seq", "name", "source_pos", "table", "alias")
 
 
 def derived_columns(queries: DataFrame, known: DataFrame) -> DataFrame:
@@ -43,17 +43,17 @@ def derived_columns(queries: DataFrame, known: DataFrame) -> DataFrame:
 def _resolved(items: DataFrame, tables: DataFrame, seen: DataFrame) -> DataFrame:
     defs = seen.select("script_id", F.col("name").alias("table"), F.col("stmt_seq").alias("def_seq"), F.col("ordinal").alias("def_ordinal"), F.col("column").alias("def_column"), F.col("data_type").alias("def_type"))
     earlier = tables.join(defs, ["script_id", "table"]).where("def_seq < stmt_seq")
-    last = Window.partitionBy("script_id", "stmt_seq", "source_pos", "table")
+    last = Window.partitionBy("script_id", "stmt_seq", "name", "source_pos", "table")
     visible = earlier.withColumn("__last", F.max("def_seq").over(last)).where("def_seq = __last")
-    visible = visible.select("script_id", "stmt_seq", "source_pos", "alias", "def_ordinal", "def_column", "def_type")
+    visible = visible.select("script_id", "stmt_seq", "name", "source_pos", "alias", "def_ordinal", "def_column", "def_type")
     stars = items.withColumn("of", F.lower(text.pick(F.col("expr"), rf"^(?:{text.NAME}\.)?\*$", 0)))
     wide = stars.where("of is not null").withColumn("alias_of", F.nullif(F.regexp_replace("of", r"\.?\*$", ""), F.lit("")))
-    wide = wide.join(visible, ["script_id", "stmt_seq"]).where("alias_of is null or alias_of = alias")
+    wide = wide.join(visible, ["script_id", "stmt_seq", "name"]).where("alias_of is null or alias_of = alias")
     spread = wide.select("script_id", "stmt_seq", "name", "item", "source_pos", "def_ordinal", F.col("def_column").alias("column"), F.col("def_type").alias("data_type"))
     source = text.strip(F.regexp_replace("expr", rf"(?iU)\s+(?:AS\s+)?{text.NAME}$", ""))
     plain = rf"^(?:{text.NAME}\.)?{text.NAME}$"
     single = stars.where("of is null").withColumn("src", source).withColumn("q", F.lower(text.pick(F.col("src"), plain, 1))).withColumn("c", F.lower(text.pick(F.col("src"), plain, 2)))
-    typed = single.join(visible.select("script_id", "stmt_seq", "alias", F.col("def_column").alias("c"), "def_type"), ["script_id", "stmt_seq", "c"], "left")
+    typed = single.join(visible.select("script_id", "stmt_seq", "name", "alias", F.col("def_column").alias("c"), "def_type"), ["script_id", "stmt_seq", "name", "c"], "left")
     fits = F.when(F.coalesce("q", F.lit("")).isin("") | (F.col("q") == F.col("alias")), F.nullif("def_type", F.lit("")))
     one = typed.groupBy("script_id", "stmt_seq", "name", "item", "expr").agg(F.collect_set(fits).alias("types"))
     named = one.select("script_id", "stmt_seq", "name", "item", F.lit(0).alias("source_pos"), F.lit(0).alias("def_ordinal"), text.expression_name(F.col("expr"), F.col("item") + 1).alias("column"), F.when(F.size("types") == 1, F.col("types")[0]).otherwise("").alias("data_type"))

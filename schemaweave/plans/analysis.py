@@ -5,10 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from schemaweave.functions import text
+from schemaweave.functions import scanners, text
 from schemaweave.operators import derive, finalize, graph, routines, statements, tables
 
 
@@ -44,20 +44,47 @@ class Analysis:
         """Columns of tables with a column list, by definition."""
         return tables.columns(tables.parts(self._tables.where("body <> ''")))
 
+    @cached_property
+    def _made(self) -> DataFrame:
+        """Tables that routine bodies create, unless a statement defines them."""
+        own = self.statements.where("kind <> 'ALTER'").select("script_id", "name")
+        made = routines.body_tables(self._parts).join(own, ["script_id", "name"], "left_anti")
+        return made.withColumn("body", F.coalesce(text.definition_body(F.col("stmt")), F.lit("")))
+
+    @cached_property
+    def returned_columns(self) -> DataFrame:
+        """Columns of RETURNS TABLE (...), else those that a RETURNS SETOF table had by then."""
+        made = self.statements.where("kind in ('FUNCTION', 'PROCEDURE')")
+        listed = tables.columns(tables.parts(made.withColumn("body", F.coalesce(scanners.list_body(text.pick(F.col("stmt"), r"\bRETURNS\s+TABLE\s*(\(.*)$")), F.lit(""))).where("body <> ''")))
+        sets = made.select("script_id", "stmt_seq", "name", F.lower(text.pick(F.col("stmt"), rf"\bRETURNS\s+SETOF\s+{text.PATH}{text.NAME}")).alias("of")).where("of is not null")
+        known = self.table_columns.withColumnsRenamed({"name": "of", "stmt_seq": "def_seq"})
+        earlier = sets.join(known, ["script_id", "of"]).where("def_seq < stmt_seq")
+        last = F.max("def_seq").over(Window.partitionBy("script_id", "stmt_seq"))
+        copied = earlier.withColumn("__last", last).where("def_seq = __last").select(*listed.columns)
+        return listed.unionByName(copied.join(listed.select("script_id", "stmt_seq").distinct(), ["script_id", "stmt_seq"], "left_anti"))
+
+    @cached_property
+    def made_columns(self) -> DataFrame:
+        """Columns of the tables that routine bodies create with a column list."""
+        return tables.columns(tables.parts(self._made.where("body <> ''")))
+
     @cached_property
     def derived_columns(self) -> DataFrame:
-        """Columns of views and CREATE TABLE AS."""
+        """Columns of views and CREATE TABLE AS, in bodies too."""
+        inner = self._made.where("body = ''").select("script_id", "stmt_seq", "name", F.col("stmt").alias("body"))
         views = self._bodies.where("kind in ('VIEW', 'MATERIALIZED_VIEW')").select("script_id", "stmt_seq", "name", "body")
         created = self._tables.where("body = ''").select("script_id", "stmt_seq", "name", F.col("stmt").alias("body"))
-        return derive.derived_columns(views.unionByName(created), self.table_columns.select("script_id", "stmt_seq", "name", "ordinal", "column", "data_type"))
+        return derive.derived_columns(views.unionByName(created).unionByName(inner), self.table_columns.select("script_id", "stmt_seq", "name", "ordinal", "column", "data_type"))
 
     @cached_property
     def columns(self) -> DataFrame:
         """Columns of the final definition of every object."""
         given = tables.altered_columns(self.table_columns, self._altered)
         derived = self.derived_columns.select("script_id", "stmt_seq", "name", "ordinal", "column", "data_type", F.lit(False).alias("pk"), F.lit(True).alias("nullable"), F.lit(False).alias("unique"), F.lit(None).cast("string").alias("fk_to"), F.lit(None).cast("string").alias("default"))
-        last = self.statements.where("kind <> 'ALTER'").groupBy("script_id", "name").agg(F.max("stmt_seq").alias("stmt_seq"))
-        return given.unionByName(derived).join(last, ["script_id", "name", "stmt_seq"], "left_semi")
+        defined = self.statements.where("kind <> 'ALTER'").select("script_id", "name", "stmt_seq").unionByName(self._made.select("script_id", "name", "stmt_seq"))
+        last = defined.groupBy("script_id", "name").agg(F.max("stmt_seq").alias("stmt_seq"))
+        every = given.unionByName(derived).unionByName(self.returned_columns).unionByName(self.made_columns)
+        return every.join(last, ["script_id", "name", "stmt_seq"], "left_semi")
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -81,7 +108,7 @@ class Analysis:
         temporary = F.col("stmt").rlike(r"(?iU)^\s*CREATE\s+(?:OR\s+REPLACE\s+)?(?:(?:GLOBAL|LOCAL)\s+)?TEMP(?:ORARY)?\s+TABLE\b")
         schema = F.when(F.col("kind").isin("FUNCTION", "PROCEDURE"), "").otherwise(F.col("schema"))
         top = tables.latest(self.statements.where("kind <> 'ALTER'")).select("script_id", F.col("obj_seq").cast("bigint").alias("obj_seq"), "name", F.col("kind").alias("type"), schema.alias("schema"), temporary.alias("temporary"), F.lit(None).cast("string").alias("parent"))
-        made = routines.body_tables(self._parts).join(top, ["script_id", "name"], "left_anti").select("script_id", (F.col("stmt_seq") * 100_000 + F.col("part_seq") + F.lit(1 << 36)).alias("obj_seq"), "name", F.lit("TABLE").alias("type"), "schema", "temporary", "parent")
+        made = self._made.select("script_id", (F.col("stmt_seq") * 100_000 + F.col("part_seq") + F.lit(1 << 36)).alias("obj_seq"), "name", F.lit("TABLE").alias("type"), "schema", "temporary", "parent")
         return finalize.registered(top.unionByName(made), self.edges)
 
     @cached_property

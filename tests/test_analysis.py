@@ -91,6 +91,21 @@ def test_routines_of_several_dialects(spark):
     assert {(r.source, r.target) for r in a.flows.where("via = 'keep'").collect()} == {("base", "keep")}
 
 
+def test_columns_of_routines_and_their_tables(spark):
+    ddl = """
+    CREATE TABLE orders (id SERIAL PRIMARY KEY, amount DECIMAL(10,2));
+    CREATE FUNCTION f() RETURNS TABLE (day DATE, total NUMERIC(12, 2)) AS $$ SELECT 1 $$;
+    CREATE FUNCTION g() RETURNS SETOF shop.orders AS $$ SELECT 1 $$;
+    CREATE FUNCTION stage() RETURNS void AS $$ BEGIN CREATE TEMP TABLE s AS SELECT id, amount FROM orders; CREATE TABLE log (at DATE, note TEXT); END $$;
+    """
+    a = analyze(from_text(spark, ddl))
+    got = {}
+    for r in a.columns.orderBy("name", "ordinal").collect():
+        got.setdefault(r.name, []).append((r.column, r.data_type))
+    assert got == {"orders": [("id", "SERIAL"), ("amount", "DECIMAL(10,2)")], "f": [("day", "DATE"), ("total", "NUMERIC(12,2)")], "g": [("id", "SERIAL"), ("amount", "DECIMAL(10,2)")], "s": [("id", "SERIAL"), ("amount", "DECIMAL(10,2)")], "log": [("at", "DATE"), ("note", "TEXT")]}
+    assert {(r.name, r.temporary, r.parent) for r in a.objects.where("parent is not null").collect()} == {("s", True, "stage"), ("log", False, "stage")}
+
+
 def test_empty_and_null_scripts(spark):
     a = analyze(spark.createDataFrame([("a", None), ("b", ""), ("c", "SELECT 1")], "script_id string, ddl string"))
     assert a.edges.count() == a.objects.count() == a.flows.count() == a.columns.count() == 0
