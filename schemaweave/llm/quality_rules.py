@@ -30,10 +30,10 @@ from schemaweave.llm.arrays import row_sums, span_hashes, text_bytes, text_slice
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Rule: its value, an integer per text, and the cutoffs above which it may reject.
 RULES: dict[str, tuple[str, tuple[int, ...]]] = {
-    "symbols": ("1000 * n_symbols div n_words", (5, 10, 20, 50, 100, 200, 300, 500, 1000, 2000)),
-    "dup_lines": ("1000 * n_dup_lines div n_words", (2, 5, 10, 20, 40, 80, 160, 320)),
-    "word_length": ("100 * word_chars div n_words", (600, 700, 800, 900, 1000, 1200, 1500, 2000)),
-    "repeats": ("1000 * n_repeat_words div n_words", (10, 25, 50, 75, 100, 125, 150, 175)),
+    "symbols": ("1000 * n_symbols div nullif(n_words, 0)", (5, 10, 20, 50, 100, 200, 300, 500, 1000, 2000)),
+    "dup_lines": ("1000 * n_dup_lines div nullif(n_words, 0)", (2, 5, 10, 20, 40, 80, 160, 320)),
+    "word_length": ("100 * word_chars div nullif(n_words, 0)", (600, 700, 800, 900, 1000, 1200, 1500, 2000)),
+    "repeats": ("1000 * n_repeat_words div nullif(n_words, 0)", (10, 25, 50, 75, 100, 125, 150, 175)),
 }
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 

@@ -103,5 +103,43 @@ FROM sized GROUP BY conv_id
 """
 
 
+OP3_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), starts AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM (
+    SELECT doc_id, i, list_slice(ws, i, i + 4) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w))
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM starts, range(5) AS r(k) WHERE c > 1 GROUP BY doc_id
+), m AS (
+  SELECT w.doc_id, stratum, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)
+), b AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    MAP {{'symbols': 1000 * n_symbols // nullif(n_words, 0), 'dup_lines': 1000 * n_dup_lines // nullif(n_words, 0), 'word_length': 100 * word_chars // nullif(n_words, 0), 'repeats': 1000 * n_repeat_words // nullif(n_words, 0)}} AS v
+  FROM m
+), tests(rule, cutoff) AS (VALUES {tests}
+), counts AS (
+  SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (WHERE v[rule] > cutoff) AS k
+  FROM b, tests WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY ALL
+), certified AS (
+  SELECT stratum, rule, min(cutoff) AS cutoff FROM counts
+  WHERE k < n * {share} AND (
+    SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share}) + (n - i) * ln(1 - {share}))) FROM range(k + 1) AS r(i)
+  ) <= 0.05 / ((SELECT count(DISTINCT stratum) FROM counts) * {n_tests})
+  GROUP BY ALL
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT EXISTS (SELECT 1 FROM certified c WHERE c.stratum = b.stratum AND v[c.rule] > c.cutoff) AS kept
+FROM b
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": OP6_SQL}
+    tests = [(rule, cutoff) for rule, (_, cutoffs) in quality_rules.RULES.items() for cutoff in cutoffs]
+    op3 = OP3_SQL.format(tests=", ".join(map(str, tests)), n_tests=len(tests), share=0.05 / len(quality_rules.RULES))
+    return {"op3_quality_rules": op3, "op6_chat_format": OP6_SQL}

@@ -126,10 +126,11 @@ def test_rules_reject_bad_and_keep_their_promise(spark):
         words = [f"w{rng.randint(0, 10**6)}" + ("***" if bad and rng.random() < 0.9 else "") for _ in range(20)]
         rows.append((i, " ".join(words), "aa" if i % 2 else None))
         labels += [(i, not bad)] * (1 + i % 2)
+    rows += [(9000, "", "aa"), (9001, None, None)]  # have no words to divide by
     measured = quality_rules.measure(made(spark, rows), F.col("lang"))
     certified = quality_rules.certify(measured, spark.createDataFrame(labels, "doc_id bigint, good boolean"))
     out = {r.doc_id: r for r in quality_rules.apply_rules(measured, certified).collect()}
-    assert len(out) == 3000 and not any(out[i].kept for i in range(0, 3000, 4))
+    assert len(out) == 3002 and out[9000].base_failed and not any(out[i].kept for i in range(0, 3000, 4))
     assert sum(not out[i].kept for i in range(3000) if i % 4) <= 0.05 * 2250
     none = quality_rules.certify(measured, spark.createDataFrame([], "doc_id bigint, good boolean"))
     assert quality_rules.apply_rules(measured, none).where("kept").count() == 3000
