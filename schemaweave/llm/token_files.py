@@ -49,14 +49,16 @@ _CACHED_WORDS = 600_000
 #: Fixed value: the split pattern for which _ASCII_PIECES holds.
 _KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+_POWERS = 1 << np.arange(64, dtype=np.uint64)
+_WIDTH = np.searchsorted(_POWERS, np.arange(1 << 16, dtype=np.uint64), "right").astype(np.uint8)  # bits of small ids
+
 
 def pack(ids: np.ndarray) -> bytes:
     """The payload that holds these ids."""
     ids = np.asarray(ids, np.uint64)
     blocks = -(-len(ids) // BLOCK)
     wide = np.full((blocks, BLOCK), 255, np.uint8)
-    wide.reshape(-1)[: len(ids)] = np.searchsorted(1 << np.arange(64, dtype=np.uint64), ids, "right")
-    longest = np.zeros((blocks, BLOCK), np.uint8)
+    wide.reshape(-1)[: len(ids)] = _WIDTH[ids.astype(np.int64)] if len(ids) and ids.max() < len(_WIDTH) else np.searchsorted(_POWERS, ids, "right")
     selector = np.zeros((blocks, BLOCK), np.uint8)
     runs: dict[int, np.ndarray] = {1: wide}
 
@@ -71,10 +73,8 @@ def pack(ids: np.ndarray) -> bytes:
         return runs[n]
 
     for s in range(15, 0, -1):
-        fits = run(COUNTS[s]) <= BITS[s]
-        longest[fits], selector[fits] = COUNTS[s], s
-    longest[longest == 0] = 1
-    steps, places, firsts, words = longest.reshape(-1).tolist(), [], [], 0
+        np.copyto(selector, np.uint8(s), where=run(COUNTS[s]) <= BITS[s])
+    steps, places = np.array(COUNTS, np.uint8)[selector].reshape(-1).tolist(), []
     chosen = selector.reshape(-1)
     ends = []
     for b in range(blocks):
