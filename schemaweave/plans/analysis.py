@@ -129,5 +129,29 @@ class Analysis:
         return graph.cycles(self.objects, self.edges)
 
 
+@dataclass(frozen=True)
+class Project(Analysis):
+    """Objects and edges of all scripts as those of one, named by name; each script is still parsed by itself."""
+
+    name: str
+
+    @cached_property
+    def _own(self) -> Analysis:
+        return Analysis(self.scripts)
+
+    def _first(self, df: DataFrame, keys: list[str], seq: str) -> DataFrame:
+        ranked = df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("script_id", seq)))
+        return ranked.where("__n = 1").drop("__n").withColumn("script_id", F.lit(self.name))
+
+    @cached_property
+    def objects(self) -> DataFrame:
+        defined = self._own.objects.where(F.col("obj_seq") < F.lit(1 << 40))
+        return finalize.registered(self._first(defined, ["name", "type"], "obj_seq"), self.edges)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return self._first(self._own.edges, ["source", "target", "edge_type", "details"], "edge_seq")
+
+
 def analyze(scripts: DataFrame) -> Analysis:
     return Analysis(scripts)

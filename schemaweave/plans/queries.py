@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemaweave.operators import compare, graph, history, render, statements
-from schemaweave.plans.analysis import Analysis, analyze
+from schemaweave.plans.analysis import Analysis, Project, analyze
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -129,12 +129,13 @@ def derived_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.derived_columns.select("script_id", "name", F.col("ordinal").cast("bigint").alias("ordinal"), "column", "data_type")
 
 
-def _shop(spark: SparkSession, sf_dir: str) -> Analysis:
-    """One script of regions, nations and customers, and views over them."""
-    nation = _read(spark, sf_dir, "nation").select(_say("CREATE TABLE n_%1$s (id INT, r INT REFERENCES r_%2$s);", "n_nationkey", "n_regionkey").alias("d"))
-    customer = _read(spark, sf_dir, "customer").where("c_custkey <= 400").select(_say("CREATE TABLE c_%1$s (id INT, n INT REFERENCES n_%2$s);", "c_custkey", "c_nationkey").alias("d"))
-    view = _read(spark, sf_dir, "customer").where("c_custkey <= 400").select(_say("CREATE VIEW w_%1$s AS SELECT * FROM c_%1$s JOIN n_%2$s USING (id);", "c_custkey", "c_nationkey").alias("d"))
-    return analyze(_scripts(nation.unionByName(customer).unionByName(view), F.lit("shop"), F.col("d")))
+def _shop(spark: SparkSession, sf_dir: str) -> Project:
+    """Regions, nations and customers, and views over them: scripts of bounded size, analysed as one project."""
+    nation = _read(spark, sf_dir, "nation").select(F.expr("concat('n', n_nationkey div 50)").alias("s"), _say("CREATE TABLE n_%1$s (id INT, r INT REFERENCES r_%2$s);", "n_nationkey", "n_regionkey").alias("d"))
+    rows = _read(spark, sf_dir, "customer").withColumn("s", F.expr("concat('c', c_custkey div 50)"))
+    customer = rows.select("s", _say("CREATE TABLE c_%1$s (id INT, n INT REFERENCES n_%2$s);", "c_custkey", "c_nationkey").alias("d"))
+    view = rows.select("s", _say("CREATE VIEW w_%1$s AS SELECT * FROM c_%1$s JOIN n_%2$s USING (id);", "c_custkey", "c_nationkey").alias("d"))
+    return Project(_scripts(nation.unionByName(customer).unionByName(view), F.col("s"), F.col("d")), "shop")
 
 
 def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +151,7 @@ def impact_fk_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def impact_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views = _read(spark, sf_dir, "customer").where("c_custkey <= 400").select(F.lit("shop").alias("script_id"), _say("w_%1$s", "c_custkey").alias("target"))
+    views = _read(spark, sf_dir, "customer").select(F.lit("shop").alias("script_id"), _say("w_%1$s", "c_custkey").alias("target"))
     return _shop(spark, sf_dir).impact(views).where("direction = 'upstream'").select("target", "node")
 
 
