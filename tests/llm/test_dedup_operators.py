@@ -183,6 +183,24 @@ def test_leaks_verbatim_and_paraphrased(spark):
     assert decontamination.find_leaks(made(spark, []), bench).count() == 0
 
 
+def test_leaks_of_an_item_in_a_third_of_the_documents(spark):
+    rng = random.Random(5)
+    items = [[f"q{i}x{k}" for k in range(n)] for i, n in enumerate((30, 12, 40, 25))]
+    rows, truth = [], set()
+    for d in range(90):
+        text = [f"w{rng.randint(0, 3000)}" for _ in range(rng.randint(40, 120))]
+        for i in {0: (0, 1), 1: (2,) if d == 1 else ()}.get(d % 3, ()):
+            at = rng.randrange(len(text))
+            text = [*text[:at], *items[i], *text[at:]] if i != 1 else [*text, *items[i]]
+            truth.add((d, i))
+        rows.append((d, " ".join(text)))
+    truth = {(d, i) for d, i in truth if any(" ".join(items[i]) in t for x, t in rows if x == d)}
+    assert len({d for d, i in truth if i == 1}) == 30
+    bench = spark.createDataFrame([(i, " ".join(q)) for i, q in enumerate(items)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(made(spark, rows), bench).collect()}
+    assert truth <= got and all(i in (0, 1, 2) and (i == 2) == (d == 1) for d, i in got)
+
+
 def test_pipeline_stages_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
