@@ -201,6 +201,18 @@ def test_leaks_of_an_item_in_a_third_of_the_documents(spark):
     assert truth <= got and all(i in (0, 1, 2) and (i == 2) == (d == 1) for d, i in got)
 
 
+def test_leaks_of_items_of_mostly_common_words(spark):
+    rng = random.Random(6)
+    items = [[f"q{i}x{k}" if k % 4 == 3 else f"c{rng.randrange(40)}" for k in range(32)] for i in range(10)]
+    rows = []
+    for d in range(100):
+        text = [f"c{rng.randrange(40)}" if k % 3 == 0 else f"w{rng.randint(0, 3000)}" for k in range(120)]
+        rows.append((d, " ".join([*text[:50], *(items[d] if d < 10 else []), *text[50:]])))
+    bench = spark.createDataFrame([(i, " ".join(q)) for i, q in enumerate(items)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(made(spark, rows), bench).collect()}
+    assert got == {(i, i) for i in range(10)}
+
+
 def test_pipeline_stages_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
