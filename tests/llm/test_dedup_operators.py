@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,6 +214,19 @@ def test_leaks_of_items_of_mostly_common_words(spark):
     assert got == {(i, i) for i in range(10)}
 
 
+def test_sampled_passages_of_every_document():
+    lengths = [0, 48 * 60, 20, 48 * 9 + 1, 100]
+    bounds = np.append(0, np.cumsum(lengths))
+    words = near_duplicates.mixed(np.arange(bounds[-1], dtype=np.uint64))
+    got, cut = decontamination.sampled_passages(words, bounds)
+    place = {int(x): k for k, x in enumerate(words)}
+    starts = np.array([place[int(x)] for x in got[cut[:-1]]])
+    text = np.searchsorted(bounds, starts, "right") - 1
+    assert np.bincount(text, minlength=5).tolist() == [0, 8, 1, 8, 3]
+    assert starts[text == 1].max() > 48 * 8 and np.diff(cut).max() == 48 and len(got) == cut[-1]
+    assert decontamination.sampled_passages(words[:0], np.zeros(1, np.int64))[1].tolist() == [0]
+
+
 def test_pipeline_stages_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
