@@ -77,6 +77,16 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, short, block):
     assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(sets[i]), root[i], root[i] == i) for i, _ in rows}
 
 
+def test_near_duplicates_with_text_appended_in_long_lists(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "SHORT", 1)
+    rows = []
+    for k in range(300):
+        text = [f"{k}w{i}" for i in range(1004)]
+        rows += [(2 * k, " ".join(text[:805])), (2 * k + 1, " ".join(text))]
+    got = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(made(spark, rows), percent=80).collect()}
+    assert got == {i: i - i % 2 for i in range(600)}
+
+
 def test_near_duplicates_of_nothing_and_of_repeated_ids(spark):
     assert near_duplicates.near_duplicates(made(spark, [])).count() == 0
     out = near_duplicates.near_duplicates(made(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (2, "q r s t u v"), (None, "a b c d e f")])).collect()
