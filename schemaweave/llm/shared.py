@@ -13,7 +13,9 @@ BATCH_BYTES = 2 << 20
 BATCH_ROWS = 2000
 #: A side with more rows than this isn't broadcast.
 BROADCAST_ROWS = 10_000
-_BITMAP_WORDS = 1 << 18
+#: Bits of a bitmap for each key, and its 64-bit words at least and at most.
+_BITS_A_KEY = 8
+_BITMAP_WORDS = (1 << 10, 1 << 20)
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -24,14 +26,29 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local master may do without: it gets a temporary one."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir isn't set; executors need a folder that they share")
         place = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
 
 
+def free_name(name: str, *frames: DataFrame) -> str:
+    """`name`, with underscores before it until no frame has such a column."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def every(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -57,27 +74,32 @@ def bounded_sample(df: DataFrame, by: str, doc_id: str, bound: int) -> DataFrame
 
     Counts per value are gathered first; a row stays if its hash lies below bound / count.
     """
-    rates = df.groupBy(by).agg(F.least(F.lit(1.0), F.lit(float(bound)) / F.count("*")).alias("__rate"))
+    rate = free_name("rate", df)
+    rates = df.groupBy(by).agg(F.least(F.lit(1.0), F.lit(float(bound)) / F.count("*")).alias(rate))
     few = rates.limit(BROADCAST_ROWS + 1).toArrow()
     if few.num_rows <= BROADCAST_ROWS:  # else a plain join
         rates = F.broadcast(df.sparkSession.createDataFrame(few)) if few.num_rows else rates
     share = F.pmod(F.xxhash64(F.col(doc_id), F.lit(7)), F.lit(1 << 24)) / float(1 << 24)
-    return df.join(rates, by).where(share < F.col("__rate"))
+    return df.join(rates, by).where(share < F.col(rate))
 
 
 def divided(rows: DataFrame, key: str, side: DataFrame, side_key: str) -> tuple[DataFrame, DataFrame]:
-    """The rows whose key may occur in `side`, and all others, by a bitmap of 16 million bits.
+    """The rows whose key may occur in `side`, and all others, by a bitmap of about eight bits for each key.
 
-    It saves shuffling: the first are joined as usual, and when the bitmap is full they are all rows.
+    It saves shuffling: the first are joined as usual. The bitmap is broadcast, so it has 64 million
+    bits at most; with more keys it lets more rows pass, and all when it is full. `side` should be stored.
     """
-    word = lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(_BITMAP_WORDS - 1))
+    most = side.count() * _BITS_A_KEY >> 6
+    words = min(max(_BITMAP_WORDS[0], 1 << most.bit_length()), _BITMAP_WORDS[1])
+    name, bits = free_name("word", rows), free_name("bits", rows)
+    word = lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(words - 1))
     bit = lambda h: h.bitwiseAND(F.lit(63)).cast("int")
     h = F.xxhash64(F.col(side_key), F.lit(11))
-    bits = side.groupBy(word(h).alias("__word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit(h))).alias("__bits"))
+    map_ = side.groupBy(word(h).alias(name)).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit(h))).alias(bits))
     h = F.xxhash64(F.col(key), F.lit(11))
-    found = rows.join(F.broadcast(bits), word(h) == F.col("__word"), "left")  # at most _BITMAP_WORDS rows
-    on = F.coalesce(F.call_function("shiftright", "__bits", bit(h)).bitwiseAND(F.lit(1)) == 1, F.lit(False))
-    return found.where(on).select(*rows.columns), found.where(~on).select(*rows.columns)
+    found = rows.join(F.broadcast(map_), word(h) == F.col(name), "left")  # at most _BITMAP_WORDS[1] rows
+    on = F.coalesce(F.call_function("shiftright", bits, bit(h)).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return found.where(on).select(*every(rows)), found.where(~on).select(*every(rows))
 
 
 def matching(rows: DataFrame, key: str, side: DataFrame, side_key: str) -> DataFrame:
@@ -87,6 +109,7 @@ def matching(rows: DataFrame, key: str, side: DataFrame, side_key: str) -> DataF
 
 def lacking(rows: DataFrame, key: str, side: DataFrame, side_key: str) -> DataFrame:
     """The rows whose key isn't in `side`; rows with a null key stay."""
-    maybe, rest = divided(rows, key, side, side_key)
-    gone = side.select(F.col(side_key).alias("__gone")).distinct()
-    return rest.unionByName(maybe.join(gone, F.col(key) == F.col("__gone"), "left_anti"))
+    gone = free_name("gone", rows)
+    keys = stored(side.select(F.col(side_key).alias(gone)).distinct(), "gone")
+    maybe, rest = divided(rows, key, keys, gone)
+    return rest.unionByName(maybe.join(keys, F.col(key) == F.col(gone), "left_anti"))

@@ -19,23 +19,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from schemaweave.llm import repeats
-from schemaweave.llm.shared import stored
 
 
 def repeated_words(docs: DataFrame, window: int = 20) -> DataFrame:
     """key, start, end (words) of the windows of docs(key, text) that start earlier too."""
     unit = repeats.Unit(words=True, window=window, k=max(1, window // 4))
     found, groups = repeats.classes(docs, unit)
-    copies = repeats.members(found, groups, unit, others_than_first=True)
-    windows = stored(repeats.window_names(docs, groups, unit), "windows")
-    first = windows.groupBy("gram", "name").agg(F.count("*").alias("n"), F.min(F.struct("key", "start")).alias("first")).where("n > 1")
-    later = windows.join(first, ["gram", "name"]).where("not (key = first.key and start = first.start)")
-    return copies.unionByName(later.select("key", "start", (F.col("start") + window).alias("end")))
+    copies = repeats.members(found, groups, others_than_first=True)
+    return copies.unionByName(repeats.repeated_windows(repeats.window_names(docs, groups, unit), unit, others_than_first=True))
 
 
 def remove_repeated_words(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each document."""
-    rows = repeats.plain(repeats.keyed(docs.select(doc_id, text), doc_id, text), doc_id, text)
+    rows = repeats.texts(docs, doc_id, text)
     unit = repeats.Unit(words=True, window=window, k=max(1, window // 4))
     out = repeats.digests(rows, repeated_words(rows, window), unit)
     return out.select("doc_id", F.col("n").alias("n_words"), "n_removed", "kept_sha256")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from schemaweave.llm import repeats
 from schemaweave.llm.arrays import text_bytes, text_slices
-from schemaweave.llm.shared import stored
+from schemaweave.llm.shared import free_name, stored
 
 CROWD = 4096
 _BUCKET_ROWS = 4096
@@ -107,7 +107,7 @@ def _contexts(docs: DataFrame, groups: DataFrame, unit: repeats.Unit) -> DataFra
             at, row = repeats.flat(batch.column("at"))
             for k in range(0, len(at), _CUT_ROWS):
                 part, of = at[k : k + _CUT_ROWS], row[k : k + _CUT_ROWS]
-                index = (part >> 16)[:, None] + bounds[of][:, None] + np.arange(-left, unit.window)
+                index = (part >> 32)[:, None] + bounds[of][:, None] + np.arange(-left, unit.window)
                 inside = (index >= bounds[of][:, None]) & (index < bounds[of + 1][:, None])
                 cut = np.where(inside, data[np.clip(index, 0, max(len(data) - 1, 0))], 255).astype(np.uint8)  # no text has byte 255
                 lead = np.ascontiguousarray(cut[:, left : left + 8]).view(">u8")[:, 0].astype(np.uint64) ^ np.uint64(1 << 63)
@@ -125,7 +125,7 @@ def _sorted_buckets(contexts: DataFrame, unit: repeats.Unit) -> DataFrame:
     def compare(table: pa.Table) -> pa.RecordBatch:
         rows = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8).reshape(table.num_rows, -1)
         gram, at, n = (table.column(c).to_numpy() for c in ("gram", "at", "n"))
-        low, high = at >> 8 & 255, at & 255
+        place, low, high = repeats.unpacked(at)
         _, groups = np.unique(gram, return_inverse=True)
         again = repeated_offsets(rows[:, :left][:, ::-1], rows[:, left:], groups, low, high, unit.window)
         again[n > 1] = False  # all windows of such a class are known to repeat
@@ -133,7 +133,7 @@ def _sorted_buckets(contexts: DataFrame, unit: repeats.Unit) -> DataFrame:
         step = np.diff(np.concatenate([edge, again, edge], 1).astype(np.int8), axis=1)
         row, first = np.nonzero(step == 1)
         _, stop = np.nonzero(step == -1)
-        place = (at >> 16)[row]
+        place = place[row]
         return pa.RecordBatch.from_arrays([table.column("key").combine_chunks().take(pa.array(row)), pa.array(place - stop + 1), pa.array(place - first + unit.window)], ["key", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,11 +159,9 @@ def repeated_bytes(docs: DataFrame, window: int = 200, crowd: int = CROWD) -> Da
     """key, start, end (bytes) of the windows of docs(key, text) that start anywhere else too."""
     unit = _unit(window)
     found, groups = repeats.classes(docs, unit)
-    copies = repeats.members(found, groups, unit, others_than_first=False)
+    copies = repeats.members(found, groups, others_than_first=False)
     sorted_ = _sorted_buckets(stored(_contexts(docs, groups.where(F.col("kinds") <= crowd), unit), "suffixes", "zstd"), unit)
-    windows = stored(repeats.window_names(docs, groups.where(F.col("kinds") > crowd), unit), "windows")
-    again = windows.groupBy("gram", "name").agg(F.count("*").alias("n")).where("n > 1").select("gram", "name")
-    crowded = windows.join(again, ["gram", "name"]).select("key", "start", (F.col("start") + window).alias("end"))
+    crowded = repeats.repeated_windows(repeats.window_names(docs, groups.where(F.col("kinds") > crowd), unit), unit, others_than_first=False)
     return copies.unionByName(sorted_).unionByName(crowded)
 
 
@@ -173,13 +171,14 @@ def _unit(window: int) -> repeats.Unit:
 
 def remove_repeated_bytes(docs: DataFrame, window: int = 200, doc_id: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document."""
-    rows = repeats.plain(repeats.keyed(docs.select(doc_id, text), doc_id, text), doc_id, text)
+    rows = repeats.texts(docs, doc_id, text)
     out = repeats.digests(rows, repeated_bytes(rows, window, crowd), _unit(window))
     return out.select("doc_id", F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
 
 
 def remove_from_texts(docs: DataFrame, window: int = 200, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the repeated bytes cut from their texts; all columns stay."""
-    rows = repeats.keyed(docs, doc_id, text)
-    covered = repeated_bytes(repeats.plain(rows, doc_id, text), window)
-    return repeats.rewritten(rows, text, "__key", covered, _unit(window)).drop("__key")
+    key = free_name("key", docs)
+    rows = repeats.keyed(docs, key, doc_id, text)
+    covered = repeated_bytes(repeats.plain(rows, key, doc_id, text), window)
+    return repeats.rewritten(rows, text, key, covered, _unit(window)).drop(key)

@@ -117,6 +117,29 @@ def test_repeated_bytes_against_brute_force(spark, alphabet, window, crowd):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=repr) == bytes_brute([(i, (t or "").encode()) for i, t in rows], window)
 
 
+def test_repeated_bytes_of_long_windows(spark):
+    rng = random.Random(400)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = text(700)
+    rows = [(i, text(300) + (shared[: 399 + i % 4 * 100] if i % 3 else "") + text(200)) for i in range(12)] + [(20, "z" * 5000), (21, "xy" * 900)]
+    got = suffix_dedup.remove_repeated_bytes(made(spark, rows), window=400).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=repr) == bytes_brute([(i, t.encode()) for i, t in rows], 400)
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeated_bytes(made(spark, rows), window=1 << 16)
+
+
+@pytest.mark.parametrize("words", [False, True])
+def test_rows_grow_with_documents_not_with_windows(spark, words):
+    """Twice the copies of a passage make twice the rows, a few per document, and a text of one byte makes few."""
+    rng = random.Random(12)
+    shared = " ".join(f"s{rng.randint(0, 10**6)}" for _ in range(200))
+    rows = lambda n: [(i, f"{rng.random()} {shared} {rng.random()}") for i in range(n)]
+    covered = (lambda d: substring_dedup.repeated_words(d, 20)) if words else (lambda d: suffix_dedup.repeated_bytes(d, 200, crowd=1))
+    found = [covered(made(spark, rows(n)).selectExpr("doc_id as key", "text")).count() for n in (60, 120)]
+    assert found[1] <= 2.2 * found[0] and found[1] <= 120 * 12
+    assert covered(made(spark, [(1, "a " * 20_000 if words else "a" * 40_000)]).selectExpr("doc_id as key", "text")).count() <= 10
+
+
 def test_repeated_bytes_with_repeated_and_null_ids(spark):
     rows = [(1, "0123456789 one"), (1, "0123456789 two"), (None, "0123456789"), (None, None), (2, "unique text")]
     got = suffix_dedup.remove_repeated_bytes(made(spark, rows), window=8).collect()
