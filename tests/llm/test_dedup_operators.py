@@ -210,7 +210,7 @@ def test_leaks_verbatim_and_paraphrased(spark):
         rows.append((i, " ".join(text)))
     rows += [(900, None), (901, ""), (902, "w1"), (None, " ".join(items[0]))]
     bench = spark.createDataFrame([(i, " ".join(q)) for i, q in enumerate(items)] + [(77, None), (78, "")], "item_id bigint, text string")
-    got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(made(spark, rows), bench, common=0.5).collect()}
+    got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(made(spark, rows), bench).collect()}
     assert (None, 0) in got and got - {(None, 0)} <= truth and len(got & truth) >= 0.9 * len(truth)
     assert {(i, i) for i in range(30)} <= got
     assert decontamination.find_leaks(made(spark, rows), bench.limit(0)).count() == 0
@@ -247,6 +247,30 @@ def test_leaks_of_items_of_mostly_common_words(spark):
     assert got == {(i, i) for i in range(10)}
 
 
+def test_leaks_against_brute_force(spark):
+    """Every passage against every stretch of a document, without lists or cosine; some items of words that all documents have."""
+    rng = random.Random(8)
+    common = [f"c{k}" for k in range(30)]
+    items = [[rng.choice(common) if i % 4 == 0 or rng.random() < 0.4 else f"q{rng.randint(0, 10**5)}" for _ in range(rng.randint(12, 60))] for i in range(24)]
+    rows = []
+    for d in range(72):
+        text = [rng.choice(common) if rng.random() < 0.6 else f"w{rng.randint(0, 2000)}" for _ in range(rng.randint(30, 260))]
+        change = (d // 24) * 0.2
+        at = rng.randrange(len(text))
+        text[at:at] = [f"w{rng.randint(0, 2000)}" if rng.random() < change else x for x in items[d % 24]]
+        rows.append((d, " ".join(text)))
+
+    def held(text, item, reach):
+        starts = [*range(0, max(len(item) - 48, 0), 24), max(len(item) - 48, 0)]
+        return any(decontamination._overlap(item[s : s + 48], text[k : k + reach], 0.8, 0.55, 5) for s in starts for k in range(max(1, len(text) - reach + 1)))
+
+    texts = [t.split() for _, t in rows]
+    near, far = ({(d, i) for d, t in enumerate(texts) for i, q in enumerate(items) if held(t, q, reach)} for reach in (decontamination.REACH, decontamination.REACH + decontamination.STEP))
+    bench = spark.createDataFrame([(i, " ".join(q)) for i, q in enumerate(items)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(made(spark, rows), bench).collect()}
+    assert {(d, d % 24) for d in range(24)} <= got <= far and len(got & near) >= 0.95 * len(near) >= 0.95 * 40
+
+
 def test_sampled_passages_of_every_document():
     lengths = [0, 48 * 60, 20, 48 * 9 + 1, 100]
     bounds = np.append(0, np.cumsum(lengths))
