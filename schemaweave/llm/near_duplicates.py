@@ -192,7 +192,7 @@ def _across(large: DataFrame, hubs: DataFrame, roots: DataFrame, sets: DataFrame
     """Links between components of the verified links within families: documents joined by large groups."""
     family = components(hubs)
     placed = large.select("doc_id").distinct().join(family.select(F.col("node").alias("doc_id"), F.col("root").alias("family")), "doc_id")
-    placed = placed.join(roots, placed["doc_id"] == roots["node"], "left").select("family", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    placed = stored(placed.join(roots, placed["doc_id"] == roots["node"], "left").select("family", "doc_id", F.coalesce("root", "doc_id").alias("root")), "families")
     sizes = placed.groupBy("family", "root").agg(F.count("*").alias("m")).groupBy("family").agg(F.sum("m").alias("m"), F.count("*").alias("parts"))
     blocks = placed.join(sizes.where("parts > 1"), "family").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     own = blocks.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -243,7 +243,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     def ends(df: DataFrame) -> DataFrame:
         return df.select(F.inline(F.array(F.struct(F.col("a").alias("doc_id")), F.struct(F.col("b").alias("doc_id"))))).distinct()
 
-    likely = stored(_estimated(candidates, matching(sketches, "doc_id", ends(candidates), "doc_id"), percent), "likely")
+    likely = stored(_estimated(candidates, matching(sketches, "doc_id", stored(ends(candidates), "ends"), "doc_id"), percent), "likely")
     # Full sets only of documents that have a candidate.
     wanted = stored(ends(likely).unionByName(large.select("doc_id")).distinct(), "wanted")
     sets = stored(matching(rows, "doc_id", wanted, "doc_id").join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id bigint, shingles binary"), "sets")

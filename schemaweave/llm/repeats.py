@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from schemaweave.llm.anchors import elect
 from schemaweave.llm.arrays import U64, mixed, span_hashes, text_bytes, text_slices, words
-from schemaweave.llm.shared import divided, free_name, matching, stored
+from schemaweave.llm.shared import divided, free_name, matching, packed, stored
 
 
 #: Names that are looked up without a join, at most.
@@ -292,7 +292,7 @@ def digests(docs: DataFrame, covered: DataFrame, unit: Unit) -> DataFrame:
     spans = stored(_runs(covered), "spans")
     cut = matching(docs, "key", spans, "key").join(spans, "key").mapInArrow(run, schema)
     whole = docs.mapInArrow(run, schema).join(spans, "key", "left_anti")
-    return whole.unionByName(cut).drop("key")
+    return packed(whole.unionByName(cut).drop("key"))
 
 
 def rewritten(docs: DataFrame, text: str, key: str, covered: DataFrame, unit: Unit) -> DataFrame:
@@ -310,4 +310,4 @@ def rewritten(docs: DataFrame, text: str, key: str, covered: DataFrame, unit: Un
             names = [c for c in batch.schema.names if c != own]
             yield pa.RecordBatch.from_arrays([new if c == text else batch.column(c) for c in names], names)
 
-    return rest.unionByName(joined.mapInArrow(run, docs.schema))
+    return packed(rest.unionByName(joined.mapInArrow(run, docs.schema)))
