@@ -6,6 +6,7 @@ import argparse
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from schemaweave.operators import graph, render
 from schemaweave.plans.analysis import analyze
@@ -25,7 +26,7 @@ def main(argv: list[str] | None = None) -> int:
     result = analyze(from_text(spark, sys.stdin.read()) if a.path == "-" else read_scripts(spark, a.path, glob="*"))
     code, column = 0, None
     if a.impact:
-        out = graph.impact_summary(result.impact(result.scripts.selectExpr("script_id", f"'{a.impact.replace(chr(39), '')}' as target")))
+        out = graph.impact_summary(result.impact(result.scripts.select("script_id", F.lit(a.impact).alias("target"))))
     elif a.topo:
         out = result.topological_order().orderBy("script_id", "position")
     elif a.cycles:
@@ -33,8 +34,7 @@ def main(argv: list[str] | None = None) -> int:
         code = int(bool(out.take(1)))
     else:
         column = {"text": "report"}.get(a.format, a.format)
-        makers = {"text": lambda: render.to_text(result.objects, result.edges, result.columns), "dot": lambda: render.to_dot(result.objects, result.edges), "mermaid": lambda: render.to_mermaid(result.objects, result.edges), "json": lambda: render.to_json(result.objects, result.edges, result.flows)}
-        out = makers[a.format]()
+        out = {"text": render.to_text, "dot": render.to_dot, "mermaid": render.to_mermaid, "json": render.to_json}[a.format](result)
     if a.output:
         (out.select(column).write.text if column else out.write.json)(a.output)
     else:

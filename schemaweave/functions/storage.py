@@ -9,16 +9,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where that is unset."""
+    """spark.checkpoint.dir; only a local master may do without, and then gets a temporary folder."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir isn't set; executors need a folder that they share")
         place = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """`df` written to the shared folder and read back."""
+def stored(df: DataFrame, by: str | None = None) -> DataFrame:
+    """`df` written to the shared folder, in a folder for each value of `by`, and read back."""
     path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
+
+
+def dropped(df: DataFrame | None) -> None:
+    """Delete what stored() has written for `df`, which must not be read any more."""
+    path = getattr(df, "_stored_at", None)
+    if path:
+        jvm = df.sparkSession._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)

@@ -15,3 +15,20 @@ PIPE ROW PIPELINED DETERMINISTIC PARALLEL_ENABLE AUTONOMOUS_TRANSACTION
 NO_ALIAS = RESERVED | {"JOIN", "WINDOW", "RETURNING", "QUALIFY", "SAMPLE"}
 #: Calls in which FROM names no table.
 FROM_CALLS = frozenset({"EXTRACT", "SUBSTRING", "SUBSTR", "TRIM", "OVERLAY", "POSITION"})
+#: Begin a query in parentheses, not a join tree.
+LIST_WORDS = frozenset({"SELECT", "WITH", "VALUES"})
+#: Begin a part of a column list that is no column.
+NOT_COLUMNS = frozenset({"INDEX", "KEY", "FULLTEXT", "SPATIAL", "LIKE", "PERIOD"})
+#: The first of these ends a column's type.
+MODIFIERS = frozenset({
+    "NOT NULL", "NULL", "PRIMARY KEY", "UNIQUE", "DEFAULT", "REFERENCES", "CHECK", "CONSTRAINT", "COLLATE", "GENERATED",
+    "AUTO_INCREMENT", "AUTOINCREMENT", "IDENTITY", "COMMENT", "ON UPDATE", "CHARACTER SET", "CHARSET",
+})
+#: Any of these ends a default.
+AFTER_DEFAULT = MODIFIERS - {"DEFAULT", "AUTOINCREMENT", "IDENTITY", "CHARACTER SET", "CHARSET"}
+#: Clauses that end a select list, and SELECT.
+CLAUSES = ("SELECT", "FROM", "WHERE", "GROUP", "ORDER", "HAVING", "LIMIT", "UNION", "INTERSECT", "EXCEPT")
+#: Options between a routine's head and its IS or AS.
+ROUTINE_OPTIONS = frozenset({"AUTHID", "DETERMINISTIC", "PIPELINED", "PARALLEL_ENABLE", "RESULT_CACHE"})
+#: Begin the declarations, or the block, of a routine.
+DECLARATIONS = frozenset({"BEGIN", "CURSOR", "TYPE", "PRAGMA", "PROCEDURE", "FUNCTION"})

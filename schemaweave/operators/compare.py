@@ -58,12 +58,40 @@ def lineage_view(objects: DataFrame, edges: DataFrame, flows: DataFrame) -> Data
     kept = edges.where("edge_type not in ('READ', 'WRITE')").unionByName(edges.where("edge_type in ('READ', 'WRITE')").join(routines, ["script_id", "source"], "left_anti"))
     turned = kept.select("script_id", F.when(F.col("edge_type") == "WRITE", F.col("source")).otherwise(F.col("target")).alias("from"), F.when(F.col("edge_type") == "WRITE", F.col("target")).otherwise(F.col("source")).alias("to"), F.col("edge_type").alias("type"), "details", F.lit("").alias("via"))
     moved = flows.select("script_id", F.col("source").alias("from"), F.col("target").alias("to"), F.col("edge_type").alias("type"), "details", "via")
-    links = turned.unionByName(moved).groupBy("script_id", "from", "to", "type", "details").agg(F.min("via").alias("via"))
+    links = turned.unionByName(moved).where("`from` <> `to`").groupBy("script_id", "from", "to", "type", "details").agg(F.min("via").alias("via"))
     for end in ("from", "to"):
         links = links.join(objects.select("script_id", F.col("name").alias(end)), ["script_id", end], "left_semi")
     return links.select("script_id", "from", "to", "type", "details", "via")
 
 
+def _members(objects: DataFrame, links: DataFrame) -> DataFrame:
+    """script_id, owner, name: what is drawn in a routine's group: its tables, and itself if it is linked or has no tables."""
+    routines = objects.where("type in ('FUNCTION', 'PROCEDURE')").select("script_id", F.col("name").alias("owner")).distinct()
+    tables = objects.where("parent is not null").select("script_id", F.col("parent").alias("owner"), "name").join(routines, ["script_id", "owner"], "left_semi")
+    linked = links.select("script_id", F.explode(F.array("from", "to")).alias("owner")).distinct()
+    bare = routines.join(tables, ["script_id", "owner"], "left_anti")
+    shown = routines.join(linked, ["script_id", "owner"], "left_semi").unionByName(bare).distinct()
+    return tables.unionByName(shown.withColumn("name", F.col("owner")))
+
+
+def view_nodes(objects: DataFrame, links: DataFrame) -> DataFrame:
+    """script_id, name, owner of what lineage_view() draws: all but routines that only move data between tables; owner: its group, or null."""
+    members = _members(objects, links)
+    hidden = objects.where("type in ('FUNCTION', 'PROCEDURE')").select("script_id", "name").join(members.select("script_id", "name"), ["script_id", "name"], "left_anti")
+    return objects.select("script_id", "name").distinct().join(hidden, ["script_id", "name"], "left_anti").join(members, ["script_id", "name"], "left").select("script_id", "name", "owner")
+
+
+def link_labels(links: DataFrame, objects: DataFrame) -> DataFrame:
+    """links of lineage_view() with label: type and details, and the routine if both ends are outside its group."""
+    members = _members(objects, links)
+    out = links
+    for end in ("from", "to"):
+        out = out.join(members.select("script_id", F.col("name").alias(end), F.col("owner").alias(f"{end}_owner")), ["script_id", end], "left")
+    outside = lambda end: ~F.col(f"{end}_owner").eqNullSafe(F.col("via"))
+    named = F.when((F.col("via") != "") & outside("from") & outside("to"), F.concat(F.lit(" · ƒ "), "via")).otherwise("")
+    return out.select(*links.columns, F.concat("type", F.when(F.col("details") != "", F.concat(F.lit(" "), "details")).otherwise(""), named).alias("label"))
+
+
 def groups(objects: DataFrame) -> DataFrame:
     """script_id, owner, members: each routine with the tables it creates, sorted."""
     own = objects.where("parent is not null").select("script_id", F.col("parent").alias("owner"), "name")

@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _first(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
+    """The least seq of each key: partial sums before the one shuffle, and no group in one task."""
+    return df.groupBy("script_id", *keys).agg(F.min(seq).alias(seq))
+
+
 def numbered(edges: DataFrame) -> DataFrame:
-    """First of each (source, target, type, details) without self-edges, with edge_seq in order of emission."""
+    """First of each (source, target, type, details) without self-edges; edge_seq ascends in order of emission."""
     kept = edges.where("source <> target and source <> '' and target <> ''")
-    first = Window.partitionBy("script_id", "source", "target", "edge_type", "details").orderBy("stmt_seq", "phase", "pos")
-    order = Window.partitionBy("script_id").orderBy("stmt_seq", "phase", "pos", "source", "target")
-    return kept.withColumn("__n", F.row_number().over(first)).where("__n = 1").withColumn("edge_seq", F.row_number().over(order).cast("bigint")).select("script_id", "edge_seq", "stmt_seq", "source", "target", "edge_type", "via", "details")
+    seq = F.shiftleft(F.col("stmt_seq").cast("bigint"), 34) + F.shiftleft(F.col("phase").cast("bigint"), 32) + F.col("pos")
+    return _first(kept.withColumn("edge_seq", seq), ["source", "target", "edge_type", "via", "details"], "edge_seq").select("script_id", "edge_seq", "source", "target", "edge_type", "via", "details")
 
 
 def distinct_flows(flows: DataFrame) -> DataFrame:
-    """First of each (source, target, type, details, via), with flow_seq."""
-    first = Window.partitionBy("script_id", "source", "target", "edge_type", "details", "via").orderBy("stmt_seq", "part_seq", "at")
-    order = Window.partitionBy("script_id").orderBy("stmt_seq", "part_seq", "at", "source")
-    return flows.withColumn("__n", F.row_number().over(first)).where("__n = 1").withColumn("flow_seq", F.row_number().over(order).cast("bigint")).select("script_id", "flow_seq", "source", "target", "edge_type", "via", "details")
+    """First of each (source, target, type, details, via); flow_seq ascends in order of emission."""
+    return _first(flows, ["source", "target", "edge_type", "via", "details"], "flow_seq").select("script_id", "flow_seq", "source", "target", "edge_type", "via", "details")
 
 
 def registered(objects: DataFrame, edges: DataFrame) -> DataFrame:

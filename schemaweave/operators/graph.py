@@ -6,33 +6,40 @@ step adds nothing. Null or missing nodes give no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from schemaweave.functions.storage import stored
+from schemaweave.functions.storage import dropped, stored
+
+
+def _links(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
+    return edges.select("script_id", F.col(source).alias("from"), F.col(target).alias("to")).distinct()
 
 
 def reachable(starts: DataFrame, edges: DataFrame) -> DataFrame:
-    """starts(script_id, start) to script_id, start, node: all that is reached along the edges, the start only by a cycle."""
-    links = edges.select("script_id", F.col("source").alias("from"), "target").distinct()
-    frontier = stored(starts.select("script_id", "start", F.col("start").alias("node")).distinct())
+    """starts(script_id, start) to script_id, start, node: all that is reached along the edges, the start only by a cycle.
+
+    Each round's new nodes are written once and never again; what is known is the union of the rounds.
+    """
+    links = stored(_links(edges))
+    frontier = starts.select("script_id", "start", F.col("start").alias("node")).distinct()
     found = None
     while True:
-        step = frontier.join(links, (frontier["script_id"] == links["script_id"]) & (frontier["node"] == links["from"])).select(frontier["script_id"], "start", F.col("target").alias("node")).distinct()
-        if found is not None:
-            step = step.join(found, ["script_id", "start", "node"], "left_anti")
-        frontier = stored(step)
+        step = frontier.withColumnRenamed("node", "from").join(links, ["script_id", "from"]).select("script_id", "start", F.col("to").alias("node")).distinct()
+        frontier = stored(step if found is None else step.join(found, ["script_id", "start", "node"], "left_anti"))
+        found = frontier if found is None else found.unionByName(frontier)
         if not frontier.take(1):
-            return found if found is not None else frontier
-        found = frontier if found is None else stored(found.unionByName(frontier))
+            return found
 
 
-def impact(edges: DataFrame, targets: DataFrame, edge_types: list[str] | None = None) -> DataFrame:
+def impact(edges: DataFrame, targets: DataFrame, edge_types: list[str] | None = None, directions: tuple[str, ...] = ("upstream", "downstream")) -> DataFrame:
     """targets(script_id, target) to script_id, target, direction (upstream, downstream), node."""
     kept = edges if edge_types is None else edges.where(F.col("edge_type").isin(edge_types))
     starts = targets.select("script_id", F.lower("target").alias("start"))
-    back = kept.select("script_id", F.col("target").alias("source"), F.col("source").alias("target"))
-    both = reachable(starts, kept).withColumn("direction", F.lit("upstream")).unionByName(reachable(starts, back).withColumn("direction", F.lit("downstream")))
+    along = {"upstream": kept, "downstream": kept.select("script_id", F.col("target").alias("source"), F.col("source").alias("target"))}
+    both = reduce(DataFrame.unionByName, [reachable(starts, along[d]).withColumn("direction", F.lit(d)) for d in directions])
     return both.where("node <> start").select("script_id", F.col("start").alias("target"), "direction", "node")
 
 
@@ -45,104 +52,170 @@ def impact_summary(found: DataFrame) -> DataFrame:
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes(script_id, name) to script_id, name, level: the longest path of dependencies; null on or above a cycle.
 
-    A node gets its level when all it depends on have one: one step per level.
+    A node gets its level when all it depends on have one: one step per level. A step reads the
+    links that still wait, and its own nodes are written once.
     """
+    known = nodes.select("script_id", "name").distinct()
     links = edges.where("source <> target").select("script_id", F.col("source").alias("name"), F.col("target").alias("on")).distinct()
-    links = links.join(nodes.select("script_id", F.col("name").alias("on")), ["script_id", "on"], "left_semi")
-    waiting, done, level = stored(links), None, 0
-    rest = stored(nodes.select("script_id", "name").distinct())
-    while True:
-        ready = rest.join(waiting.select("script_id", "name"), ["script_id", "name"], "left_anti")
-        ready = stored(ready.withColumn("level", F.lit(level).cast("bigint")))
-        if not ready.take(1):
-            tail = rest.withColumn("level", F.lit(None).cast("bigint"))
-            return tail if done is None else done.unionByName(tail)
-        done = ready if done is None else done.unionByName(ready)
-        rest = stored(rest.join(ready, ["script_id", "name"], "left_anti"))
-        waiting = stored(waiting.join(ready.select("script_id", F.col("name").alias("on")), ["script_id", "on"], "left_anti"))
+    waiting = stored(links.join(known.withColumnRenamed("name", "on"), ["script_id", "on"], "left_semi"))
+    ready = stored(known.join(waiting, ["script_id", "name"], "left_anti").withColumn("level", F.lit(0).cast("bigint")))
+    done, level = ready, 0
+    while ready.take(1):
         level += 1
+        freed = ready.select("script_id", F.col("name").alias("on"))
+        left = stored(waiting.join(freed, ["script_id", "on"], "left_anti"))
+        # Ready is what has lost a link now and has no other.
+        touched = waiting.join(freed, ["script_id", "on"], "left_semi").select("script_id", "name").distinct()
+        ready = stored(touched.join(left, ["script_id", "name"], "left_anti").withColumn("level", F.lit(level).cast("bigint")))
+        dropped(waiting)
+        waiting, done = left, done.unionByName(ready)
+    return done.unionByName(known.join(done, ["script_id", "name"], "left_anti").withColumn("level", F.lit(None).cast("bigint")))
 
 
 def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes(script_id, name, obj_seq) to script_id, position, name: first-in-first-out order of dependencies.
 
     Within a level nodes come by the last position among their dependencies and name, on the
-    first level by obj_seq. What depends on a cycle comes last, sorted, marked by `*`.
+    first level by obj_seq. What depends on a cycle comes last, sorted, marked by `*`. Each
+    level is written once. Positions count through a script, so its level is sorted in one task.
     """
     of = stored(levels(nodes, edges))
-    links = edges.where("source <> target").select("script_id", F.col("source").alias("name"), F.col("target").alias("on")).distinct()
-    placed = None
+    sizes = of.groupBy("script_id", "level").agg(F.count("*").alias("n"))
+    before = stored(sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("script_id").orderBy(F.col("level").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n"))
+    links = stored(edges.where("source <> target").select("script_id", F.col("source").alias("name"), F.col("target").alias("on")).distinct().join(of, ["script_id", "name"]))
     top = of.agg(F.max("level")).first()[0]
+    placed = None
+
+    def numbered(rows: DataFrame, *order: str) -> DataFrame:
+        own = F.row_number().over(Window.partitionBy("script_id").orderBy(*order))
+        return rows.withColumn("own", own).join(before, (rows["script_id"] == before["script_id"]) & rows["level"].eqNullSafe(before["level"])).select(rows["script_id"], (F.col("before") + F.col("own")).cast("bigint").alias("position"), "name")
+
     for level in range(0 if top is None else top + 1):
         now = of.where(F.col("level") == level)
         if level == 0:
             keyed = now.join(nodes.groupBy("script_id", "name").agg(F.min("obj_seq").alias("key")), ["script_id", "name"])
         else:
-            keyed = now.join(links, ["script_id", "name"]).join(placed.select("script_id", F.col("name").alias("on"), "position"), ["script_id", "on"]).groupBy("script_id", "name").agg(F.max("position").alias("key"))
-        before = placed.groupBy("script_id").agg(F.count("*").alias("n")) if placed is not None else None
-        rows = keyed.withColumn("rn", F.row_number().over(Window.partitionBy("script_id").orderBy("key", "name")))
-        rows = rows.join(before, "script_id", "left") if before is not None else rows.withColumn("n", F.lit(0))
-        rows = rows.select("script_id", (F.coalesce("n", F.lit(0)) + F.col("rn")).cast("bigint").alias("position"), "name")
-        placed = stored(rows if placed is None else placed.unionByName(rows))
-    cyclic = of.where("level is null").withColumn("rn", F.row_number().over(Window.partitionBy("script_id").orderBy("name")))
-    if placed is None:
-        return cyclic.select("script_id", F.col("rn").cast("bigint").alias("position"), F.concat(F.lit("*"), "name").alias("name"))
-    counts = placed.groupBy("script_id").agg(F.count("*").alias("n"))
-    tail = cyclic.join(counts, "script_id", "left").select("script_id", (F.coalesce("n", F.lit(0)) + F.col("rn")).cast("bigint").alias("position"), F.concat(F.lit("*"), "name").alias("name"))
-    return placed.unionByName(tail)
+            met = links.where(F.col("level") == level).join(placed.select("script_id", F.col("name").alias("on"), "position"), ["script_id", "on"])
+            keyed = met.groupBy("script_id", "name", "level").agg(F.max("position").alias("key"))
+        rows = stored(numbered(keyed, "key", "name"))
+        placed = rows if placed is None else placed.unionByName(rows)
+    tail = numbered(of.where("level is null"), "name").withColumn("name", F.concat(F.lit("*"), "name"))
+    return tail if placed is None else placed.unionByName(tail)
 
 
 def cyclic_nodes(edges: DataFrame) -> DataFrame:
-    """script_id, node: nodes that reach themselves. Ends that can't lie on a cycle are peeled off first."""
-    links = stored(edges.where("source <> target").select("script_id", "source", "target").distinct())
+    """script_id, node: nodes that reach themselves, by forward and backward colours.
+
+    Ends that can't lie on a cycle are peeled off. Then each node takes the least name that reaches
+    it as its colour; nodes of a colour that reach the node of that name lie on a cycle with it, are
+    reported and leave. Rows are one per link and node in every step, whatever the cycles' sizes.
+    """
+    links = stored(_links(edges.where("source <> target")))
+    out = None
+    while True:
+        links = _peeled(links)
+        if not links.take(1):
+            return out if out is not None else links.select("script_id", F.col("from").alias("node"))
+        colour = _coloured(links)
+        inner = links.join(colour.withColumnsRenamed({"node": "from", "colour": "own"}), ["script_id", "from"]).join(colour.withColumnsRenamed({"node": "to", "colour": "other"}), ["script_id", "to"]).where("own = other")
+        inner = stored(inner.select("script_id", "from", "to", "own"))
+        # Backwards from the node that gave the colour, within the colour.
+        frontier = stored(colour.where("node = colour").select("script_id", "node"))
+        back = frontier
+        while True:
+            step = inner.join(frontier.withColumnRenamed("node", "to"), ["script_id", "to"]).select("script_id", F.col("from").alias("node")).distinct()
+            frontier = stored(step.join(back, ["script_id", "node"], "left_anti"))
+            if not frontier.take(1):
+                break
+            back = back.unionByName(frontier)
+        # A colour's own node is on a cycle if any node of its colour links to it.
+        closed = inner.where("to = own").select("script_id", F.col("own").alias("colour")).distinct()
+        found = stored(colour.join(closed, ["script_id", "colour"], "left_semi").join(back, ["script_id", "node"], "left_semi").select("script_id", "node"))
+        out = found if out is None else out.unionByName(found)
+        gone = stored(found.unionByName(colour.where("node = colour").select("script_id", "node")).distinct())
+        rest = links.join(gone.withColumnRenamed("node", "from"), ["script_id", "from"], "left_anti").join(gone.withColumnRenamed("node", "to"), ["script_id", "to"], "left_anti")
+        links = stored(rest)
+
+
+def _peeled(links: DataFrame) -> DataFrame:
+    """Links whose ends both have a link in and a link out, again and again."""
+    size = links.count()
+    while True:
+        heads, tails = links.select("script_id", F.col("to").alias("from")).distinct(), links.select("script_id", F.col("from").alias("to")).distinct()
+        inner = stored(links.join(heads, ["script_id", "from"], "left_semi").join(tails, ["script_id", "to"], "left_semi"))
+        left = inner.count()
+        if left == size:
+            return links
+        dropped(links)
+        links, size = inner, left
+
+
+def _coloured(links: DataFrame) -> DataFrame:
+    """script_id, node, colour: the least name that reaches a node, itself included."""
+    ends = links.select("script_id", F.inline(F.array(F.struct(F.col("from").alias("node")), F.struct(F.col("to").alias("node")))))
+    colour = stored(ends.distinct().withColumn("colour", F.col("node")))
+    changed = colour
     while True:
-        heads, tails = links.select("script_id", F.col("target").alias("source")), links.select("script_id", F.col("source").alias("target"))
-        inner = stored(links.join(heads, ["script_id", "source"], "left_semi").join(tails, ["script_id", "target"], "left_semi"))
-        if inner.count() == links.count():
-            break
-        links = inner
-    starts = links.select("script_id", F.col("source").alias("start")).distinct()
-    return reachable(starts, links).where("node = start").select("script_id", "node")
+        offered = links.join(changed.withColumnRenamed("node", "from"), ["script_id", "from"]).groupBy("script_id", F.col("to").alias("node")).agg(F.min("colour").alias("new"))
+        better = stored(offered.join(colour, ["script_id", "node"]).where("new < colour").select("script_id", "node", F.col("new").alias("colour")))
+        if not better.take(1):
+            return colour
+        fresh = stored(colour.unionByName(better).groupBy("script_id", "node").agg(F.min("colour").alias("colour")))
+        dropped(colour)
+        colour, changed = fresh, better
 
 
-def cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """script_id, seq, path: the cycles that a depth-first walk in object order closes, smallest name first.
+def _walked(nodes: DataFrame, edges: DataFrame, cyclic: DataFrame | None) -> DataFrame:
+    """script_id, seq, path of each link that a depth-first walk in object order finds to lead back; path: from the link's end to its start.
 
     Only the graphs of scripts with a cycle are walked, one script at a time: the walk's order
-    decides which cycles are listed, so it can't be split. edges need edge_seq, nodes obj_seq.
+    decides which links lead back, so it can't be split. edges need edge_seq, nodes obj_seq.
     """
     import pandas as pd
 
-    bad = cyclic_nodes(edges).select("script_id").distinct()
+    bad = stored((cyclic_nodes(edges) if cyclic is None else cyclic).select("script_id").distinct())
     rows = edges.where("source <> target").join(bad, "script_id", "left_semi").select("script_id", F.lit(1).alias("kind"), F.col("edge_seq").alias("seq"), F.col("source").alias("a"), F.col("target").alias("b"))
     rows = rows.unionByName(nodes.join(bad, "script_id", "left_semi").select("script_id", F.lit(0).alias("kind"), F.col("obj_seq").alias("seq"), F.col("name").alias("a"), F.lit("").alias("b")))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["kind", "seq", "a", "b"])
-        out: dict[str, list[str]] = {}
-        for a, b in pdf[pdf["kind"] == 1][["a", "b"]].itertuples(index=False):
-            if b not in out.setdefault(a, []):
-                out[a].append(b)
-        found, seen = {}, set()
+        of = pdf[pdf["kind"] == 1].drop_duplicates(["a", "b"]).groupby("a", sort=False)["b"].agg(list).to_dict()
+        found, seen = [], set()
         for root in pdf[pdf["kind"] == 0]["a"]:
-            if root in seen:
-                continue
-            path, on, todo = [root], {root}, [iter(out.get(root, []))]
-            seen.add(root)
+            path, place, todo = [], {}, [[root]]  # todo[k]: what is left to visit from path[k - 1], last first
             while todo:
-                nxt = next(todo[-1], None)
-                if nxt is None:
+                node = todo[-1].pop() if todo[-1] else None
+                if node is None:
                     todo.pop()
-                    on.discard(path.pop())
-                elif nxt in on:
-                    ring = path[path.index(nxt) :]
-                    k = ring.index(min(ring))
-                    found.setdefault(tuple([*ring[k:], *ring[:k], ring[k]]))
-                elif nxt not in seen:
-                    seen.add(nxt)
-                    path.append(nxt)
-                    on.add(nxt)
-                    todo.append(iter(out.get(nxt, [])))
-        return pd.DataFrame({"script_id": pdf["script_id"].iloc[0], "seq": range(len(found)), "path": [list(x) for x in found]})
+                    place.pop(path.pop() if path else None, None)
+                elif node in place:
+                    found.append(path[place[node] :])
+                elif node not in seen:
+                    seen.add(node)
+                    place[node] = len(path)
+                    path.append(node)
+                    todo.append(of.get(node, [])[::-1])
+        return pd.DataFrame({"script_id": pdf["script_id"].iloc[0], "seq": range(len(found)), "path": found})
 
     return rows.groupBy("script_id").applyInPandas(walk, "script_id string, seq bigint, path array<string>")
+
+
+def cycles(nodes: DataFrame, edges: DataFrame, cyclic: DataFrame | None = None) -> DataFrame:
+    """script_id, seq, path: the distinct cycles that a depth-first walk closes, smallest name first and last (see _walked()).
+
+    cyclic: what cyclic_nodes() has found, if that is known.
+    """
+    k = F.array_position("path", F.array_min("path")).cast("int")
+    ring = F.concat(F.slice("path", k, F.size("path")), F.slice("path", F.lit(1), k - 1), F.array(F.array_min("path")))
+    return _walked(nodes, edges, cyclic).select("script_id", "seq", ring.alias("path")).groupBy("script_id", "path").agg(F.min("seq").alias("seq")).select("script_id", "seq", "path")
+
+
+def layer_levels(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes(script_id, name, obj_seq), links(script_id, edge_seq, from, to) to script_id, name, level: the longest path that leads to a node.
+
+    Links that a depth-first walk finds to lead back are left out, so every node has a level.
+    """
+    edges = links.select("script_id", "edge_seq", F.col("from").alias("source"), F.col("to").alias("target"))
+    back = _walked(nodes, edges, None).select("script_id", F.element_at("path", -1).alias("source"), F.element_at("path", 1).alias("target")).distinct()
+    ahead = edges.join(back, ["script_id", "source", "target"], "left_anti")
+    return levels(nodes, ahead.select("script_id", F.col("target").alias("source"), F.col("source").alias("target")))

@@ -36,3 +36,35 @@ def versions(kept: DataFrame) -> DataFrame:
 
 def without_project(saves: DataFrame, project: str) -> DataFrame:
     return saves.where(F.col("project") != project)
+
+
+def history_list(kept: DataFrame, stats: DataFrame) -> DataFrame:
+    """Entries of history(), newest first, with what stats(project, seq, total_objects, total_edges, has_cycles) says of each; null without."""
+    return kept.drop("ddl").join(stats, ["project", "seq"], "left").orderBy("project", F.desc("seq"))
+
+
+def history_entry(kept: DataFrame, project: str, seq: int) -> DataFrame:
+    return kept.where((F.col("project") == project) & (F.col("seq") == seq))
+
+
+def ensured(projects: DataFrame, requests: DataFrame) -> DataFrame:
+    """projects(project, display_name, description, created_at, updated_at) after requests to have projects.
+
+    requests(name, seq, at, metadata struct<name, description, created_at>): a new project gets its
+    metadata, or its clean name and `at`; an old one changes only where metadata is given: its
+    names, and updated_at. Of several requests for a project the last one with metadata counts.
+    """
+    meta = F.col("r.metadata")
+    asked = requests.withColumn("project", project_name(F.col("name"))).groupBy("project").agg(F.max_by(F.struct("at", "metadata"), F.struct(F.col("metadata").isNotNull(), "seq")).alias("r"))
+    both = projects.withColumn("old", F.lit(True)).join(asked, "project", "full")
+    old, given = F.col("old").isNotNull(), meta.isNotNull()
+    created = F.coalesce(meta["created_at"], F.col("r.at"))
+    named = {"display_name": F.coalesce(meta["name"], F.col("project")), "description": F.coalesce(meta["description"], F.lit(""))}
+    new = {c: F.when(old & ~given, F.col(c)).otherwise(v) for c, v in named.items()}
+    times = {"created_at": F.when(old, F.col("created_at")).otherwise(created), "updated_at": F.when(old & ~given, F.col("updated_at")).otherwise(created)}
+    return both.withColumns(new | times).select("project", *new, *times)
+
+
+def project_exists(projects: DataFrame, name: str) -> DataFrame:
+    """One row: whether there is a project with the clean form of this name."""
+    return projects.agg(F.coalesce(F.bool_or(F.col("project") == project_name(F.lit(name))), F.lit(False)).alias("exists"))

@@ -8,74 +8,63 @@ from pyspark.sql import functions as F
 from schemaweave.functions import scanners, text
 from schemaweave.operators.tables import edge
 
-_T = r"(?:`?\"?\w+\"?`?\.)*`?\"?(\w+)\"?`?"
-#: The writes of a body, by label, in order of precedence.
-WRITES = {
-    "INSERT": rf"INSERT\s+(?:OR\s+\w+\s+)?INTO\s+{_T}[^;]*?SELECT[^;]+",
-    "INSERT_VALUES": rf"INSERT\s+(?:OR\s+\w+\s+)?INTO\s+{_T}\s*(?:\([^)]*\)\s*)?VALUES[^;]+",
-    "UPDATE": rf"(?<!\bFOR\s)\bUPDATE\s+(?:ONLY\s+)?{_T}(?=[^;]*?\bSET\b)",
-    "DELETE": rf"DELETE\s+FROM\s+{_T}",
-    "MERGE": rf"MERGE\s+INTO\s+{_T}",
-    "TRUNCATE": rf"TRUNCATE\s+(?:TABLE\s+)?{_T}",
-}
-_CREATED = r"\bCREATE\s+(?:OR\s+REPLACE\s+)?(?:(?:GLOBAL|LOCAL)\s+)?(?:(TEMP(?:ORARY)?)\s+|UNLOGGED\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?(?:`?\"?(\w+)\"?`?\.)?`?\"?(\w+)\"?`?"
+#: The kinds of writes, in order of precedence.
+WRITES = ("CREATE", "INSERT", "INSERT_VALUES", "UPDATE", "DELETE", "MERGE", "TRUNCATE")
 
 
 def bodies(statements: DataFrame) -> DataFrame:
-    """Views and routines with body, ctes and reads (without themselves and their CTEs)."""
-    view = F.col("kind").isin("VIEW", "MATERIALIZED_VIEW")
-    some = statements.where(view | F.col("kind").isin("FUNCTION", "PROCEDURE"))
-    body = F.when(view, text.pick(F.col("stmt"), r"\bAS\b(.+)")).otherwise(text.routine_body(F.col("stmt")))
-    full = some.withColumn("body", F.coalesce(body, F.lit(""))).withColumn("ctes", text.cte_names(F.col("body")))
-    return full.withColumn("reads", _tables(scanners.read_tables(F.col("body"))))
+    """Views and routines as script_id, stmt_seq, name, kind, body and parts.
 
-
-def _tables(names: Column) -> Column:
-    return F.filter(names, lambda t: (t != F.col("name")) & ~F.array_contains("ctes", t))
+    parts: the statements of the body (a view's query is one) with part_seq, reads, writes, created
+    and mapping; reads without the object itself and the body's common table expressions.
+    """
+    some = statements.where("kind in ('VIEW', 'MATERIALIZED_VIEW', 'FUNCTION', 'PROCEDURE')")
+    read = some.withColumn("b", scanners.body_parts(F.col("stmt"), F.col("kind")))
+    known = lambda t: (t != F.col("name")) & ~F.array_contains(F.col("b.ctes"), t)
+    written = lambda w: ~F.array_contains(F.col("b.ctes"), w["t"])
+    parts = F.transform("b.parts", lambda p: p.withField("reads", F.filter(p["reads"], known)).withField("writes", F.filter(p["writes"], written)))
+    return read.select("script_id", "stmt_seq", "name", "kind", F.col("b.body").alias("body"), parts.alias("parts"))
 
 
-def read_edges(full: DataFrame) -> DataFrame:
-    rows = full.select("script_id", "stmt_seq", "name", F.posexplode("reads").alias("pos", "t"))
-    return rows.select(*edge(F.col("name"), F.col("t"), "READ", F.col("name"), F.lit(""), 0, F.col("pos")))
+def _first(full: DataFrame, values: Column) -> DataFrame:
+    """script_id, stmt_seq, name, pos, v: the distinct values of a body in order of first appearance."""
+    return full.select("script_id", "stmt_seq", "name", F.posexplode(F.array_distinct(F.flatten(values))).alias("pos", "v"))
 
 
-def _written(body: Column) -> Column:
-    """array<struct<rank, pos, t, label>> of a text's writes."""
-
+def read_edges(full: DataFrame) -> DataFrame:
+    rows = _first(full, F.transform("parts", lambda p: p["reads"]))
+    return rows.select(*edge(F.col("name"), F.col("v"), "READ", F.col("name"), F.lit(""), 0, F.col("pos")))
 
-    def of(rank: int, label: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(body, F.lit("(?iUs)" + pattern), 1), lambda t, i: F.struct(F.lit(rank).alias("rank"), i.alias("pos"), F.lower(t).alias("t"), F.lit(label).alias("label")))
 
-    found = [of(rank, label, pattern) for rank, (label, pattern) in enumerate(WRITES.items())]
-    return F.filter(F.concat(*found), lambda w: (w["t"] != "") & ~text.reserved(w["t"]) & ~F.array_contains("ctes", w["t"]))
+def _rank(label: Column) -> Column:
+    return F.array_position(F.lit(list(WRITES)), label)
 
 
 def write_edges(full: DataFrame) -> DataFrame:
-    rows = full.where("kind in ('FUNCTION', 'PROCEDURE')").select("script_id", "stmt_seq", "name", F.explode(_written(F.col("body"))).alias("w"))
-    out = rows.select(*edge(F.col("name"), F.col("w.t"), "WRITE", F.col("name"), F.col("w.label"), 1, F.col("w.rank") * 100_000 + F.col("w.pos")))
-    return out.where("source <> target")
+    """An edge for each table and kind of write, by kind and then by place."""
+    rows = _first(full, F.transform("parts", lambda p: p["writes"]))
+    return rows.select(*edge(F.col("name"), F.col("v.t"), "WRITE", F.col("name"), F.col("v.label"), 1, _rank(F.col("v.label")) * 100_000 + F.col("pos")))
 
 
 def body_parts(full: DataFrame) -> DataFrame:
-    """The statements of routine bodies, with what each reads, writes and creates."""
-    parts = full.where("kind in ('FUNCTION', 'PROCEDURE')").select("script_id", "stmt_seq", "name", "ctes", F.posexplode(scanners.body_statements(F.col("body"))).alias("part_seq", "part"))
-    made = F.lower(text.pick(F.col("part"), _CREATED, 3))
-    wide = parts.withColumn("created", made).withColumn("temporary", text.pick(F.col("part"), _CREATED, 1) != "").withColumn("schema", F.lower(text.pick(F.col("part"), _CREATED, 2)))
-    first = F.when(F.col("created").isNotNull(), F.array(F.struct(F.lit(-1).alias("rank"), F.lit(0).alias("pos"), F.col("created").alias("t"), F.lit("CREATE").alias("label")))).otherwise(F.array())
-    wide = wide.withColumn("writes", F.concat(first.cast("array<struct<rank:int,pos:int,t:string,label:string>>"), _written(F.col("part"))))
-    return wide.withColumn("sources", F.filter(_tables(scanners.read_tables(F.col("part"))), lambda t: ~F.exists("writes", lambda w: w["t"] == t)))
+    """The statements of routine bodies: reads, writes with what is created first, and sources, which are reads that aren't written."""
+    rows = full.where("kind in ('FUNCTION', 'PROCEDURE')").select("script_id", "stmt_seq", "name", F.inline("parts"))
+    kind = "array<struct<label:string,t:string>>"
+    first = F.when(F.col("created").isNotNull(), F.array(F.struct(F.lit("CREATE").alias("label"), F.col("created.name").alias("t")))).otherwise(F.array().cast(kind))
+    wide = rows.withColumn("writes", F.concat(first, "writes"))
+    return wide.withColumn("sources", F.array_except("reads", F.transform("writes", lambda w: w["t"])))
 
 
 def create_edges(parts: DataFrame) -> DataFrame:
-    made = parts.where("created is not null and created <> name")
-    return made.select(*edge(F.col("name"), F.col("created"), "WRITE", F.col("name"), F.lit("CREATE"), 2, F.col("part_seq")))
+    made = parts.where("created is not null")
+    return made.select(*edge(F.col("name"), F.col("created.name"), "WRITE", F.col("name"), F.lit("CREATE"), 2, F.col("part_seq")))
 
 
 def body_tables(parts: DataFrame) -> DataFrame:
     """Tables that bodies create, first creator first; parent is the routine."""
-    made = parts.where("created is not null").withColumn("rn", F.struct("stmt_seq", "part_seq"))
-    first = made.groupBy("script_id", "created").agg(F.min_by(F.struct("stmt_seq", "part_seq", "name", "temporary", "schema", "part"), "rn").alias("f"))
-    return first.select("script_id", F.col("f.stmt_seq").alias("stmt_seq"), F.col("f.part_seq").alias("part_seq"), F.col("created").alias("name"), F.coalesce("f.schema", F.lit("")).alias("schema"), F.coalesce("f.temporary", F.lit(False)).alias("temporary"), F.col("f.name").alias("parent"), F.col("f.part").alias("stmt"))
+    made = parts.where("created is not null")
+    first = made.groupBy("script_id", F.col("created.name").alias("made")).agg(F.min_by(F.struct("stmt_seq", "part_seq", F.col("name").alias("parent"), "created"), F.struct("stmt_seq", "part_seq")).alias("f"))
+    return first.select("script_id", "f.stmt_seq", "f.part_seq", F.col("made").alias("name"), "f.created.schema", "f.created.temporary", "f.parent", "f.created.stmt")
 
 
 def flows(parts: DataFrame) -> DataFrame:
@@ -84,26 +73,20 @@ def flows(parts: DataFrame) -> DataFrame:
     Sources go to all targets; without sources the routine feeds them, without targets it is fed.
     """
     own = F.array(F.col("name"))
-    targets = F.when(F.size("writes") > 0, F.col("writes")).otherwise(F.array(F.struct(F.lit(9).alias("rank"), F.lit(0).alias("pos"), F.col("name").alias("t"), F.lit("").alias("label"))))
-    sources = F.when((F.size("sources") > 0) | (F.size("writes") == 0), F.col("sources")).otherwise(own)
-    rows = parts.select("script_id", "stmt_seq", "part_seq", "name", (F.size("writes") > 0).alias("writing"), sources.alias("s"), F.posexplode(targets).alias("target_pos", "w"))
+    writing = F.size("writes") > 0
+    first = F.filter("writes", lambda w, i: F.array_position(F.transform("writes", lambda x: x["t"]), w["t"]) == i + 1)
+    targets = F.when(writing, first).otherwise(F.array(F.struct(F.lit("").alias("label"), F.col("name").alias("t"))))
+    sources = F.when((F.size("sources") > 0) | ~writing, F.col("sources")).otherwise(own)
+    seq = F.shiftleft(F.col("stmt_seq").cast("bigint"), 36) + F.shiftleft(F.col("part_seq").cast("bigint"), 16) + 256 * F.least(F.col("target_pos"), F.lit(255)) + F.least(F.col("source_pos"), F.lit(255))
+    rows = parts.select("script_id", "stmt_seq", "part_seq", "name", writing.alias("writing"), sources.alias("s"), F.posexplode(targets).alias("target_pos", "w"))
     rows = rows.select("*", F.posexplode("s").alias("source_pos", "source")).where("source <> w.t")
-    first = rows.groupBy("script_id", "stmt_seq", "part_seq", "name", "source", F.col("w.t").alias("target"), "writing").agg(F.min_by("w.label", F.struct("target_pos", "source_pos")).alias("details"), F.min(F.struct("target_pos", "source_pos")).alias("at"))
-    return first.select("script_id", "stmt_seq", "part_seq", "at", "source", "target", F.when(F.col("writing"), "WRITE").otherwise("READ").alias("edge_type"), F.col("name").alias("via"), "details")
+    return rows.select("script_id", seq.alias("flow_seq"), "source", F.col("w.t").alias("target"), F.when(F.col("writing"), "WRITE").otherwise("READ").alias("edge_type"), F.col("name").alias("via"), F.col("w.label").alias("details"))
 
 
 def column_mappings(full: DataFrame) -> DataFrame:
     """INSERT (columns) SELECT items FROM table, matched by place; items are split at every comma."""
-    inserts = full.where("kind in ('FUNCTION', 'PROCEDURE')").select("script_id", "stmt_seq", F.col("name").alias("via"), F.posexplode(F.regexp_extract_all("body", F.lit("(?iUs)" + WRITES["INSERT"]), 0)).alias("insert_seq", "x"))
-    x = F.col("x")
-    read = inserts.select(
-        "script_id", "stmt_seq", "via", "insert_seq",
-        F.lower(text.pick(x, rf"INSERT\s+(?:OR\s+\w+\s+)?(?:INTO\s+)?{_T}")).alias("tgt_table"),
-        F.transform(F.split(text.pick(x, rf"INSERT\s+(?:OR\s+\w+\s+)?(?:INTO\s+)?{_T}\s*\(([^)]+)\)", 2), ","), lambda c: F.lower(text.unquote(c))).alias("tgt"),
-        F.transform(F.split(text.strip(text.pick(x, r"\bSELECT\b(.+?)\bFROM\b")), ","), lambda c: text.strip(c)).alias("src"),
-        F.lower(text.pick(x, rf"\bFROM\s+{_T}")).alias("src_table"),
-    )
-    pairs = read.select("script_id", "stmt_seq", "via", "insert_seq", "src_table", "tgt_table", F.posexplode(F.arrays_zip("src", "tgt")).alias("pos", "p")).where("p.src is not null and p.tgt is not null and src_table is not null")
-    bare = text.strip(F.regexp_replace("p.src", r"(?iU)\bAS\b\s+`?\"?\w+\"?`?$", ""))
-    named = F.lower(F.coalesce(text.pick(bare, r"^(?:`?\"?\w+\"?`?\.)?`?\"?(\w+)\"?`?$"), bare))
+    rows = full.select("script_id", "stmt_seq", F.col("name").alias("via"), F.inline("parts")).where("mapping is not null")
+    pairs = rows.select("script_id", "stmt_seq", "via", F.col("part_seq").alias("insert_seq"), "mapping.src_table", "mapping.tgt_table", F.posexplode(F.arrays_zip("mapping.src", "mapping.tgt").cast("array<struct<src:string,tgt:string>>")).alias("pos", "p")).where("p.src is not null and p.tgt is not null")
+    bare = text.strip(F.regexp_replace("p.src", rf"(?iU)\bAS\b\s+{text.NAME}$", ""))
+    named = F.lower(F.coalesce(text.first(bare, rf"^(?:{text.NAME}\.)?{text.NAME}$", 2), bare))
     return pairs.withColumn("src_col", named).where(~text.reserved(F.col("src_col"))).select("script_id", "stmt_seq", "insert_seq", "pos", "src_table", "src_col", "tgt_table", F.col("p.tgt").alias("tgt_col"), "via")

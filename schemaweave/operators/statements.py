@@ -9,16 +9,13 @@ from schemaweave.functions import scanners, text
 
 
 def statements(scripts: DataFrame) -> DataFrame:
-    """scripts(script_id, ddl) to script_id, stmt_seq, stmt, kind, name, schema; other statements are left out.
+    """scripts(script_id, ddl) to script_id, stmt_seq, stmt, kind, schema, name, temporary; other statements are left out.
 
-    One shuffle-free pass; long scripts are spread again by statement where wanted.
+    kind: TABLE, VIEW, MATERIALIZED_VIEW, FUNCTION, PROCEDURE or ALTER. One shuffle-free pass.
     """
-    cut = scripts.select("script_id", F.posexplode(scanners.statements(text.strip_comments(F.col("ddl")))).alias("stmt_seq", "stmt"))
-    kinds = cut.withColumn("stmt", text.strip_create_options(F.col("stmt"))).withColumn("kind", text.statement_kind(F.col("stmt"))).where("kind is not null")
-    named = kinds.withColumn("name", text.object_name(F.col("stmt"))).withColumn("schema", text.object_schema(F.col("stmt")))
-    return named.where("name is not null")
+    return scripts.select("script_id", F.inline(scanners.statements(text.strip_comments(F.col("ddl")))))
 
 
 def statement_counts(scripts: DataFrame) -> DataFrame:
     """script_id, n_statements: all statements, whatever their kind."""
-    return scripts.select("script_id", F.size(scanners.statements(text.strip_comments(F.col("ddl")))).cast("bigint").alias("n_statements"))
+    return scripts.select("script_id", F.size(scanners.statement_texts(text.strip_comments(F.col("ddl")))).cast("bigint").alias("n_statements"))

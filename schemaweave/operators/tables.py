@@ -1,4 +1,8 @@
-"""Table definitions: columns, constraints, foreign keys and parents."""
+"""Table definitions: columns, constraints, foreign keys and parents.
+
+A definition stays one row: what its constraints say about its columns is worked out on arrays
+in that row, so nothing is shuffled until edges of different statements meet.
+"""
 
 from __future__ import annotations
 
@@ -7,54 +11,47 @@ from pyspark.sql import functions as F
 
 from schemaweave.functions import scanners, text
 
-_CONSTRAINT = r"(?iU)^(?:CONSTRAINT\s+[`\"\[]?\w+[`\"\]]?\s+)?(PRIMARY\s+KEY|UNIQUE(?:\s+(?:KEY|INDEX))?|FOREIGN\s+KEY|CHECK|EXCLUDE)(?:\s+[`\"\[]?\w+[`\"\]]?)?\s*(?:\(([^)]*)\))?"
-_FOREIGN = rf"\bFOREIGN\s+KEY\s*(?:[`\"\[]?\w+[`\"\]]?\s*)?\(([^)]*)\)\s*REFERENCES\s+{text.PATH}{text.NAME}\s*(?:\(([^)]*)\))?"
-_INLINE = rf"\bREFERENCES\s+{text.PATH}{text.NAME}\s*(?:\(\s*[`\"\[]?(\w+)[`\"\]]?\s*\))?"
+#: A column as columns_of() gives it.
+COLUMN = ("column", "data_type", "nullable", "pk", "unique", "fk_to", "default")
 
 
-def foreign_keys(clause: Column) -> Column:
-    """array<struct<cols, ref_table, ref_cols>> of the FOREIGN KEY clauses of a text."""
-    groups = [F.regexp_extract_all(clause, F.lit("(?iU)" + _FOREIGN), k) for k in (1, 2, 3)]
-    zipped = F.arrays_zip(*[g.alias(n) for g, n in zip(groups, ("c", "t", "r"), strict=True)])
+def pairs(cols: Column, table: Column, refs: Column) -> Column:
+    """array<struct<column, fk_to>> of a foreign key, for places that both lists have."""
+    zipped = F.filter(F.arrays_zip(cols.alias("c"), refs.alias("r")), lambda p: p["c"].isNotNull() & p["r"].isNotNull())
+    return F.transform(zipped, lambda p: F.struct(p["c"].alias("column"), F.concat(table, F.lit("."), p["r"]).alias("fk_to")))
 
-    def parsed(x: Column) -> Column:
-        cols, refs = text.name_list(x["c"]), text.name_list(x["r"])
-        given = F.when(F.size(refs) > 0, refs).when(F.size(cols) == 1, F.array(F.lit("id"))).otherwise(cols)
-        return F.struct(cols.alias("cols"), F.lower(x["t"]).alias("ref_table"), given.alias("ref_cols"))
 
-    return F.transform(zipped, parsed)
+def _last_of(keys: Column, name: Column) -> Column:
+    """fk_to of the last of (column, fk_to) pairs with this column; null without."""
+    return F.try_element_at(F.filter(keys, lambda p: p["column"] == name), F.lit(-1))["fk_to"]
 
 
-def parts(definitions: DataFrame) -> DataFrame:
-    """definitions(script_id, stmt_seq, name, body) to one row per part of a body, with the constraint's kind if it is one."""
-    cut = definitions.select("script_id", "stmt_seq", "name", F.posexplode(scanners.list_parts(F.col("body"))).alias("ordinal", "part"))
-    return cut.withColumn("constraint", F.when(F.col("part").rlike(_CONSTRAINT), F.upper(F.regexp_replace(F.regexp_extract("part", _CONSTRAINT, 1), r"\s+", " "))))
+def definitions(statements: DataFrame) -> DataFrame:
+    """statements(script_id, stmt_seq, name, stmt, ...) with listed, columns and parents.
 
+    listed: whether there is a column list; columns: array of ordinal and COLUMN, as written;
+    parents: those of LIKE and INHERITS.
+    """
+    read = statements.withColumn("list", scanners.column_list(F.col("stmt")))
+    parts = F.coalesce("list.parts", F.array())
+    of = lambda kind: F.filter(parts, lambda p: p["constraint"] == kind)
+    keys = F.flatten(F.transform(of("PRIMARY KEY"), lambda p: p["cols"]))
+    singles = F.flatten(F.transform(F.filter(of("UNIQUE"), lambda p: F.size(p["cols"]) == 1), lambda p: p["cols"]))
+    foreign = F.flatten(F.transform(F.filter(of("FOREIGN KEY"), lambda p: p["ref_table"].isNotNull()), lambda p: pairs(p["cols"], p["ref_table"], p["ref_cols"])))
 
-def columns(pieces: DataFrame) -> DataFrame:
-    """Column rows of parts(): script_id, stmt_seq, name, ordinal, column, data_type, nullable, pk, unique, fk_to, default."""
-    own = pieces.where(F.col("constraint").isNull() & ~F.col("part").rlike(r"(?iU)^(?:INDEX|KEY|FULLTEXT|SPATIAL|LIKE|PERIOD)\b") & F.col("part").rlike(r"(?Us)^[`\"\[]?\w+[`\"\]]?(?:\s+.*)?$"))
-    split = own.withColumn("column", F.lower(F.regexp_extract("part", r"(?Us)^[`\"\[]?(\w+)[`\"\]]?", 1))).withColumn("rest", F.regexp_extract("part", r"(?Us)^[`\"\[]?\w+[`\"\]]?(?:\s+(.*))?$", 1))
-    split = split.where(~text.reserved(F.col("column")))
-    rest = F.col("rest")
-    read = split.withColumn("data_type", text.column_type(rest)).withColumn("mods", text.column_modifiers(rest))
-    serial = F.col("data_type").rlike(r"\b(?:SERIAL|IDENTITY)\b") | F.col("mods").rlike(r"\bIDENTITY\b")
-    key = F.col("mods").contains("PRIMARY KEY") | serial
-    ref = F.concat(F.lower(text.pick(rest, _INLINE)), F.lit("."), F.lower(F.coalesce(F.nullif(text.pick(rest, _INLINE, 2), F.lit("")), F.lit("id"))))
-    inline = read.select("script_id", "stmt_seq", "name", "ordinal", "column", "data_type", key.alias("pk"), (~(F.col("mods").contains("NOT NULL") | key)).alias("nullable"), F.col("mods").rlike(r"\bUNIQUE\b").alias("unique"), ref.alias("fk_to"), text.column_default(rest).alias("default"))
+    def column(p: Column) -> Column:
+        kind, mods = text.normal_type(p["type"]), F.upper(F.regexp_replace(p["mods"], r"\s+", " "))
+        counted = kind.rlike(r"\b(?:SERIAL|IDENTITY)\b") | mods.rlike(r"\bIDENTITY\b")
+        own = mods.contains("PRIMARY KEY") | counted
+        listed = F.array_contains(F.col("__keys"), p["column"])
+        inline = F.concat(p["ref_table"], F.lit("."), p["ref_column"])
+        default = F.when(F.upper(p["default"]) != "NULL", text.unwrapped(p["default"]))
+        values = (p["column"], kind, ~(mods.contains("NOT NULL") | own | listed), own | listed, mods.rlike(r"\bUNIQUE\b") | F.array_contains(F.col("__singles"), p["column"]), F.coalesce(_last_of(F.col("__foreign"), p["column"]), inline), default)
+        return F.struct(p["ordinal"].alias("ordinal"), *[v.alias(n) for v, n in zip(values, COLUMN, strict=True)])
 
-    table = pieces.where("constraint is not null")
-    listed = text.name_list(F.coalesce(F.regexp_extract("part", _CONSTRAINT, 2), F.lit("")))
-    keys = table.where("constraint = 'PRIMARY KEY' or constraint like 'UNIQUE%'").withColumn("names", listed)
-    keys = keys.where("constraint = 'PRIMARY KEY' or size(names) = 1").select("script_id", "stmt_seq", "name", F.explode("names").alias("column"), (F.col("constraint") == "PRIMARY KEY").alias("t_pk"), (F.col("constraint") != "PRIMARY KEY").alias("t_unique"))
-    foreign = table.where("constraint = 'FOREIGN KEY'").select("script_id", "stmt_seq", "name", F.col("ordinal").alias("at"), F.explode(foreign_keys(F.col("part"))).alias("fk"))
-    foreign = foreign.select("script_id", "stmt_seq", "name", "at", "fk.ref_table", F.explode(F.arrays_zip(F.col("fk.cols").alias("c"), F.col("fk.ref_cols").alias("r"))).alias("p")).where("p.c is not null and p.r is not null")
-    foreign = foreign.groupBy("script_id", "stmt_seq", "name", F.col("p.c").alias("column")).agg(F.max_by(F.concat("ref_table", F.lit("."), F.col("p.r")), "at").alias("t_fk"))
-    keys = keys.groupBy("script_id", "stmt_seq", "name", "column").agg(F.max("t_pk").alias("t_pk"), F.max("t_unique").alias("t_unique"))
-    on = ["script_id", "stmt_seq", "name", "column"]
-    both = inline.join(keys, on, "left").join(foreign, on, "left")
-    pk = F.col("pk") | F.coalesce("t_pk", F.lit(False))
-    return both.select("script_id", "stmt_seq", "name", "ordinal", "column", "data_type", (F.col("nullable") & ~F.coalesce("t_pk", F.lit(False))).alias("nullable"), pk.alias("pk"), (F.col("unique") | F.coalesce("t_unique", F.lit(False))).alias("unique"), F.coalesce("t_fk", "fk_to").alias("fk_to"), "default")
+    wide = read.withColumns({"__keys": keys, "__singles": singles, "__foreign": foreign})
+    own = F.transform(F.filter(parts, lambda p: p["constraint"].isNull()), column)
+    return wide.select(*statements.columns, F.col("list").isNotNull().alias("listed"), own.alias("columns"), F.coalesce("list.parents", F.array()).alias("parents"))
 
 
 EDGE = ("script_id", "stmt_seq", "phase", "pos", "source", "target", "edge_type", "via", "details")
@@ -64,37 +61,40 @@ def edge(source: Column, target: Column, kind: str, via: Column, details: Column
     return [F.col("script_id"), F.col("stmt_seq"), F.lit(phase).alias("phase"), pos.cast("bigint").alias("pos"), source.alias("source"), target.alias("target"), F.lit(kind).alias("edge_type"), via.alias("via"), details.alias("details")]
 
 
-def foreign_edges(cols: DataFrame) -> DataFrame:
-    """One edge per referenced table, details in column order."""
-    refs = cols.where("fk_to is not null").withColumn("ref", F.substring_index("fk_to", ".", 1))
-    grouped = refs.groupBy("script_id", "stmt_seq", "name", "ref").agg(F.min("ordinal").alias("at"), F.sort_array(F.collect_list(F.struct("ordinal", F.concat("column", F.lit(" -> "), "fk_to").alias("d")))).alias("d"))
-    return grouped.select(*edge(F.col("name"), F.col("ref"), "FK", F.col("name"), F.array_join(F.col("d.d"), ", "), 0, F.col("at")))
+def foreign_edges(tables: DataFrame) -> DataFrame:
+    """One edge per referenced table of a definition, details in column order."""
+    refs = F.filter("columns", lambda c: c["fk_to"].isNotNull())
+    table = lambda c: F.substring_index(c["fk_to"], ".", 1)
+    rows = tables.select("script_id", "stmt_seq", "name", refs.alias("refs"), F.posexplode(F.array_distinct(F.transform(refs, table))).alias("pos", "ref"))
+    said = F.transform(F.filter("refs", lambda c: table(c) == F.col("ref")), lambda c: F.concat(c["column"], F.lit(" -> "), c["fk_to"]))
+    return rows.select(*edge(F.col("name"), F.col("ref"), "FK", F.col("name"), F.array_join(said, ", "), 0, F.col("pos")))
 
 
 def parent_edges(tables: DataFrame) -> DataFrame:
-    """INHERITS (...) after the body and LIKE inside it; tables(script_id, stmt_seq, name, stmt, body)."""
-    liked = F.regexp_extract_all("body", F.lit(rf"(?iU)(?:^|,)\s*LIKE\s+{text.PATH}{text.NAME}"), 1)
-    inherited = F.transform(F.split(F.coalesce(text.pick(F.col("stmt"), r"\)\s*INHERITS\s*\(([^)]*)\)"), F.lit("")), ","), lambda x: text.unquote(F.substring_index(text.strip(x), ".", -1)))
-    rows = tables.select("script_id", "stmt_seq", "name", F.posexplode(F.filter(F.concat(liked, inherited), lambda x: x != "")).alias("pos", "parent"))
-    return rows.select(*edge(F.col("name"), F.lower("parent"), "INHERITS", F.col("name"), F.lit(""), 1, F.col("pos")))
+    """INHERITS edges to the parents."""
+    rows = tables.select("script_id", "stmt_seq", "name", F.posexplode("parents").alias("pos", "parent"))
+    return rows.select(*edge(F.col("name"), F.col("parent"), "INHERITS", F.col("name"), F.lit(""), 1, F.col("pos")))
+
+
+def alterations(statements: DataFrame) -> DataFrame:
+    """ALTER TABLE statements to script_id, stmt_seq, name, pos, cols, ref_table, ref_cols of their references."""
+    rows = statements.select("script_id", "stmt_seq", "name", F.posexplode(scanners.references(F.col("stmt"))).alias("pos", "r"))
+    return rows.select("script_id", "stmt_seq", "name", "pos", "r.*")
 
 
 def alter_edges(altered: DataFrame) -> DataFrame:
-    """ALTER TABLE: an edge per FOREIGN KEY clause, else one for any REFERENCES."""
-    keys = altered.withColumn("fks", foreign_keys(F.col("stmt")))
-    full = keys.select("script_id", "stmt_seq", "name", F.posexplode("fks").alias("pos", "fk"))
-    detail = F.array_join(F.transform(F.arrays_zip(F.col("fk.cols").alias("c"), F.col("fk.ref_cols").alias("r")), lambda p: F.concat(p["c"], F.lit(" -> "), F.col("fk.ref_table"), F.lit("."), p["r"])), ", ")
-    plain = keys.where(F.size("fks") == 0).withColumn("ref", F.lower(text.pick(F.col("stmt"), rf"\bREFERENCES\s+{text.PATH}{text.NAME}"))).where("ref is not null")
-    return full.select(*edge(F.col("name"), F.col("fk.ref_table"), "FK", F.col("name"), detail, 0, F.col("pos"))).unionByName(plain.select(*edge(F.col("name"), F.col("ref"), "FK", F.col("name"), F.lit(""), 0, F.lit(0))))
-
-
-def altered_columns(cols: DataFrame, altered: DataFrame) -> DataFrame:
-    """cols with fk_to set by later ALTER TABLE statements."""
-    sets = altered.select("script_id", F.col("stmt_seq").alias("alter_seq"), "name", F.explode(foreign_keys(F.col("stmt"))).alias("fk"))
-    sets = sets.select("script_id", "alter_seq", "name", F.explode(F.arrays_zip(F.col("fk.cols").alias("c"), F.col("fk.ref_cols").alias("r"))).alias("p"), "fk.ref_table").select("script_id", "alter_seq", "name", F.col("p.c").alias("column"), F.concat("ref_table", F.lit("."), F.col("p.r")).alias("new_fk"))
-    joined = cols.join(sets, ["script_id", "name", "column"], "left").withColumn("new_fk", F.when(F.col("alter_seq") > F.col("stmt_seq"), F.col("new_fk")))
-    last = joined.groupBy(*[c for c in cols.columns]).agg(F.max_by("new_fk", "alter_seq").alias("new_fk"))
-    return last.withColumn("fk_to", F.coalesce("new_fk", "fk_to")).select(*cols.columns)
+    """An edge per reference; its details are the pairs of columns, if it is a FOREIGN KEY clause."""
+    detail = F.array_join(F.transform(pairs(F.col("cols"), F.col("ref_table"), F.col("ref_cols")), lambda p: F.concat(p["column"], F.lit(" -> "), p["fk_to"])), ", ")
+    return altered.select(*edge(F.col("name"), F.col("ref_table"), "FK", F.col("name"), detail, 0, F.col("pos")))
+
+
+def with_alterations(tables: DataFrame, altered: DataFrame) -> DataFrame:
+    """tables with fk_to of their columns set by later ALTER TABLE statements, the last one's last."""
+    sets = altered.withColumn("p", pairs(F.col("cols"), F.col("ref_table"), F.col("ref_cols"))).groupBy("script_id", "name").agg(F.sort_array(F.collect_list(F.struct("stmt_seq", "pos", "p"))).alias("sets"))
+    later = F.flatten(F.transform(F.filter("sets", lambda s: s["stmt_seq"] > F.col("stmt_seq")), lambda s: s["p"]))
+    joined = tables.join(sets, ["script_id", "name"], "left").withColumn("later", F.coalesce(later, F.array()))
+    new = F.transform("columns", lambda c: c.withField("fk_to", F.coalesce(_last_of(F.col("later"), c["column"]), c["fk_to"])))
+    return joined.withColumn("columns", new).select(*tables.columns)
 
 
 def latest(definitions: DataFrame) -> DataFrame:

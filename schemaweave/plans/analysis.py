@@ -1,102 +1,97 @@
-"""The whole analysis: scripts to objects, columns, edges, flows and mappings."""
+"""The whole analysis: scripts to objects, columns, edges, flows and mappings.
+
+Scripts are read once. What the scanners find is stored in the shared folder, one table for
+statements, one for definitions, one for bodies and one for derived columns; every relation is
+worked out from these by joins, windows and array expressions.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from schemaweave.functions import scanners, text
+from schemaweave.functions import text
+from schemaweave.functions.storage import stored
 from schemaweave.operators import derive, finalize, graph, routines, statements, tables
 
 
 @dataclass(frozen=True)
 class Analysis:
-    """Lazy relations over scripts(script_id, ddl); nothing runs until a relation is used."""
+    """Relations over scripts(script_id, ddl); nothing runs until a relation is used."""
 
     scripts: DataFrame
 
     @cached_property
     def statements(self) -> DataFrame:
-        return statements.statements(self.scripts)
-
-    @cached_property
-    def _tables(self) -> DataFrame:
-        own = self.statements.where("kind = 'TABLE'")
-        return own.withColumn("body", F.coalesce(text.definition_body(F.col("stmt")), F.lit("")))
+        return stored(statements.statements(self.scripts), by="kind")
 
     @cached_property
     def _bodies(self) -> DataFrame:
-        return routines.bodies(self.statements)
+        return stored(routines.bodies(self.statements))
 
     @cached_property
     def _parts(self) -> DataFrame:
         return routines.body_parts(self._bodies)
 
     @cached_property
-    def _altered(self) -> DataFrame:
-        return self.statements.where("kind = 'ALTER'")
+    def _made(self) -> DataFrame:
+        """Tables that routine bodies create, unless a statement defines them."""
+        own = self.statements.where("kind <> 'ALTER'").select("script_id", "name")
+        return routines.body_tables(self._parts).join(own, ["script_id", "name"], "left_anti")
 
     @cached_property
-    def table_columns(self) -> DataFrame:
-        """Columns of tables with a column list, by definition."""
-        return tables.columns(tables.parts(self._tables.where("body <> ''")))
+    def _definitions(self) -> DataFrame:
+        """Tables and routines, and with part_seq 0 and on the tables that bodies create."""
+        top = self.statements.where("kind in ('TABLE', 'FUNCTION', 'PROCEDURE')").select("script_id", "stmt_seq", F.lit(-1).alias("part_seq"), "name", "kind", "stmt")
+        made = self._made.select("script_id", "stmt_seq", "part_seq", "name", F.lit("TABLE").alias("kind"), "stmt")
+        return stored(tables.definitions(top.unionByName(made)))
 
     @cached_property
-    def _made(self) -> DataFrame:
-        """Tables that routine bodies create, unless a statement defines them."""
-        own = self.statements.where("kind <> 'ALTER'").select("script_id", "name")
-        made = routines.body_tables(self._parts).join(own, ["script_id", "name"], "left_anti")
-        return made.withColumn("body", F.coalesce(text.definition_body(F.col("stmt")), F.lit("")))
+    def _tables(self) -> DataFrame:
+        return self._definitions.where("kind = 'TABLE' and part_seq < 0")
 
     @cached_property
-    def returned_columns(self) -> DataFrame:
-        """Columns of RETURNS TABLE (...), else those that a RETURNS SETOF table had by then."""
-        made = self.statements.where("kind in ('FUNCTION', 'PROCEDURE')")
-        listed = tables.columns(tables.parts(made.withColumn("body", F.coalesce(scanners.list_body(text.pick(F.col("stmt"), r"\bRETURNS\s+TABLE\s*(\(.*)$")), F.lit(""))).where("body <> ''")))
-        sets = made.select("script_id", "stmt_seq", "name", F.lower(text.pick(F.col("stmt"), rf"\bRETURNS\s+SETOF\s+{text.PATH}{text.NAME}")).alias("of")).where("of is not null")
-        known = self.table_columns.withColumnsRenamed({"name": "of", "stmt_seq": "def_seq"})
-        earlier = sets.join(known, ["script_id", "of"]).where("def_seq < stmt_seq")
-        last = F.max("def_seq").over(Window.partitionBy("script_id", "stmt_seq"))
-        copied = earlier.withColumn("__last", last).where("def_seq = __last").select(*listed.columns)
-        return listed.unionByName(copied.join(listed.select("script_id", "stmt_seq").distinct(), ["script_id", "stmt_seq"], "left_anti"))
+    def _altered(self) -> DataFrame:
+        return stored(tables.alterations(self.statements.where("kind = 'ALTER'")))
 
     @cached_property
-    def made_columns(self) -> DataFrame:
-        """Columns of the tables that routine bodies create with a column list."""
-        return tables.columns(tables.parts(self._made.where("body <> ''")))
+    def _derived(self) -> DataFrame:
+        """script_id, stmt_seq, part_seq, name and columns of views, of tables made by queries and of routines that return a table's rows."""
+        known = self._definitions
+        lists = known.where("listed and (kind = 'TABLE' or size(columns) > 0)")
+        views = self._bodies.where("kind in ('VIEW', 'MATERIALIZED_VIEW')").select("script_id", "stmt_seq", F.lit(-1).alias("part_seq"), "name", "body")
+        made = known.where("kind = 'TABLE' and not listed").select("script_id", "stmt_seq", "part_seq", "name", F.col("stmt").alias("body"))
+        of = F.lower(text.first(F.col("stmt"), rf"\bRETURNS\s+SETOF\s+(?:[`\"\[]?\w+[`\"\]]?\.)*{text.NAME}"))
+        sets = known.where("kind <> 'TABLE' and size(columns) = 0").select("script_id", "stmt_seq", "name", of.alias("of")).where("of is not null")
+        given = lists.where("part_seq < 0").select("script_id", "stmt_seq", "name", F.transform("columns", lambda c: F.struct(c["column"].alias("column"), c["data_type"].alias("data_type"))).alias("columns"))
+        return stored(derive.derived_columns(derive.queries(views.unionByName(made)).unionByName(derive.copies(sets)), given))
 
     @cached_property
     def derived_columns(self) -> DataFrame:
-        """Columns of views and CREATE TABLE AS, in bodies too."""
-        inner = self._made.where("body = ''").select("script_id", "stmt_seq", "name", F.col("stmt").alias("body"))
-        views = self._bodies.where("kind in ('VIEW', 'MATERIALIZED_VIEW')").select("script_id", "stmt_seq", "name", "body")
-        created = self._tables.where("body = ''").select("script_id", "stmt_seq", "name", F.col("stmt").alias("body"))
-        return derive.derived_columns(views.unionByName(created).unionByName(inner), self.table_columns.select("script_id", "stmt_seq", "name", "ordinal", "column", "data_type"))
+        """script_id, stmt_seq, name, ordinal, column, data_type."""
+        return self._derived.select("script_id", "stmt_seq", "name", F.posexplode("columns").alias("pos", "c")).select("script_id", "stmt_seq", "name", (F.col("pos") + 1).alias("ordinal"), "c.column", "c.data_type")
 
     @cached_property
     def columns(self) -> DataFrame:
-        """Columns of the final definition of every object."""
-        given = tables.altered_columns(self.table_columns, self._altered)
-        derived = self.derived_columns.select("script_id", "stmt_seq", "name", "ordinal", "column", "data_type", F.lit(False).alias("pk"), F.lit(True).alias("nullable"), F.lit(False).alias("unique"), F.lit(None).cast("string").alias("fk_to"), F.lit(None).cast("string").alias("default"))
-        defined = self.statements.where("kind <> 'ALTER'").select("script_id", "name", "stmt_seq").unionByName(self._made.select("script_id", "name", "stmt_seq"))
+        """Columns of the final definition of every object: script_id, name, ordinal, column, data_type, nullable, pk, unique, fk_to, default."""
+        names = ["script_id", "stmt_seq", "name"]
+        given = tables.with_alterations(self._definitions.where("listed").select(*names, "columns"), self._altered).select(*names, F.inline("columns"))
+        derived = self.derived_columns.select(*names, "ordinal", "column", "data_type", F.lit(True).alias("nullable"), F.lit(False).alias("pk"), F.lit(False).alias("unique"), F.lit(None).cast("string").alias("fk_to"), F.lit(None).cast("string").alias("default"))
+        defined = self.statements.where("kind <> 'ALTER'").select(*names).unionByName(self._made.select(*names))
         last = defined.groupBy("script_id", "name").agg(F.max("stmt_seq").alias("stmt_seq"))
-        every = given.unionByName(derived).unionByName(self.returned_columns).unionByName(self.made_columns)
-        return every.join(last, ["script_id", "name", "stmt_seq"], "left_semi")
+        return stored(given.unionByName(derived).join(last, names, "left_semi").drop("stmt_seq"))
 
     @cached_property
     def edges(self) -> DataFrame:
-        parts = [tables.foreign_edges(self.table_columns), tables.parent_edges(self._tables), tables.alter_edges(self._altered), routines.read_edges(self._bodies), routines.write_edges(self._bodies), routines.create_edges(self._parts)]
-        every = parts[0]
-        for more in parts[1:]:
-            every = every.unionByName(more)
-        return finalize.numbered(every)
+        parts = [tables.foreign_edges(self._tables), tables.parent_edges(self._tables), tables.alter_edges(self._altered), routines.read_edges(self._bodies), routines.write_edges(self._bodies), routines.create_edges(self._parts)]
+        return stored(finalize.numbered(reduce(DataFrame.unionByName, parts)))
 
     @cached_property
     def flows(self) -> DataFrame:
-        return finalize.distinct_flows(routines.flows(self._parts))
+        return stored(finalize.distinct_flows(routines.flows(self._parts)))
 
     @cached_property
     def column_lineage(self) -> DataFrame:
@@ -105,28 +100,35 @@ class Analysis:
     @cached_property
     def objects(self) -> DataFrame:
         """script_id, obj_seq, name, type, schema, temporary, parent."""
-        temporary = F.col("stmt").rlike(r"(?iU)^\s*CREATE\s+(?:OR\s+REPLACE\s+)?(?:(?:GLOBAL|LOCAL)\s+)?TEMP(?:ORARY)?\s+TABLE\b")
         schema = F.when(F.col("kind").isin("FUNCTION", "PROCEDURE"), "").otherwise(F.col("schema"))
-        top = tables.latest(self.statements.where("kind <> 'ALTER'")).select("script_id", F.col("obj_seq").cast("bigint").alias("obj_seq"), "name", F.col("kind").alias("type"), schema.alias("schema"), temporary.alias("temporary"), F.lit(None).cast("string").alias("parent"))
+        top = tables.latest(self.statements.where("kind <> 'ALTER'").drop("stmt")).select("script_id", F.col("obj_seq").cast("bigint").alias("obj_seq"), "name", F.col("kind").alias("type"), schema.alias("schema"), "temporary", F.lit(None).cast("string").alias("parent"))
         made = self._made.select("script_id", (F.col("stmt_seq") * 100_000 + F.col("part_seq") + F.lit(1 << 36)).alias("obj_seq"), "name", F.lit("TABLE").alias("type"), "schema", "temporary", "parent")
-        return finalize.registered(top.unionByName(made), self.edges)
+        return stored(finalize.registered(top.unionByName(made), self.edges))
 
     @cached_property
     def cyclic(self) -> DataFrame:
-        return graph.cyclic_nodes(self.edges)
+        return stored(graph.cyclic_nodes(self.edges))
 
     @cached_property
     def stats(self) -> DataFrame:
-        return finalize.stats(self.objects, self.edges, self.cyclic)
+        return stored(finalize.stats(self.objects, self.edges, self.cyclic))
 
-    def impact(self, targets: DataFrame, edge_types: list[str] | None = None) -> DataFrame:
-        return graph.impact(self.edges, targets, edge_types)
+    def impact(self, targets: DataFrame, edge_types: list[str] | None = None, directions: tuple[str, ...] = ("upstream", "downstream")) -> DataFrame:
+        return graph.impact(self.edges, targets, edge_types, directions)
 
     def topological_order(self) -> DataFrame:
-        return graph.topological_order(self.objects, self.edges)
+        return self._order
 
     def cycles(self) -> DataFrame:
-        return graph.cycles(self.objects, self.edges)
+        return self._cycles
+
+    @cached_property
+    def _order(self) -> DataFrame:
+        return stored(graph.topological_order(self.objects, self.edges))
+
+    @cached_property
+    def _cycles(self) -> DataFrame:
+        return stored(graph.cycles(self.objects, self.edges, self.cyclic))
 
 
 @dataclass(frozen=True)
@@ -146,11 +148,11 @@ class Project(Analysis):
     @cached_property
     def objects(self) -> DataFrame:
         defined = self._own.objects.where(F.col("obj_seq") < F.lit(1 << 40))
-        return finalize.registered(self._first(defined, ["name", "type"], "obj_seq"), self.edges)
+        return stored(finalize.registered(self._first(defined, ["name", "type"], "obj_seq"), self.edges))
 
     @cached_property
     def edges(self) -> DataFrame:
-        return self._first(self._own.edges, ["source", "target", "edge_type", "details"], "edge_seq")
+        return stored(self._first(self._own.edges, ["source", "target", "edge_type", "details"], "edge_seq"))
 
 
 def analyze(scripts: DataFrame) -> Analysis:

@@ -38,8 +38,17 @@ def fk_edges_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fk_edges_alter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = analyze(_customers(spark, sf_dir, "ALTER TABLE ONLY_c_%1$s ADD CONSTRAINT fk_%1$s FOREIGN KEY (nation_id, \"Part\") REFERENCES nation_%2$s (id, part);"))
-    return a.edges.select("script_id", "source", "target", "edge_type", "details")
+    rows = _read(spark, sf_dir, "customer")
+    head = F.element_at(F.array(*map(F.lit, ('ALTER TABLE ONLY shop."C_', "ALTER TABLE IF EXISTS `c_", "ALTER TABLE IF EXISTS ONLY a.shop.c_"))), F.col("c_custkey").cast("int") % 3 + 1)
+    mark = F.element_at(F.array(*map(F.lit, ('"', "`", ""))), F.col("c_custkey").cast("int") % 3 + 1)
+    tail = _say(" ADD CONSTRAINT fk_%1$s FOREIGN KEY (nation_id, \"Part\") REFERENCES shop.nation_%2$s (id, part);", "c_custkey", "c_nationkey")
+    s = _scripts(rows, F.expr("c_custkey div 50"), F.concat(head, F.col("c_custkey").cast("string"), mark, tail))
+    return analyze(s).edges.select("script_id", "source", "target", "edge_type", "details")
+
+
+def columns_altered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = analyze(_customers(spark, sf_dir, "CREATE TABLE c_%1$s (id INT, nation_id INT); ALTER TABLE ONLY shop.c_%1$s ADD FOREIGN KEY (nation_id) REFERENCES old_%2$s; ALTER TABLE c_%1$s ADD CONSTRAINT k FOREIGN KEY (nation_id) REFERENCES shop.nation_%2$s(code);"))
+    return a.columns.select("script_id", "name", "column", "fk_to")
 
 
 def fk_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +73,7 @@ def _order_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 def view_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _order_views(spark, sf_dir)
     s = _scripts(rows, F.expr("o_orderkey div 50"), _say("CREATE OR REPLACE VIEW v_%1$s AS SELECT EXTRACT(YEAR FROM o.d) AS y, c.id FROM shop.customer_%2$s AS c %3$s WHERE c.note <> 'from nowhere;';", "o_orderkey", "o_custkey", "joins"))
-    return analyze(s).edges.where("target <> 'nowhere'").select("script_id", "source", "target", "edge_type")
+    return analyze(s).edges.select("script_id", "source", "target", "edge_type")
 
 
 def reads_comma_cte(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +133,13 @@ def statement_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def derived_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "supplier")
-    form = "CREATE TABLE t_%1$s (id BIGINT, nation INT, label VARCHAR(%2$s)); CREATE VIEW v_%1$s AS SELECT a.*, label AS tag, count(*) AS n, id + 1 FROM t_%1$s a; CREATE VIEW w_%1$s AS SELECT v.tag, id, nothing FROM v_%1$s v;"
+    form = (
+        "CREATE TABLE t_%1$s (id BIGINT, nation INT, label VARCHAR(%2$s)); CREATE VIEW v_%1$s AS SELECT a.*, label AS tag, count(*) AS n, id + 1 FROM t_%1$s a; CREATE VIEW w_%1$s AS SELECT v.tag, id, nothing FROM v_%1$s v;"
+        "CREATE TABLE u_%1$s (id INT, mail TEXT);"
+        "CREATE VIEW x_%1$s AS SELECT t_%1$s.id, u_%1$s.id, mail FROM (t_%1$s JOIN shop.u_%1$s AS b ON TRUE);"
+        "CREATE VIEW y_%1$s AS SELECT *, b.* FROM u_%1$s a JOIN u_%1$s b ON TRUE; CREATE VIEW z_%1$s AS SELECT * FROM unknown_%1$s;"
+        "CREATE FUNCTION f_%1$s() RETURNS SETOF x_%1$s AS $$ SELECT 1 $$; CREATE TABLE c_%1$s AS SELECT tag, f.mail FROM w_%1$s JOIN f_%1$s f ON TRUE;"
+    )
     a = analyze(_scripts(rows, F.col("s_suppkey"), F.format_string(form, F.col("s_suppkey"), F.col("s_nationkey") + 1)))
     return a.derived_columns.select("script_id", "name", F.col("ordinal").cast("bigint").alias("ordinal"), "column", "data_type")
 
@@ -143,16 +158,16 @@ def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def impact_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shop(spark, sf_dir).impact(_regions(spark, sf_dir)).where("direction = 'downstream'").select("target", "node")
+    return _shop(spark, sf_dir).impact(_regions(spark, sf_dir), directions=("downstream",)).select("target", "node")
 
 
 def impact_fk_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shop(spark, sf_dir).impact(_regions(spark, sf_dir), ["FK"]).where("direction = 'downstream'").select("target", "node")
+    return _shop(spark, sf_dir).impact(_regions(spark, sf_dir), ["FK"], ("downstream",)).select("target", "node")
 
 
 def impact_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = _read(spark, sf_dir, "customer").select(F.lit("shop").alias("script_id"), _say("w_%1$s", "c_custkey").alias("target"))
-    return _shop(spark, sf_dir).impact(views).where("direction = 'upstream'").select("target", "node")
+    return _shop(spark, sf_dir).impact(views, directions=("upstream",)).select("target", "node")
 
 
 def topo_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,31 +183,54 @@ def object_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shop(spark, sf_dir).stats
 
 
+def _rings(spark: SparkSession, sf_dir: str) -> Analysis:
+    """A view of each part, on the next one; of each ten, those at 5 to 8 form a ring."""
+    ring = F.expr("CASE WHEN p_partkey % 10 = 8 THEN p_partkey - 3 ELSE p_partkey + 1 END")
+    return analyze(_scripts(_read(spark, sf_dir, "part"), F.expr("p_partkey div 50"), F.format_string("CREATE VIEW p_%1$s AS SELECT 1 FROM p_%2$s;", F.col("p_partkey"), ring)))
+
+
 def cyclic_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _read(spark, sf_dir, "part").where("p_partkey % 10 <> 9")
-    form = "CREATE VIEW p_%1$s AS SELECT 1 FROM p_%2$s;"
-    ring = F.when(F.expr("p_partkey % 10 = 8"), F.expr("p_partkey - 3")).when(F.expr("p_partkey % 10 >= 5"), F.expr("p_partkey + 1")).otherwise(F.expr("p_partkey + 1"))
-    a = analyze(_scripts(rows, F.expr("p_partkey div 50"), F.format_string(form, F.col("p_partkey"), ring)))
-    return a.cyclic.select("script_id", "node")
+    return _rings(spark, sf_dir).cyclic.select("script_id", "node")
 
 
-def version_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cycles_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rings(spark, sf_dir).cycles().select("script_id", F.array_join("path", " ").alias("path"))
+
+
+def layer_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _shop(spark, sf_dir)
+    return graph.layer_levels(a.objects, a.edges.select("script_id", "edge_seq", F.col("target").alias("from"), F.col("source").alias("to"))).select("name", "level")
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> list[Analysis]:
+    """Two versions of the suppliers' tables; each refers elsewhere for some of them, and the new one renames some."""
     rows = _read(spark, sf_dir, "supplier")
-    form = _say("CREATE TABLE s_%1$s (id INT, n INT REFERENCES n_%2$s);", "s_suppkey", "s_nationkey")
-    old, new = (analyze(_scripts(rows.where(w), F.expr("s_suppkey div 50"), form)) for w in ("s_suppkey % 3 <> 0", "s_suppkey % 5 <> 0"))
-    return compare.edge_diff(old.edges, new.edges)
+    old = F.expr("CASE WHEN s_suppkey % 3 = 0 THEN 'o' ELSE 'n' END")
+    new = F.expr("CASE WHEN s_suppkey % 5 = 0 THEN 'q' ELSE 'n' END")
+    name = F.expr("CASE WHEN s_suppkey % 7 = 0 THEN 't' ELSE 's' END")
+    forms = (F.format_string("CREATE TABLE %1$s_%2$s (id INT, n INT REFERENCES %3$s_%4$s);", x, F.col("s_suppkey"), y, F.col("s_nationkey")) for x, y in ((F.lit("s"), old), (name, new)))
+    return [analyze(_scripts(rows, F.expr("s_suppkey div 50"), form)) for form in forms]
+
+
+def version_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.edge_diff(*[a.edges for a in _versions(spark, sf_dir)])
+
+
+def object_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.object_diff(*[a.objects.join(a.columns.groupBy("script_id", "name").agg(F.count("*").alias("n_columns")), ["script_id", "name"], "left").fillna(0, ["n_columns"]) for a in _versions(spark, sf_dir)]).fillna(-1, ["old_columns", "new_columns"])
+
+
+def diff_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.diff_counts(version_diff(spark, sf_dir))
 
 
 def merged_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _read(spark, sf_dir, "supplier")
-    form = _say("CREATE TABLE n_%2$s_%1$s (id INT, n INT REFERENCES n_%2$s);", "s_suppkey", "s_nationkey")
-    parts = [analyze(_scripts(rows.where(w), F.expr("s_suppkey div 50"), form)) for w in ("s_suppkey % 3 <> 0", "s_suppkey % 5 <> 0")]
-    return compare.merged(*[(a.objects, a.edges) for a in parts])[0].select("name", "type")
+    return compare.merged(*[(a.objects, a.edges) for a in _versions(spark, sf_dir)])[0].select("name", "type")
 
 
 def render_mermaid_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = analyze(_customers(spark, sf_dir, "CREATE TABLE c_%1$s (id INT, n INT REFERENCES nation_%2$s);"))
-    return render.mermaid_edges(a.edges).select("script_id", "line")
+    return render.mermaid_links(a.edges).select("script_id", "line")
 
 
 def history_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,26 +239,35 @@ def history_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.history(saves).select("project", "seq", "action", "ddl")
 
 
-QUERIES = (fk_edges_inline, fk_edges_alter, fk_composite, columns_parsed, view_reads, reads_comma_cte, routine_edges, routine_flows, column_mapping, routine_objects, lineage_view, function_groups, statement_counts, derived_types, impact_downstream, impact_upstream, impact_fk_only, topo_levels, topo_order, object_stats, cyclic_nodes, version_diff, merged_results, render_mermaid_edges, history_dedupe)
+QUERIES = (
+    fk_edges_inline, fk_edges_alter, fk_composite, columns_parsed, columns_altered, view_reads, reads_comma_cte, routine_edges, routine_flows, column_mapping, routine_objects, lineage_view, function_groups, statement_counts,
+    derived_types, impact_downstream, impact_upstream, impact_fk_only, topo_levels, topo_order, layer_levels, object_stats, cyclic_nodes, cycles_listed, version_diff, object_diff, diff_counts, merged_results, render_mermaid_edges, history_dedupe,
+)
 
 _SHOP_LINKS = """
   SELECT 'n_' || n_nationkey AS a, 'r_' || n_regionkey AS b, 'FK' AS k FROM nation
-  UNION SELECT 'c_' || c_custkey, 'n_' || c_nationkey, 'FK' FROM customer WHERE c_custkey <= 400
-  UNION SELECT 'w_' || c_custkey, 'c_' || c_custkey, 'READ' FROM customer WHERE c_custkey <= 400
-  UNION SELECT 'w_' || c_custkey, 'n_' || c_nationkey, 'READ' FROM customer WHERE c_custkey <= 400"""
+  UNION SELECT 'c_' || c_custkey, 'n_' || c_nationkey, 'FK' FROM customer
+  UNION SELECT 'w_' || c_custkey, 'c_' || c_custkey, 'READ' FROM customer
+  UNION SELECT 'w_' || c_custkey, 'n_' || c_nationkey, 'READ' FROM customer"""
 _DOWN = """WITH RECURSIVE links AS ({links}), reach AS (
   SELECT 'r_' || r_regionkey AS target, 'r_' || r_regionkey AS node FROM region
   UNION SELECT reach.target, a FROM reach JOIN links ON b = node {where})
 SELECT target, node FROM reach WHERE node <> target"""
-_SHOP_LEVELS = """WITH RECURSIVE links AS ({links}), walk AS (
-  SELECT 'r_' || n_regionkey AS name, 0 AS level FROM nation UNION SELECT 'n_' || c_nationkey, 1 FROM customer WHERE FALSE
-  UNION SELECT a, level + 1 FROM walk JOIN links ON b = name)
-""".format(links=_SHOP_LINKS)
+_SHOP_LEVELS = """SELECT DISTINCT 'r_' || n_regionkey AS name, CAST(0 AS BIGINT) AS level FROM nation
+UNION ALL SELECT 'n_' || n_nationkey, 1 FROM nation
+UNION ALL SELECT 'c_' || c_custkey, 2 FROM customer
+UNION ALL SELECT 'w_' || c_custkey, 3 FROM customer"""
+_VERSIONS = """WITH v AS (
+  SELECT CAST(s_suppkey // 50 AS VARCHAR) AS script_id, s_suppkey AS s, 's_' || s_suppkey AS old_name, CASE WHEN s_suppkey % 7 = 0 THEN 't_' ELSE 's_' END || s_suppkey AS new_name,
+    CASE WHEN s_suppkey % 3 = 0 THEN 'o_' ELSE 'n_' END || s_nationkey AS old_to, CASE WHEN s_suppkey % 5 = 0 THEN 'q_' ELSE 'n_' END || s_nationkey AS new_to FROM supplier)"""
+_EDGE_DIFF = _VERSIONS + """, a AS (SELECT script_id, old_name || '→' || old_to || '::FK' AS key FROM v), b AS (SELECT script_id, new_name || '→' || new_to || '::FK' AS key FROM v),
+d AS (SELECT script_id, key, CASE WHEN a.key IS NULL THEN 'added' WHEN b.key IS NULL THEN 'removed' ELSE 'unchanged' END AS status FROM a FULL JOIN b USING (script_id, key))"""
 _EVENT = "SELECT CAST(event_id // 50 AS VARCHAR) AS script_id, 'f_' || event_id AS f, event_id AS e, user_id AS u, event_type AS k FROM events"
 
 ORACLE_SQL = {
     "fk_edges_inline": "SELECT CAST(c_custkey // 50 AS VARCHAR) AS script_id, 'c_' || c_custkey AS source, 'nation_' || c_nationkey AS target, 'FK' AS edge_type, 'nation_id -> nation_' || c_nationkey || '.id' AS details FROM customer",
-    "fk_edges_alter": "SELECT CAST(c_custkey // 50 AS VARCHAR) AS script_id, 'only_c_' || c_custkey AS source, 'nation_' || c_nationkey AS target, 'FK' AS edge_type, 'nation_id -> nation_' || c_nationkey || '.id, part -> nation_' || c_nationkey || '.part' AS details FROM customer",
+    "fk_edges_alter": "SELECT CAST(c_custkey // 50 AS VARCHAR) AS script_id, 'c_' || c_custkey AS source, 'nation_' || c_nationkey AS target, 'FK' AS edge_type, 'nation_id -> nation_' || c_nationkey || '.id, part -> nation_' || c_nationkey || '.part' AS details FROM customer",
+    "columns_altered": """SELECT CAST(c_custkey // 50 AS VARCHAR) AS script_id, 'c_' || c_custkey AS name, unnest(['id', 'nation_id']) AS "column", unnest([NULL, 'nation_' || c_nationkey || '.code']) AS fk_to FROM customer""",
     "fk_composite": "SELECT DISTINCT CAST(l_orderkey // 50 AS VARCHAR) AS script_id, 'ret_' || l_orderkey AS source, 'items_' || l_orderkey AS target, 'order_id -> items_' || l_orderkey || '.order_id, line_no -> items_' || l_orderkey || '.line_no' AS details FROM lineitem",
     "columns_parsed": """SELECT CAST(p_partkey // 50 AS VARCHAR) AS script_id, 'part_' || p_partkey AS name, CAST(o AS BIGINT) AS ordinal,
   CASE o WHEN 0 THEN 'id' WHEN 1 THEN 'brand' WHEN 2 THEN 'price' WHEN 3 THEN 'size_' || p_size ELSE 'owner_id' END AS "column",
@@ -228,6 +275,7 @@ ORACLE_SQL = {
   o >= 2 AS nullable, o < 2 AS pk, o = 2 AS "unique", CASE WHEN o = 4 THEN 'owners.id' END AS fk_to, CASE WHEN o = 1 THEN p_brand END AS "default"
 FROM part, range(5) AS r(o)""",
     "view_reads": """SELECT CAST(o_orderkey // 50 AS VARCHAR) AS script_id, 'v_' || o_orderkey AS source, 'customer_' || o_custkey AS target, 'READ' AS edge_type FROM orders SEMI JOIN lineitem ON l_orderkey = o_orderkey
+UNION SELECT CAST(o_orderkey // 50 AS VARCHAR), 'v_' || o_orderkey, 'nowhere', 'READ' FROM orders SEMI JOIN lineitem ON l_orderkey = o_orderkey -- literals are read like the rest
 UNION SELECT CAST(o_orderkey // 50 AS VARCHAR), 'v_' || o_orderkey, 'part_' || l_partkey, 'READ' FROM orders JOIN lineitem ON l_orderkey = o_orderkey""",
     "reads_comma_cte": """SELECT CAST(o_orderkey // 50 AS VARCHAR) AS script_id, 'v_' || o_orderkey AS source, unnest(['orders_' || o_orderkey, 'cust_' || o_custkey, 'b_' || o_orderkey, 'd_' || o_orderkey]) AS target FROM orders""",
     "routine_edges": f"""WITH e AS ({_EVENT})
@@ -263,23 +311,37 @@ UNION ALL SELECT script_id, 'users_' || u, 'fresh_' || e, 'WRITE', 'CREATE' FROM
     "statement_counts": "SELECT CAST(s_suppkey // 5 AS VARCHAR) AS script_id, 4 * count(*) AS n_statements FROM supplier GROUP BY 1",
     "derived_types": """SELECT CAST(s_suppkey AS VARCHAR) AS script_id, v || s_suppkey AS name, CAST(o AS BIGINT) AS ordinal, c AS "column", replace(t, '?', CAST(s_nationkey + 1 AS VARCHAR)) AS data_type FROM supplier, (VALUES
   ('v_', 1, 'id', 'BIGINT'), ('v_', 2, 'nation', 'INT'), ('v_', 3, 'label', 'VARCHAR(?)'), ('v_', 4, 'tag', 'VARCHAR(?)'), ('v_', 5, 'n', ''), ('v_', 6, '1', ''),
-  ('w_', 1, 'tag', 'VARCHAR(?)'), ('w_', 2, 'id', 'BIGINT'), ('w_', 3, 'nothing', '')) AS x(v, o, c, t)""",
+  ('w_', 1, 'tag', 'VARCHAR(?)'), ('w_', 2, 'id', 'BIGINT'), ('w_', 3, 'nothing', ''),
+  ('x_', 1, 'id', 'BIGINT'), ('x_', 2, 'id_2', 'INT'), ('x_', 3, 'mail', 'TEXT'),
+  ('y_', 1, 'id', 'INT'), ('y_', 2, 'mail', 'TEXT'), ('y_', 3, 'id_3', 'INT'), ('y_', 4, 'mail_4', 'TEXT'), ('z_', 1, 'column_1', ''),
+  ('f_', 1, 'id', 'BIGINT'), ('f_', 2, 'id_2', 'INT'), ('f_', 3, 'mail', 'TEXT'), ('c_', 1, 'tag', 'VARCHAR(?)'), ('c_', 2, 'mail', 'TEXT')) AS x(v, o, c, t)""",
     "impact_downstream": _DOWN.format(links=_SHOP_LINKS, where=""),
     "impact_fk_only": _DOWN.format(links=_SHOP_LINKS, where="AND k = 'FK'"),
     "impact_upstream": f"""WITH RECURSIVE links AS ({_SHOP_LINKS}), reach AS (
-  SELECT 'w_' || c_custkey AS target, 'w_' || c_custkey AS node FROM customer WHERE c_custkey <= 400
+  SELECT 'w_' || c_custkey AS target, 'w_' || c_custkey AS node FROM customer
   UNION SELECT target, b FROM reach JOIN links ON a = node)
 SELECT target, node FROM reach WHERE node <> target""",
-    "topo_levels": """SELECT DISTINCT 'r_' || n_regionkey AS name, CAST(0 AS BIGINT) AS level FROM nation
-UNION ALL SELECT 'n_' || n_nationkey, 1 FROM nation
-UNION ALL SELECT 'c_' || c_custkey, 2 FROM customer WHERE c_custkey <= 400
-UNION ALL SELECT 'w_' || c_custkey, 3 FROM customer WHERE c_custkey <= 400""",
-    "object_stats": """SELECT 'shop' AS script_id, (SELECT count(DISTINCT n_regionkey) + count(*) FROM nation) + 2 * count(*) AS total_objects, (SELECT count(*) FROM nation) + 3 * count(*) AS total_edges, FALSE AS has_cycles FROM customer WHERE c_custkey <= 400""",
+    "topo_levels": _SHOP_LEVELS,
+    "layer_levels": _SHOP_LEVELS,
+    "topo_order": """WITH r AS (
+  SELECT 'r_' || n_regionkey AS name, row_number() OVER (ORDER BY min('n_' || n_nationkey || ' ')) AS position FROM nation GROUP BY n_regionkey
+), n AS (
+  SELECT 'n_' || n_nationkey AS name, (SELECT count(*) FROM r) + row_number() OVER (ORDER BY position, 'n_' || n_nationkey) AS position FROM nation JOIN r ON r.name = 'r_' || n_regionkey
+), c AS (
+  SELECT 'c_' || c_custkey AS name, (SELECT max(position) FROM n) + row_number() OVER (ORDER BY position, 'c_' || c_custkey) AS position FROM customer JOIN n ON n.name = 'n_' || c_nationkey
+), w AS (
+  SELECT 'w_' || c_custkey AS name, (SELECT max(position) FROM c) + row_number() OVER (ORDER BY position) AS position FROM customer JOIN c ON c.name = 'c_' || c_custkey
+) SELECT position, name FROM r UNION ALL SELECT position, name FROM n UNION ALL SELECT position, name FROM c UNION ALL SELECT position, name FROM w""",
+    "object_stats": """SELECT 'shop' AS script_id, (SELECT count(DISTINCT n_regionkey) + count(*) FROM nation) + 2 * count(*) AS total_objects, (SELECT count(*) FROM nation) + 3 * count(*) AS total_edges, FALSE AS has_cycles FROM customer""",
     "cyclic_nodes": "SELECT CAST(p_partkey // 50 AS VARCHAR) AS script_id, 'p_' || p_partkey AS node FROM part WHERE p_partkey % 10 BETWEEN 5 AND 8",
-    "version_diff": """SELECT CAST(s_suppkey // 50 AS VARCHAR) AS script_id, 's_' || s_suppkey || '→n_' || s_nationkey || '::FK' AS key, CASE WHEN s_suppkey % 3 = 0 THEN 'added' WHEN s_suppkey % 5 = 0 THEN 'removed' ELSE 'unchanged' END AS status FROM supplier WHERE s_suppkey % 15 <> 0""",
-    "merged_results": """SELECT 'n_' || s_nationkey || '_' || s_suppkey AS name, 'TABLE' AS type FROM supplier WHERE s_suppkey % 15 <> 0
-UNION SELECT 'n_' || s_nationkey, 'TABLE' FROM supplier WHERE s_suppkey % 15 <> 0""",
-    "render_mermaid_edges": "SELECT CAST(c_custkey // 50 AS VARCHAR) AS script_id, '    c_' || c_custkey || ' -->|FK| nation_' || c_nationkey AS line FROM customer",
+    "cycles_listed": """SELECT CAST(p // 50 AS VARCHAR) AS script_id, array_to_string(list_concat(list_slice(x, k, 4), list_slice(x, 1, k - 1), [x[k]]), ' ') AS path FROM (
+  SELECT p, x, list_position(x, list_min(x)) AS k FROM (SELECT p_partkey AS p, ['p_' || p_partkey, 'p_' || (p_partkey + 1), 'p_' || (p_partkey + 2), 'p_' || (p_partkey + 3)] AS x FROM part WHERE p_partkey % 10 = 5))""",
+    "version_diff": _EDGE_DIFF + " SELECT script_id, key, status FROM d",
+    "diff_counts": _EDGE_DIFF + " SELECT script_id, count(*) FILTER (WHERE status = 'added') AS added, count(*) FILTER (WHERE status = 'removed') AS removed, count(*) FILTER (WHERE status = 'unchanged') AS unchanged FROM d GROUP BY script_id",
+    "object_diff": _VERSIONS + """, a AS (SELECT DISTINCT script_id, unnest(['TABLE::::' || old_name, 'TABLE::::' || old_to]) AS key, unnest([2, 0]) AS n FROM v), b AS (SELECT DISTINCT script_id, unnest(['TABLE::::' || new_name, 'TABLE::::' || new_to]) AS key, unnest([2, 0]) AS n FROM v)
+SELECT script_id, key, CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' ELSE 'unchanged' END AS status, CAST(coalesce(a.n, -1) AS BIGINT) AS old_columns, CAST(coalesce(b.n, -1) AS BIGINT) AS new_columns FROM a FULL JOIN b USING (script_id, key)""",
+    "merged_results": _VERSIONS + " SELECT DISTINCT unnest([old_name, new_name, old_to, new_to]) AS name, 'TABLE' AS type FROM v",
+    "render_mermaid_edges": "SELECT CAST(c_custkey // 50 AS VARCHAR) AS script_id, '  c_' || c_custkey || ' -->|\"FK (n -> nation_' || c_nationkey || '.id)\"| nation_' || c_nationkey AS line FROM customer",
     "history_dedupe": """WITH s AS (SELECT CAST(user_id AS VARCHAR) AS project, event_id AS seq, CASE WHEN event_type = 'view' THEN 'update' ELSE 'analysis' END AS action, event_type AS ddl FROM events),
 p AS (SELECT *, lag(ddl) OVER (PARTITION BY project, action ORDER BY seq) AS before FROM s)
 SELECT project, seq, action, ddl FROM p WHERE NOT (action = 'analysis' AND before IS NOT NULL AND before = ddl)""",

@@ -1,8 +1,16 @@
-"""DDL text from catalog-shaped tables of a database, e.g. read by JDBC; filters reach the source by pushdown."""
+"""Scripts from the catalogs of databases.
+
+What a catalog says comes as DataFrames of a stated shape, read over JDBC or from anywhere else;
+filters are expressions, so they reach the source by pushdown. The transforms give one row per
+statement: section, seq and ddl, in which order script_of() joins them. Null names and
+definitions give no statement.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,15 +24,30 @@ def quote_mysql(name: Column) -> Column:
     return F.concat(F.lit("`"), F.replace(name, F.lit("`"), F.lit("``")), F.lit("`"))
 
 
+def _ended(definition: Column) -> Column:
+    """A definition that ends with one semicolon."""
+    return F.concat(F.regexp_replace(F.trim(definition), r"[;\s]+$", ""), F.lit(";"))
+
+
+def chosen(rows: DataFrame, schema: str | None = None, objects: list[str] | None = None) -> DataFrame:
+    """Rows of a schema, with these names, that no extension has made."""
+    if schema is not None:
+        rows = rows.where(F.col("schema") == schema)
+    if objects:
+        rows = rows.where(F.col("name").isin(objects))
+    return rows.where(~F.coalesce("from_extension", F.lit(False))) if "from_extension" in rows.columns else rows
+
+
 def table_statements(tables: DataFrame, columns: DataFrame, constraints: DataFrame) -> DataFrame:
     """CREATE TABLE statements: oid, ddl.
 
     tables(oid, schema, name, inherits), columns(oid, ordinal, name, type, not_null, default_expr),
-    constraints(oid, ordinal, name, definition).
+    constraints(oid, ordinal, name, definition). Foreign keys come after other constraints.
     """
     col = F.concat(quote_postgres(F.col("name")), F.lit(" "), "type", F.when(F.col("default_expr").isNotNull(), F.concat(F.lit(" DEFAULT "), "default_expr")).otherwise(""), F.when(F.col("not_null"), " NOT NULL").otherwise(""))
     con = F.concat(F.lit("CONSTRAINT "), quote_postgres(F.col("name")), F.lit(" "), "definition")
-    parts = columns.select("oid", F.lit(0).alias("kind"), "ordinal", col.alias("part")).unionByName(constraints.select("oid", F.lit(1).alias("kind"), "ordinal", con.alias("part")))
+    rank = F.when(F.col("definition").startswith("FOREIGN KEY"), 2).otherwise(1)
+    parts = columns.select("oid", F.lit(0).alias("kind"), "ordinal", col.alias("part")).unionByName(constraints.select("oid", rank.alias("kind"), "ordinal", con.alias("part")))
     body = parts.groupBy("oid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("kind", "ordinal", "part"))), lambda x: x["part"]), ", ").alias("body"))
     named = F.concat(quote_postgres(F.col("schema")), F.lit("."), quote_postgres(F.col("name")))
     tail = F.when(F.coalesce("inherits", F.lit("")) != "", F.concat(F.lit(" INHERITS ("), "inherits", F.lit(")"))).otherwise("")
@@ -32,20 +55,86 @@ def table_statements(tables: DataFrame, columns: DataFrame, constraints: DataFra
 
 
 def view_statements(views: DataFrame) -> DataFrame:
-    """views(schema, name, kind v/m, definition) to ddl."""
+    """views(schema, name, kind v/m, definition) with ddl."""
     word = F.when(F.col("kind") == "m", "MATERIALIZED VIEW ").otherwise("VIEW ")
-    return views.select(F.concat(F.lit("CREATE "), word, quote_postgres(F.col("schema")), F.lit("."), quote_postgres(F.col("name")), F.lit(" AS "), F.regexp_replace("definition", r";\s*$", ""), F.lit(";")).alias("ddl"))
+    return views.withColumn("ddl", F.concat(F.lit("CREATE "), word, quote_postgres(F.col("schema")), F.lit("."), quote_postgres(F.col("name")), F.lit(" AS "), _ended(F.col("definition"))))
+
+
+def _sections(*parts: DataFrame) -> DataFrame:
+    """(seq, ddl) frames as section, seq, ddl."""
+    numbered = [p.select(F.lit(k).alias("section"), F.col("seq").cast("string").alias("seq"), "ddl") for k, p in enumerate(parts)]
+    return reduce(DataFrame.unionByName, numbered).where("ddl is not null")
+
+
+def postgres_statements(tables: DataFrame, columns: DataFrame, constraints: DataFrame, views: DataFrame, routines: DataFrame, schema: str = "public", objects: list[str] | None = None) -> DataFrame:
+    """Tables by name, views in order of creation, routines by name: section, seq, ddl.
+
+    tables also have kind (relkind) and is_partition; ordinary and partitioned tables count,
+    partitions don't. routines(schema, name, oid, kind f/p, definition); views also have an oid.
+    """
+    own = chosen(tables, schema, objects).where("kind in ('r', 'p') and not is_partition")
+    made = table_statements(own, columns, constraints).join(own.select("oid", F.col("name").alias("seq")), "oid")
+    seen = view_statements(chosen(views, schema, objects).where("kind in ('v', 'm')")).withColumn("seq", F.lpad(F.col("oid").cast("string"), 20, "0"))
+    run = chosen(routines, schema, objects).where("kind in ('f', 'p')").select(F.concat("name", F.lit("\0"), F.lpad(F.col("oid").cast("string"), 20, "0")).alias("seq"), _ended(F.col("definition")).alias("ddl"))
+    return _sections(made, seen, run)
+
+
+def mysql_statements(tables: DataFrame, routines: DataFrame, definitions: DataFrame, database: str, objects: list[str] | None = None) -> DataFrame:
+    """Tables, then views, then routines, each by name: section, seq, ddl.
+
+    tables(schema, name, kind), routines(schema, name, kind); definitions(schema, name, kind TABLE,
+    VIEW, FUNCTION or PROCEDURE, definition) are what SHOW CREATE gives. What the user may not see has none.
+    """
+    shown = definitions.select("schema", "name", "kind", _ended(F.col("definition")).alias("ddl"))
+
+    def of(rows: DataFrame, kind: Column) -> DataFrame:
+        return chosen(rows, database, objects).select("schema", "name", kind.alias("kind")).join(shown, ["schema", "name", "kind"]).select(F.col("name").alias("seq"), "ddl")
+
+    view = F.col("kind") == "VIEW"
+    return _sections(of(tables.where(~view), F.lit("TABLE")), of(tables.where(view), F.lit("VIEW")), of(routines, F.upper("kind")))
+
+
+def show_create(tables: DataFrame, routines: DataFrame) -> DataFrame:
+    """The SHOW CREATE statements that give mysql_statements() its definitions: schema, name, kind, query."""
+    kinds = tables.select("schema", "name", F.when(F.col("kind") == "VIEW", "VIEW").otherwise("TABLE").alias("kind")).unionByName(routines.select("schema", "name", F.upper("kind").alias("kind")))
+    return kinds.withColumn("query", F.concat(F.lit("SHOW CREATE "), "kind", F.lit(" "), quote_mysql(F.col("schema")), F.lit("."), quote_mysql(F.col("name"))))
+
+
+def script_of(statements: DataFrame, script_id: str) -> DataFrame:
+    """script_id and ddl: all statements of a catalog as one script."""
+    ordered = F.sort_array(F.collect_list(F.struct("section", "seq", "ddl")))
+    return statements.agg(F.array_join(F.transform(ordered, lambda x: x["ddl"]), "\n\n").alias("ddl")).select(F.lit(script_id).alias("script_id"), "ddl")
+
+
+@dataclass(frozen=True)
+class Connector:
+    """A kind of database: its JDBC URL and driver, how it quotes names, and its statements."""
+
+    scheme: str
+    driver: str
+    port: int
+    quote: Callable[[Column], Column]
+    statements: Callable[..., DataFrame]
+
+    def url(self, host: str, database: str, port: int | None = None) -> str:
+        return f"jdbc:{self.scheme}://{host}:{port or self.port}/{database}"
 
+    def reader(self, spark: SparkSession, url: str, **options: str) -> Callable[[str], DataFrame]:
+        """Reads catalog queries; the driver's jar must be on the class path."""
+        return lambda query: spark.read.format("jdbc").options(url=url, query=query, driver=self.driver, **options).load()
 
-def jdbc_reader(spark: SparkSession, url: str, **options: str) -> Callable[[str], DataFrame]:
-    """Reads catalog queries over JDBC; the driver's jar must be on the class path."""
-    return lambda query: spark.read.format("jdbc").options(url=url, query=query, **options).load()
+    def extract(self, script_id: str, *catalog: DataFrame, **filters) -> DataFrame:
+        """The script (script_id, ddl) of catalog tables in the shape that `statements` takes."""
+        return script_of(self.statements(*catalog, **filters), script_id)
 
 
-READERS = {"postgresql": jdbc_reader, "mysql": jdbc_reader}
+CONNECTORS = {
+    "postgresql": Connector("postgresql", "org.postgresql.Driver", 5432, quote_postgres, postgres_statements),
+    "mysql": Connector("mysql", "com.mysql.cj.jdbc.Driver", 3306, quote_mysql, mysql_statements),
+}
 
 
-def reader(kind: str) -> Callable:
-    if kind not in READERS:
-        raise ValueError(f"unknown database {kind!r}; known: {', '.join(sorted(READERS))}")
-    return READERS[kind]
+def connector(kind: str) -> Connector:
+    if kind not in CONNECTORS:
+        raise ValueError(f"unknown database {kind!r}; known: {', '.join(sorted(CONNECTORS))}")
+    return CONNECTORS[kind]
