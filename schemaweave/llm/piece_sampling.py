@@ -14,11 +14,14 @@ character that stands for a space in pieces. Decoding joins the pieces' bytes an
 back the text exactly.
 
 Cases: a null or empty text has no pieces; a null key counts as 0, so equal rows get
-equal pieces. Very long units are walked like others. Only the named columns are read.
+equal pieces. Units of more than LONG characters keep no lattice, only the forward weights, eight
+bytes a character; their last pieces are weighed anew on the way back. Only the named columns
+are read.
 """
 
 from __future__ import annotations
 
+import array
 import hashlib
 import re
 import zlib
@@ -38,6 +41,7 @@ SPACE = "▁"
 _UNITS = re.compile(r" +[^ \n]*|\n|[^ \n]+")
 #: Lattices that a task keeps, some 400 bytes each.
 CACHED_UNITS = 150_000
+LONG = 4096
 _HIDE = str.maketrans({" ": SPACE, SPACE: "\0"})
 
 
@@ -210,6 +214,53 @@ class Sampler:
             source = np.where(source > 0, source - 1 + self.first.n, 0)
             self._add([unit], np.array([len(unit) - 1]), np.searchsorted(place, np.arange(len(unit))), chance, source, np.array(edges[3])[order])
 
+    def _long(self, unit: str, stream: np.uint64) -> list[int]:
+        """Sampled pieces of a long unit, from forward weights alone."""
+        shown, n, get = unit.translate(_HIDE), len(unit), self.weights.get
+        reach = array.array("d", bytes(8 * (n + 1)))
+        reach[0] = 1.0
+        scales: list[tuple[int, float]] = []  # what lies before the place is to be multiplied to compare with what follows
+        fallback = lambda k: self.byte_weight ** len(unit[k].encode("utf-8", "replace"))
+        for i in range(n):
+            here = reach[i]
+            if not 1e-150 < here < 1e150:
+                for k in range(i, min(n, i + self.longest) + 1):
+                    reach[k] /= here
+                scales.append((i, 1.0 / here))
+                here = 1.0
+            single = False
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                found = get(shown[i:j])
+                if found is None:
+                    break
+                if found[0] >= 0:
+                    reach[j] += here * found[1]
+                    single |= j == i + 1
+            if not single:
+                reach[i + 1] += here * fallback(i)
+        out: list[int] = []
+        at = n
+        while at:
+            while scales and scales[-1][0] >= at:
+                scales.pop()
+            low = max(0, at - self.longest)
+            passed = [x for x in scales[-4:] if x[0] > low]
+            ways, total = [], 0.0
+            for i in range(low, at):
+                id_, weight = get(shown[i:at], (-1, 0.0))
+                if i == at - 1 and id_ < 0:
+                    id_, weight = -1 - ord(unit[i]), fallback(i)
+                elif id_ < 0:
+                    continue
+                for place, scale in passed:
+                    weight *= scale if i < place else 1.0
+                total += reach[i] * weight
+                ways.append((total, i, id_))
+            draw = float(mixed(np.array([stream + U64(len(out))], U64))[0] >> U64(11)) * 2.0**-53 * total
+            _, at, id_ = next((w for w in ways if draw < w[0]), ways[-1])
+            out.append(id_)
+        return out[::-1]
+
     def _add(self, units: list[str], ends: np.ndarray, edge: np.ndarray, chance: np.ndarray, source: np.ndarray, piece: np.ndarray) -> None:
         self.end.add(ends + self.first.n)
         self.first.add(edge + self.chance.n)
@@ -224,17 +275,17 @@ class Sampler:
         if len(self.known) > self.cached_units:
             self.clear()
         rows = [_UNITS.findall(x) for x in texts]
-        new = dict.fromkeys(u for r in rows for u in r if u not in self.known)
+        new = dict.fromkeys(u for r in rows for u in r if u not in self.known and len(u) <= LONG)
         if new:
             self._learn(list(new))
         per_row = np.array([len(r) for r in rows], np.int64)
-        unit = np.array([*map(self.known.__getitem__, chain.from_iterable(rows))], np.int64)
+        unit = np.array([self.known.get(u, -1) for u in chain.from_iterable(rows)], np.int64)
         row = np.repeat(np.arange(len(rows)), per_row)
         ordinal = np.arange(len(unit)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
         stream = mixed(mixed(keys.astype(U64) ^ U64(self.seed))[row] + ordinal.astype(U64))
         end, first, chance, source, piece = (x.values for x in (self.end, self.first, self.chance, self.source, self.piece))
-        node = end[unit]
-        who, steps, step = np.arange(len(unit)), [], 0
+        who, steps, step = np.flatnonzero(unit >= 0), [], 0
+        node = end[unit[who]]
         while len(who):
             draw = (mixed(stream[who] + U64(step)) >> U64(11)).astype(np.float64) * 2.0**-53
             edge = first[node]
@@ -249,8 +300,14 @@ class Sampler:
         drawn = np.zeros(len(unit), np.int64)
         for who, _ in steps:
             drawn[who] += 1
+        units = chain.from_iterable(rows)
+        alone = {i: self._long(u, stream[i]) for i, u in enumerate(units) if unit[i] < 0}
+        for i, pieces in alone.items():
+            drawn[i] = len(pieces)
         stop = np.cumsum(drawn)
         out = np.zeros(int(stop[-1]) if len(stop) else 0, np.int64)
+        for i, pieces in alone.items():
+            out[stop[i] - len(pieces) : stop[i]] = pieces
         for k, (who, ids) in enumerate(steps):
             out[stop[who] - 1 - k] = ids
         of = row[np.repeat(np.arange(len(unit)), drawn)]
