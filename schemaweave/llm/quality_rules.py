@@ -9,8 +9,8 @@ and the level is divided by the number of all tests (Bonferroni), so with probab
 1 - delta no stratum rejects more than `risk` of its good documents. The lowest
 certified cutoff is used; without one the rule rejects nothing there.
 
-Cases: a null or empty text has no words and fails the base rules. A null stratum is a
-stratum of its own. Null labels do not count; repeated labels of a document count once,
+Cases: a null or empty text has no words and fails the base rules. A null stratum
+counts as the empty one. Null labels do not count; repeated labels of a document count once,
 as good if any is. Repeated documents are measured alike. Without labels nothing but
 the base rules rejects. Only the named columns are read.
 """
@@ -21,6 +21,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,13 +85,47 @@ def base_failed(min_words: int = 10, max_repeat_percent: int = 20) -> Column:
     return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
 
 
+def _log_factorial_rest(n: float) -> float:
+    """log(n!) less Stirling's formula n log(n) - n + log(2 pi n) / 2."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi)
+    return (1 / 12 - (1 / 360 - 1 / 1260 / n**2) / n**2) / n
+
+
+def _deviance(x: float, m: float) -> float:
+    """x log(x / m) + m - x, without cancellation where x is near m."""
+    d = (x - m) / (x + m)
+    if abs(d) > 0.1:
+        return x * math.log(x / m) + m - x
+    total, term, j = (x - m) * d, 2 * x * d, 1
+    while True:
+        term *= d * d
+        more = total + term / (2 * j + 1)
+        if more == total:
+            return total
+        total, j = more, j + 1
+
+
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(Bin(n, p) <= k), by the exact sum in logarithms."""
+    """P(Bin(n, p) <= k) for any n: the probability of k itself, times the sum of its ratios to those below.
+
+    The first is exact to about 1e-13 whatever n (deviances instead of differences of large logarithms);
+    ratios are summed until they don't count, some times the square root of n of them.
+    """
     if k >= n:
         return 1.0
-    terms = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(max(0, k - 2000), k + 1)]
-    top = max(terms)
-    return min(1.0, math.exp(top) * math.fsum(math.exp(t - top) for t in terms))
+    if k <= 0:
+        return math.exp(n * math.log1p(-p)) if k == 0 else 0.0
+    rest = _log_factorial_rest(n) - _log_factorial_rest(k) - _log_factorial_rest(n - k)
+    log_of_k = rest - _deviance(k, n * p) - _deviance(n - k, n * (1 - p)) + 0.5 * math.log(n / (2 * math.pi * k * (n - k)))
+    total, last, at = 1.0, 1.0, k
+    while at > 0 and last > 1e-18 * total:
+        i = np.arange(at, max(at - 4096, 0), -1, dtype=np.float64)
+        ratios = last * np.cumprod(i * (1 - p) / ((n - i + 1) * p))
+        if not np.isfinite(ratios[-1]):  # far above the mean
+            return 1.0
+        total, last, at = total + float(ratios.sum()), float(ratios[-1]), at - len(i)
+    return min(1.0, math.exp(log_of_k + math.log(total)))
 
 
 def certify(measures: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05) -> DataFrame:
@@ -105,11 +140,14 @@ def certify(measures: DataFrame, labels: DataFrame, risk: float = 0.05, delta: f
     counts = seen.groupBy("stratum").agg(F.count("*").alias("n"), *sums)
     long = counts.select("stratum", "n", F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).cast("bigint").alias("cutoff"), F.col(f"{r}_{c}").alias("k")) for r, c in tests])))
     share = risk / len(RULES)
-    tail = F.udf(lambda k, n: binomial_tail(k, n, share), "double")
+
+    @F.pandas_udf("double")
+    def tail(k: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([binomial_tail(int(x), int(y), share) if x < share * y else 1.0 for x, y in zip(k, n, strict=True)], dtype=float)
+
     # Under k >= share * n the tail is about a half or more, far above any level; only smaller k need the sum.
-    tails = long.withColumn("tail", F.when(F.col("k") < F.col("n") * share, tail("k", "n")).otherwise(1.0))
-    strata = counts.agg(F.count("*").alias("strata"))
-    return tails.crossJoin(strata).withColumn("certified", F.col("tail") <= delta / (F.col("strata") * len(tests))).drop("strata")
+    level = delta / (counts.agg(F.count("*")).scalar() * len(tests))
+    return long.withColumn("tail", tail("k", "n")).withColumn("certified", F.col("tail") <= level)
 
 
 def apply_rules(measures: DataFrame, certified: DataFrame) -> DataFrame:

@@ -55,8 +55,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def packed(df: DataFrame) -> DataFrame:
-    """`df` in at most four partitions a core, so that small tables make few files; a task goes through its parts one by one."""
-    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+    """`df` in fewer partitions: a quarter of the shuffle partitions, or four a core if that is more, so that small tables make few files.
+
+    A task goes through its parts one by one, so none of it needs more memory.
+    """
+    spark = df.sparkSession
+    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
 
 
 def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:

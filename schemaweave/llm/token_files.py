@@ -177,9 +177,9 @@ _EASY = re.compile(rb"[!-;=-~]+")  # no `<`, with which special tokens begin
 
 
 class Encoder:
-    """Encodes texts word by word: this kind of tokenizer never joins what white space parts, so each word is encoded once.
+    """Encodes texts word by word if the tokenizer's pre-tokenizer is the known one, which never joins what white space parts; else whole.
 
-    Words of printable ASCII are cut as its pre-tokenizer does and their pieces go straight to
+    So each word is encoded once. Words of printable ASCII are cut as its pre-tokenizer does and their pieces go straight to
     its model; all others, and those that may hold a special token, go through the whole
     tokenizer, many at once with a special token between them.
     """
@@ -244,6 +244,9 @@ class Encoder:
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, with end_id after each text, and the number of ids of each text."""
+        if not self.plain:  # to other tokenizers white space may matter
+            found = [np.array([*e.ids, end_id], np.int32) for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False)]
+            return np.concatenate(found), np.array([len(x) for x in found], np.int64)
         if len(self.words) > _CACHED_WORDS:  # what is used again is taken over from the generation before
             self.before, self.words, self.lists = (self.words, self.lists), _Numbered(), _Lists()
         if not self.lists.n:  # number 0 is the end of a text
@@ -315,15 +318,13 @@ def read(spark: SparkSession, path: str, digests: bool = False) -> DataFrame:
     """doc_id, start, n_tokens and ids of each document; with digests, ids_crc32 instead of ids."""
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, lengths = unpack(row["payload"]).astype("<u4"), np.array(row["lengths"], np.int64)
-                stop = np.cumsum(lengths)
-                each = [ids[b - n : b] for b, n in zip(stop, lengths, strict=True)]
-                last = pa.array([zlib.crc32(x.tobytes()) for x in each], pa.int64()) if digests else pa.array([x.astype(np.int64) for x in each], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * len(each), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(row["start"] + stop - lengths), pa.array(lengths), last], ["part", "doc_id", "within", "n_tokens", "last"])
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+        for row in (batch.slice(k, 1).to_pylist()[0] for batch in batches for k in range(batch.num_rows)):  # one shard at a time
+            ids, lengths = unpack(row["payload"]).astype("<u4"), np.array(row["lengths"], np.int64)
+            stop = np.cumsum(lengths)
+            each = [ids[b - n : b] for b, n in zip(stop, lengths, strict=True)]
+            last = pa.array([zlib.crc32(x.tobytes()) for x in each], pa.int64()) if digests else pa.array([x.astype(np.int64) for x in each], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * len(each), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(row["start"] + stop - lengths), pa.array(lengths), last], ["part", "doc_id", "within", "n_tokens", "last"])
+
     shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
     kind = "bigint" if digests else "array<bigint>"
     rows = shards.mapInArrow(documents, f"part int, doc_id bigint, within bigint, n_tokens bigint, last {kind}")
