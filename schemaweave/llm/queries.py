@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 from schemaweave.llm import chat_format, decontamination, language_id, near_duplicates, neighbour_quality, piece_sampling, quality_rules, substring_dedup, suffix_dedup, token_files
 from schemaweave.llm.shared import remainder, shared_path, stored, tune
 
-#: Where the public tokenizers' files are; the operators take paths as parameters.
-TOKENIZERS = "/opt/tokenizers"
+
+
+def tokenizer(name: str) -> str:
+    """The path of a public tokenizer's file; the operators take paths as parameters."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +31,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "tokens")
-    token_files.write(table(spark, sf_dir, "documents"), path, f"{TOKENIZERS}/word_bpe_49k.json")
+    token_files.write(table(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"))
     return token_files.read(spark, path, digests=True)
 
 
@@ -37,7 +43,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_sampling.sample_pieces(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", digests=True)
+    return piece_sampling.sample_pieces(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), digests=True)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +145,66 @@ FROM b
 """
 
 
+OP5_SQL = r"""
+WITH h AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents  -- two characters a byte
+), pieces AS (
+  SELECT doc_id, c * 2048 AS base, substring(h, CAST(4096 * c + 1 AS BIGINT), 2 * (2048 + 199)) AS piece FROM (SELECT doc_id, h, unnest(range(length(h) // 4096 + 1)) AS c FROM h)
+), starts AS (
+  SELECT doc_id, base + i AS s, md5(substring(piece, CAST(2 * i + 1 AS BIGINT), 400)) AS g FROM (SELECT doc_id, base, piece, unnest(range(length(piece) // 2 - 199)) AS i FROM pieces WHERE length(piece) >= 400)
+), again AS (
+  SELECT doc_id, s FROM starts WHERE g IN (SELECT g FROM starts GROUP BY g HAVING count(*) > 1)
+), islands AS (
+  SELECT doc_id, min(s) AS a, max(s) + 200 AS b FROM (
+    SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM (
+      SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 200 THEN 0 ELSE 1 END AS new FROM again))
+  GROUP BY doc_id, island
+), gaps AS (
+  SELECT doc_id, coalesce(lag(b) OVER w, 0) AS first, a AS stop FROM islands WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+  UNION ALL SELECT h.doc_id, coalesce(max(b), 0), max(length(h)) // 2 FROM h LEFT JOIN islands USING (doc_id) GROUP BY h.doc_id
+), kept AS (
+  SELECT doc_id, string_agg(substring(h, CAST(2 * first + 1 AS BIGINT), CAST(2 * (stop - first) AS BIGINT)), '' ORDER BY first) AS k FROM gaps JOIN h USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce((SELECT sum(b - a) FROM islands i WHERE i.doc_id = h.doc_id), 0) AS BIGINT) AS n_removed,
+  (SELECT count(*) FROM islands i WHERE i.doc_id = h.doc_id) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM h JOIN kept USING (doc_id)
+"""
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sets a JOIN sets b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, l.b FROM reach JOIN (SELECT x AS a, y AS b FROM links UNION ALL SELECT y, x FROM links) l ON l.a = reach.b
+), least AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM least LEFT JOIN sizes USING (doc_id)
+"""
+
+OP10_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), starts AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r FROM (
+    SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 19), ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w))
+), covered AS (
+  SELECT DISTINCT doc_id, i + k AS p FROM starts, range(20) AS t(k) WHERE r > 1
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w) ANTI JOIN covered USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     tests = [(rule, cutoff) for rule, (_, cutoffs) in quality_rules.RULES.items() for cutoff in cutoffs]
     op3 = OP3_SQL.format(tests=", ".join(map(str, tests)), n_tests=len(tests), share=0.05 / len(quality_rules.RULES))
-    return {"op3_quality_rules": op3, "op6_chat_format": OP6_SQL}
+    return {"op3_quality_rules": op3, "op5_suffix_dedup": OP5_SQL, "op6_chat_format": OP6_SQL, "op7_near_duplicates": OP7_SQL, "op10_substring_dedup": OP10_SQL}

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from schemaweave.llm import chat_format, language_id, neighbour_quality, piece_sampling, quality_rules, token_files
-from schemaweave.llm.queries import TOKENIZERS
+from schemaweave.llm.queries import tokenizer
 from schemaweave.llm.shared import remainder, shared_path
 
 ODD = [None, "", " \n\t", "1234 !!", "é" * 70000, "a" * 50000 + " b", "same text here", "same text here"]
@@ -74,7 +74,7 @@ def test_simple8b_round_trip(ids):
 def test_token_files_match_the_library(spark):
     from tokenizers import Tokenizer
 
-    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    path = tokenizer("word_bpe_49k.json")
     texts = [*ODD[:4], "don't <|endoftext|> x<|startoftext|>y 'S 'TIS ÉCOLE ﬁ İx ΑΣ. 日本 3a4b < <|", "a\x0bb\x0cc\x7f \x01", "nb sp z", *ODD[4:]]
     rows = [(i * 7 % 11 if i < 9 else 5, t, None) for i, t in enumerate(texts)] + [(None, "first", None)]
     out = shared_path(spark, "t")
@@ -137,7 +137,7 @@ def test_rules_reject_bad_and_keep_their_promise(spark):
 
 
 def test_pieces_are_lossless_reproducible_and_rightly_distributed(spark):
-    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    model = tokenizer("piece_bpe_32k.model")
     texts = [*ODD, "a▁b  c\n\n 日本語 😀\x00", "x" * 3000, "the  ", "\x85 "]
     docs = made(spark, [(i, t, None) for i, t in enumerate(texts)] + [(None, "null key", None)])
     one = {r.doc_id: list(r.pieces) for r in piece_sampling.sample_pieces(docs, model).collect()}
