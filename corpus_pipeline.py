@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemaweave.llm import decontamination, near_duplicates, neighbour_quality, piece_sampling, suffix_dedup
-from schemaweave.llm.queries import TOKENIZERS
+from schemaweave.llm.queries import tokenizer
 from schemaweave.llm.shared import lacking, shared_path, tune
 
 #: Documents that score less are rejected.
@@ -57,7 +57,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled pieces of each text, decoded again: doc_id, n_pieces, pieces_crc32, decoded_sha256, lossless."""
     tune(spark)
-    return piece_sampling.sample_pieces(docs, f"{TOKENIZERS}/piece_bpe_32k.model", digests=True, cached_units=CACHED_UNITS)
+    return piece_sampling.sample_pieces(docs, tokenizer("piece_bpe_32k.model"), digests=True, cached_units=CACHED_UNITS)
 
 
 STAGES = [
