@@ -121,7 +121,8 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     total, last, at = 1.0, 1.0, k
     while at > 0 and last > 1e-18 * total:
         i = np.arange(at, max(at - 4096, 0), -1, dtype=np.float64)
-        ratios = last * np.cumprod(i * (1 - p) / ((n - i + 1) * p))
+        with np.errstate(over="ignore"):
+            ratios = last * np.cumprod(i * (1 - p) / ((n - i + 1) * p))
         if not np.isfinite(ratios[-1]):  # far above the mean
             return 1.0
         total, last, at = total + float(ratios.sum()), float(ratios[-1]), at - len(i)

@@ -55,6 +55,26 @@ def test_language_id_without_training_rows(spark):
     assert language_id.predict(docs.limit(0), model).count() == 0
 
 
+def test_marks_that_are_no_letters_are_undetermined(spark):
+    docs = made(spark, [(i, speech(g, 12, i), g) for i, g in enumerate(["aa", "bb"] * 20)] + [(100, "½ ² ① _ 7", None), (101, "½ ª", None), (102, "ʰ", None)])
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(docs, language_id.train(docs, F.lit(True))).collect()}
+    assert got[100] == ("und", 0.0) and got[101][0] != "und" and got[102][0] != "und"
+
+
+def test_only_so_many_languages_are_learned(spark):
+    docs = made(spark, [(i, speech("aa", 6, i), "aa" if i < 30 else "bb" if i < 50 else f"x{i}") for i in range(80)])
+    assert language_id.train(docs, F.lit(True), most_languages=2).languages == ["aa", "bb"]
+
+
+def test_decoding_takes_the_nearest_codeword():
+    rng = np.random.default_rng(2)
+    code = language_id.codewords(5)
+    model = language_id.LanguageModel(list("abcde"), code, np.zeros((1, code.shape[1])), rng.uniform(0.5, 3, code.shape[1]))
+    margins = rng.normal(0, 2, (50, code.shape[1]))
+    brute = [[sum(t * math.log1p(math.exp(-m * c)) for m, c, t in zip(row, word, model.trust, strict=True)) / model.trust.sum() for word in code] for row in margins]
+    assert np.allclose(language_id._losses(model, margins), brute)
+
+
 def test_codewords_differ():
     for n in (2, 3, 4, 6, 9, 30):
         code = language_id.codewords(n)
@@ -93,6 +113,18 @@ def test_token_files_match_the_library(spark):
     assert token_files.read(spark, empty).count() == 0
 
 
+def test_token_files_of_a_tokenizer_to_which_white_space_matters(spark):
+    from tokenizers import Tokenizer
+
+    path, out = tokenizer("byte_bpe_50k.json"), shared_path(spark, "t")
+    texts = ["two  spaces and\ttabs\n\n end ", " lead", None, "é 日本 x", *ODD[4:]]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    token_files.write(made(spark, [(i, t, None) for i, t in enumerate(texts)]), out, path)
+    tk = Tokenizer.from_file(path)
+    assert {r.doc_id: list(r.ids) for r in token_files.read(spark, out).collect()} == {i: [*tk.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def measures(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -118,6 +150,24 @@ def test_binomial_tail():
         assert quality_rules.binomial_tail(k, n, p) == pytest.approx(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
 
 
+def test_binomial_tail_of_large_numbers():
+    """Against the sum in logarithms, beyond that the normal law with its first correction, whose error falls with n, and ratios of neighbouring probabilities."""
+    p = 0.0125
+    for k in (11_830, 12_100, 12_450):
+        terms = [math.lgamma(10**6 + 1) - math.lgamma(i + 1) - math.lgamma(10**6 - i + 1) + i * math.log(p) + (10**6 - i) * math.log1p(-p) for i in range(k + 1)]
+        assert quality_rules.binomial_tail(k, 10**6, p) == pytest.approx(math.exp(terms[-1]) * math.fsum(math.exp(t - terms[-1]) for t in terms), rel=1e-7)
+    for n, close in ((10**9, 2e-3), (10**12, 2e-5)):
+        sigma = math.sqrt(n * p * (1 - p))
+        for z in (-6.0, -4.0, -2.0, -0.5):
+            k = math.floor(n * p + z * sigma)
+            x = (k + 0.5 - n * p) / sigma
+            law = 0.5 * math.erfc(-x / math.sqrt(2)) - (1 - 2 * p) / (6 * sigma) * (x * x - 1) * math.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+            assert quality_rules.binomial_tail(k, n, p) == pytest.approx(law, rel=close)
+    a, b, c = (quality_rules.binomial_tail(k, 10**9, 0.0125) for k in (12_480_000, 12_480_001, 12_480_002))
+    assert (c - b) / (b - a) == pytest.approx((10**9 - 12_480_001) * 0.0125 / (12_480_002 * 0.9875), rel=1e-6)
+    assert quality_rules.binomial_tail(0, 10**12, 0.0125) == 0.0 and quality_rules.binomial_tail(600, 1000, 0.0125) == 1.0
+
+
 def test_rules_reject_bad_and_keep_their_promise(spark):
     rng = random.Random(2)
     rows, labels = [], []
@@ -166,6 +216,28 @@ def test_pieces_are_lossless_reproducible_and_rightly_distributed(spark):
     assert all(abs(seen[k] / 20000 - w / sum(expected.values())) < 0.02 for k, w in expected.items())
 
 
+def test_long_units_without_a_lattice(spark, monkeypatch):
+    model = tokenizer("piece_bpe_32k.model")
+    s = piece_sampling.Sampler(piece_sampling.vocabulary(model), 1.0, 3)
+    keys = np.arange(6000, dtype=np.uint64)
+
+    def drawn():
+        ids, counts = s.sample([" there▁é"] * 6000, keys)
+        stop = np.cumsum(counts)
+        assert s.decode(ids) == " there▁é".encode() * 6000
+        return Counter(tuple(ids[b - n : b].tolist()) for b, n in zip(stop, counts, strict=True))
+
+    lattice = drawn()
+    monkeypatch.setattr(piece_sampling, "LONG", 1)
+    s.clear()
+    alone = drawn()
+    assert all(abs(lattice[k] - alone[k]) < 5 * math.sqrt(max(lattice[k], alone[k], 9)) for k in lattice | alone)
+    long = ["ab" * 150_000, "日本語" * 30_000, "\x00" * 9000, "the " * 2000 + "Q" * 5000]
+    docs = made(spark, [(i, t, None) for i, t in enumerate(long)])
+    out = piece_sampling.sample_pieces(docs, model, digests=True).collect()
+    assert all(r.lossless for r in out) and {r.doc_id: r.pieces_crc32 for r in out} == {r.doc_id: r.pieces_crc32 for r in piece_sampling.sample_pieces(docs.repartition(3), model, digests=True).collect()}
+
+
 def test_chat_parts_and_round_trip(spark):
     rows = [
         (1, 0, "user", [("text", "see <|image|> \\ <|", None, None), ("image", None, "i.png", 7), ("audio", None, "a.wav", None), ("new", None, "n", None)]),
@@ -204,3 +276,31 @@ def test_neighbour_quality_on_held_out_rows(spark):
     assert {r[neighbour_quality.SCORE] for r in neighbour_quality.score_rows(docs, blank).collect()} == {0.5}
 
 
+
+
+def test_neighbours_vote_as_in_a_plain_loop():
+    rng = np.random.default_rng(4)
+    counts = rng.poisson(0.02, (12, neighbour_quality.TERMS)).astype(np.float32)
+    vectors = rng.standard_normal((90, 8)).astype(np.float32)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors[40:60] = vectors[:20]  # ties
+    labels, weights = (np.arange(90) % 3 > 0).astype(float), rng.uniform(0.2, 1, 90)
+    model = neighbour_quality.NeighbourModel(np.ones(neighbour_quality.TERMS, np.float32), rng.standard_normal((neighbour_quality.TERMS, 8)).astype(np.float32), vectors, labels, weights, 0.7)
+    own = model.embed(counts)
+    for x, got in zip(own, model.score(counts), strict=True):
+        near = [float(np.float32(x @ v)) for v in vectors]
+        best = sorted(range(90), key=lambda i: (-round(near[i] * 2**20), i))[: neighbour_quality.NEIGHBOURS]
+        votes = [max(near[i], 0) ** 8 * weights[i] for i in best]
+        assert got == pytest.approx((0.01 * 0.7 + sum(v * labels[i] for v, i in zip(votes, best, strict=True))) / (0.01 + sum(votes)), rel=1e-3)
+
+
+def test_quality_that_only_words_tell(spark):
+    """Both kinds have the same layout: lower-case words of the same lengths."""
+    rng = random.Random(6)
+    kinds = [["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(60)] for _ in range(2)]
+    rows = [(i, " ".join(rng.choice(kinds[i % 2]) for _ in range(40)), None) for i in range(300)]
+    docs, held = made(spark, rows), remainder(F.col("doc_id"), 5) == 0
+    model = neighbour_quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id bigint, quality int"), ~held)
+    got = {r.doc_id: r.s for r in neighbour_quality.score_rows(docs, model, score="s").collect()}
+    test = [i for i in got if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum((got[i] >= 0.5) == bool(i % 2) for i in test) >= 0.95 * len(test)
