@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from schemaweave.llm import decontamination, near_duplicates, neighbour_quality, piece_sampling, suffix_dedup
 from schemaweave.llm.queries import tokenizer
-from schemaweave.llm.shared import lacking, shared_path, tune
+from schemaweave.llm.shared import every, free_name, lacking, shared_path, tune
 
 #: Documents that score less are rejected.
 LEAST_QUALITY = 0.3
@@ -28,8 +28,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the neighbours' vote doesn't reject."""
     labels = tune(spark).read.parquet(f"{sf_dir}/labels.parquet")
     model = neighbour_quality.fit(docs, labels, F.lit(True))
-    scored = neighbour_quality.score_rows(docs, model)
-    return scored.where(F.col(neighbour_quality.SCORE) >= LEAST_QUALITY).select(*docs.columns)
+    score = free_name(neighbour_quality.SCORE, docs)
+    return neighbour_quality.score_rows(docs, model, score=score).where(F.col(score) >= LEAST_QUALITY).drop(score)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     out = suffix_dedup.remove_from_texts(docs, window=REPEATED_BYTES)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*every(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
