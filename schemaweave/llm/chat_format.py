@@ -53,7 +53,7 @@ def format_conversations(messages: DataFrame, default_tokens: dict[str, int] | N
     """messages(conv_id, turn, role, parts) to one row per conversation.
 
     Returns conv_id, n_turns, formatted, loss_mask (array of struct<start, length>, code
-    points counted from 1, one for each assistant turn), attachments (array of
+    points counted from 1, one for each assistant turn in order), attachments (array of
     struct<position, turn_index, type, uri, tokens> in order of their placeholders) and
     expanded_tokens (sum of the attachments' tokens). A part without tokens takes
     default_tokens[type].
@@ -99,5 +99,11 @@ def read_turns(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, mask: Column) -> Column:
-    """All text under the loss mask, unescaped, end to end."""
-    return F.array_join(F.transform(mask, lambda m: unescape(F.substring(formatted, m["start"].cast("int"), m["length"].cast("int")))), "")
+    """All text under the loss mask, unescaped, end to end.
+
+    Spans and assistant turns come in the same order, so each span is cut from its own turn and a
+    conversation is gone through once, however many turns it has.
+    """
+    head = "assistant" + TEXT
+    own = F.filter(F.split(formatted, r"<\|turn\|>"), lambda x: x.startswith(head))
+    return F.array_join(F.zip_with(own, mask, lambda x, m: unescape(F.substring(x, F.lit(len(head) + 1), m["length"].cast("int")))), "")

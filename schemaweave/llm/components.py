@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from schemaweave.llm.shared import stored
+from schemaweave.llm.shared import dropped, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -27,7 +27,9 @@ def components(links: DataFrame) -> DataFrame:
         below = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(below, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").unionByName(below.select("hi", F.col("m").alias("lo"))).distinct()
         after = stored(small, "links")
-        now, edges = _print(after), after
+        now = _print(after)
+        dropped(edges)
+        edges = after
         if now == before:
             return edges.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root")).unionByName(edges.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
         before = now

@@ -70,7 +70,15 @@ def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """
     path = shared_path(df.sparkSession, name)
     packed(df).write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete what stored() has written for `df`, which must not be read any more."""
+    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def remainder(doc_id: Column, divisor: int) -> Column:
