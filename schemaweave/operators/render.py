@@ -222,7 +222,7 @@ def to_mermaid(a) -> DataFrame:
 
 def to_json(a) -> DataFrame:
     """script_id, json: objects with columns, edges with mappings, col_lineage, flows, cycles, topo_order and stats."""
-    cols = F.struct("ordinal", F.col("column").alias("name"), F.col("data_type").alias("type"), "nullable", "pk", "fk_to", "unique", F.coalesce("default", F.lit("")).alias("default"))
+    cols = F.struct("ordinal", F.col("column").alias("name"), F.col("data_type").alias("type"), "nullable", "pk", F.coalesce("fk_to", F.lit("")).alias("fk_to"), "unique", F.coalesce("default", F.lit("")).alias("default"))
     columns = a.columns.groupBy("script_id", "name").agg(F.transform(F.sort_array(F.collect_list(cols)), lambda c: c.dropFields("ordinal")).alias("columns"))
     maps = F.struct("pos", "src_table", "src_col", F.col("target").alias("tgt_table"), "tgt_col", F.col("source").alias("via"))
     mapped = _mapped(a).groupBy("script_id", "source", "target").agg(F.transform(F.sort_array(F.collect_list(maps)), lambda m: m.dropFields("pos")).alias("col_lineage"))
@@ -235,7 +235,7 @@ def to_json(a) -> DataFrame:
         return rows.groupBy("script_id").agg(F.transform(ordered, lambda x: x["value"]).alias(name))
 
     objects = a.objects.join(columns, ["script_id", "name"], "left")
-    out = gathered(objects, "objects", ["obj_seq", "name"], F.struct("name", "type", "schema", "temporary", "parent", F.coalesce("columns", F.array()).alias("columns")))
+    out = gathered(objects, "objects", ["obj_seq", "name"], F.struct("name", "type", "schema", "temporary", F.coalesce("parent", F.lit("")).alias("parent"), F.coalesce("columns", F.array()).alias("columns")))
     for more in (
         gathered(edges, "edges", ["edge_seq"], F.struct("source", "target", F.col("edge_type").alias("type"), "via", "details", F.coalesce(maps.cast(kind), F.array().cast(kind)).alias("col_lineage"))),
         gathered(a.column_lineage, "col_lineage", ["stmt_seq", "insert_seq", "pos"], F.struct("src_table", "src_col", "tgt_table", "tgt_col", "via")),
