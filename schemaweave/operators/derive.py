@@ -17,6 +17,7 @@ _KEY = ["script_id", "stmt_seq", "part_seq"]
 #: A plain item: a column with or without what it is a column of.
 _PLAIN = rf"^(?:{text.NAME}\.)?{text.NAME}$"
 COLUMNS = "array<struct<column:string,data_type:string>>"
+_KNOWN = f"array<struct<table:string,columns:{COLUMNS}>>"
 
 
 def queries(rows: DataFrame) -> DataFrame:
@@ -100,7 +101,10 @@ def derived_columns(open_: DataFrame, given: DataFrame) -> DataFrame:
 
     A query sees the last definition before it; part_seq is -1 for those that others can see.
     """
-    open_, given = stored(open_), stored(given)
+    open_ = stored(open_)
+    if not open_.take(1):
+        return resolved(open_.withColumn("known", F.array().cast(_KNOWN)))
+    given = stored(given)
     needed = stored(_needed(open_, given))
     waiting = needed.join(given.select("script_id", F.col("name").alias("table"), F.col("stmt_seq").alias("def_seq")), ["script_id", "table", "def_seq"], "left_anti")
     waiting, known, out = stored(waiting), given, None
@@ -108,7 +112,7 @@ def derived_columns(open_: DataFrame, given: DataFrame) -> DataFrame:
         ready = open_.join(waiting, _KEY, "left_anti")
         visible = needed.join(known.select("script_id", F.col("name").alias("table"), F.col("stmt_seq").alias("def_seq"), "columns"), ["script_id", "table", "def_seq"])
         own = ready.join(visible.groupBy(*_KEY).agg(F.collect_list(F.struct("table", "columns")).alias("known")), _KEY, "left")
-        done = stored(resolved(own.withColumn("known", F.coalesce("known", F.array().cast(f"array<struct<table:string,columns:{COLUMNS}>>")))))
+        done = stored(resolved(own.withColumn("known", F.coalesce("known", F.array().cast(_KNOWN)))))
         out = done if out is None else out.unionByName(done)
         if not waiting.take(1):
             return out

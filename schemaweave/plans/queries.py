@@ -24,6 +24,8 @@ def _say(form: str, *columns: str) -> Column:
 def _scripts(rows: DataFrame, script: Column, ddl: Column) -> DataFrame:
     """Statements of rows gathered into scripts of bounded size: script is a key of few rows."""
     said = rows.select(script.cast("string").alias("script_id"), ddl.alias("d"))
+    # Reading text takes time, not space: a fixed number of partitions isn't merged for being small.
+    said = said.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "script_id")
     return said.groupBy("script_id").agg(F.array_join(F.sort_array(F.collect_list("d")), "\n").alias("ddl"))
 
 
