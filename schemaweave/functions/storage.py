@@ -12,7 +12,7 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; only a local master may do without, and then gets a temporary folder."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir isn't set; executors need a folder that they share")
         place = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", place)
