@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaweave.llm import chat_format, decontamination, language_id, near_duplicates, neighbour_quality, piece_sampling, quality_rules, substring_dedup, suffix_dedup, token_files
-from schemaweave.llm.shared import remainder, shared_path, stored, tune
+from schemaweave.llm import chat_format, code_compression, decontamination, filter_audit, language_id, near_duplicates, neighbour_quality, piece_sampling, quality_rules, secret_spans, substring_dedup, suffix_dedup, token_files
+from schemaweave.llm.shared import remainder, shared_path, stored, tune, with_group
 
 
 
@@ -88,8 +88,27 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated_words(table(spark, sf_dir, "documents"), window=20)
 
 
+def op11_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = code_compression.compress(table(spark, sf_dir, "embeddings"))
+    coded = stored(coded, "codes")
+    labels = coded.groupBy("label").agg(F.count("*").alias("n"), F.sum("error").alias("label_error"))
+    return with_group(coded, "label", labels, "n").select("vec_id", "code", "error", "label_error", F.lit(code_compression.digest(books)).alias("codebooks_sha256"))
+
+
+def op12_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_spans.digests(secret_spans.find(docs, secret_spans.train(docs)))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    marks = labels.select("doc_id", (F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic"))
+    rows = filter_audit.measure(docs, F.col("source"), marks)
+    return filter_audit.audit(rows, filter_audit.FILTERS)
+
+
 def queries() -> dict:
-    return {"op1_language_id": op1_language_id, "op2_token_files": op2_token_files, "op3_quality_rules": op3_quality_rules, "op4_piece_sampling": op4_piece_sampling, "op5_suffix_dedup": op5_suffix_dedup, "op6_chat_format": op6_chat_format, "op7_near_duplicates": op7_near_duplicates, "op8_decontamination": op8_decontamination, "op9_neighbour_quality": op9_neighbour_quality, "op10_substring_dedup": op10_substring_dedup}
+    return {"op1_language_id": op1_language_id, "op2_token_files": op2_token_files, "op3_quality_rules": op3_quality_rules, "op4_piece_sampling": op4_piece_sampling, "op5_suffix_dedup": op5_suffix_dedup, "op6_chat_format": op6_chat_format, "op7_near_duplicates": op7_near_duplicates, "op8_decontamination": op8_decontamination, "op9_neighbour_quality": op9_neighbour_quality, "op10_substring_dedup": op10_substring_dedup, "op11_code_compression": op11_code_compression, "op12_secret_spans": op12_secret_spans, "op13_filter_audit": op13_filter_audit}
 
 
 OP6_SQL = r"""
@@ -203,8 +222,70 @@ WITH w AS (
 SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
 """
 
+OP13_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), firsts AS (
+  SELECT t, min(doc_id) AS first FROM d GROUP BY t
+), marks AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), rows AS (
+  SELECT part, CAST(len(ws) < 50 AS INT) + 2 * CAST(100 * len(list_distinct(ws)) < 65 * len(ws) AS INT)
+    + 4 * CAST(100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) AS INT) + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+    + 16 * CAST(doc_id > first AS INT) AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM d JOIN firsts USING (t) LEFT JOIN marks USING (doc_id)
+), profiles AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE toxic) AS x FROM rows GROUP BY ALL
+), letters(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), orders(filter_order, used) AS (
+  SELECT letter, bit FROM letters UNION ALL SELECT filter_order || letter, used + bit FROM orders, letters WHERE used & bit = 0
+), steps AS (
+  SELECT filter_order, CAST(step AS INT) AS step, bit, (SELECT coalesce(sum(l.bit), 0) FROM letters l WHERE position(l.letter IN filter_order) < step)::INT AS before
+  FROM orders, range(1, 6) AS r(step), letters WHERE used = 31 AND filter_order[step] = letter
+), counts AS (
+  SELECT part, filter_order, step, bit,
+    sum(n) FILTER (WHERE fails & (before | bit) = 0) AS kept, sum(n) FILTER (WHERE fails & before = 0 AND fails & bit > 0) AS removed,
+    sum(n) FILTER (WHERE fails & before > 0 AND fails & bit > 0) AS redundant, sum(n) FILTER (WHERE fails = bit) AS unique_fails,
+    sum(g) FILTER (WHERE fails & before = 0 AND fails & bit > 0) AS good_lost, sum(x) FILTER (WHERE fails & before = 0 AND fails & bit > 0) AS toxic_lost
+  FROM profiles, steps GROUP BY ALL
+)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley
+FROM counts
+"""
+
+
+def op11_sql(rounds: int = 4) -> str:
+    """One pair of tables for each round: the entry of each part, and the codebooks made of them. Sums of products of integers are exact in doubles."""
+    of = lambda k: f"""
+assigned{k} AS MATERIALIZED (
+  SELECT vec_id, p, min(CAST(list_inner_product(v, v) - 2 * list_inner_product(v, z) + list_inner_product(z, z) AS BIGINT) * 256 + e) AS code FROM pieces JOIN book{k} USING (p) GROUP BY vec_id, p
+)"""
+    next_ = lambda k: f"""
+sums{k} AS (
+  SELECT p, code % 256 AS e, i, floor(sum(v[i]) / count(*)) AS x FROM (SELECT p, code, v, unnest(range(1, len(v) + 1)) AS i FROM assigned{k} JOIN pieces USING (vec_id, p)) GROUP BY ALL
+), book{k + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(n.z, b.z) AS z FROM book{k} b LEFT JOIN (SELECT p, e, list(x ORDER BY i) AS z FROM sums{k} GROUP BY p, e) n USING (p, e)
+)"""
+    tables = ",".join(of(k) + "," + next_(k) for k in range(rounds)) + "," + of(rounds)
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS c, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pieces AS MATERIALIZED (
+  SELECT vec_id, label, place, p, list_slice(c, CAST(p * len(c) // 4 + 1 AS BIGINT), CAST((p + 1) * len(c) // 4 AS BIGINT)) AS v FROM kept, range(4) AS r(p)
+), book0 AS MATERIALIZED (
+  SELECT p, place AS e, v AS z FROM pieces WHERE place < 256
+), {tables}, coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', code % 256), '' ORDER BY p) AS code, CAST(sum(code // 256) AS BIGINT) AS error FROM assigned{rounds} JOIN kept USING (vec_id) GROUP BY vec_id, label
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(list_transform(z, lambda x: CAST(x AS BIGINT)), ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256
+FROM coded
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     tests = [(rule, cutoff) for rule, (_, cutoffs) in quality_rules.RULES.items() for cutoff in cutoffs]
     op3 = OP3_SQL.format(tests=", ".join(map(str, tests)), n_tests=len(tests), share=0.05 / len(quality_rules.RULES))
-    return {"op3_quality_rules": op3, "op5_suffix_dedup": OP5_SQL, "op6_chat_format": OP6_SQL, "op7_near_duplicates": OP7_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op3_quality_rules": op3, "op5_suffix_dedup": OP5_SQL, "op6_chat_format": OP6_SQL, "op7_near_duplicates": OP7_SQL, "op10_substring_dedup": OP10_SQL, "op11_code_compression": op11_sql(), "op13_filter_audit": OP13_SQL}

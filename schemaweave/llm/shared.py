@@ -13,6 +13,8 @@ BATCH_BYTES = 2 << 20
 BATCH_ROWS = 2000
 #: A side with more rows than this isn't broadcast.
 BROADCAST_ROWS = 10_000
+#: A value with more than one in HOT of all rows is hot, so there are fewer than HOT hot ones.
+HOT = 1 << 16
 #: Bits of a bitmap for each key, and its 64-bit words at least and at most.
 _BITS_A_KEY = 8
 _BITMAP_WORDS = (1 << 10, 1 << 20)
@@ -130,3 +132,22 @@ def lacking(rows: DataFrame, key: str, side: DataFrame, side_key: str) -> DataFr
     keys = stored(side.select(F.col(side_key).alias(gone)).distinct(), "gone")
     maybe, rest = divided(rows, key, keys, gone)
     return rest.unionByName(maybe.join(keys, F.col(key) == F.col(gone), "left_anti"))
+
+
+def with_group(rows: DataFrame, by: str, groups: DataFrame, size: str) -> DataFrame:
+    """Each row with the columns of the group that has its value of `by`, nulls if there is none; a null value equals a null.
+
+    groups: one row per value, with `by`, the number `size` of its rows, and other columns that `rows` hasn't.
+    Hot groups are broadcast, fewer than HOT of them whatever the input; rows of other groups are joined as usual,
+    so no task gets all rows of a hot one. `groups` is read three times and `rows` twice: store what is dear.
+    """
+    key, more = free_name("group", rows, groups), [c for c in groups.columns if c not in (by, size)]
+    found = free_name("found", rows, groups)
+    sides = groups.withColumn(found, F.lit(True)).withColumnRenamed(by, key)
+    total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    hot = sides.where(F.col(size) * HOT > total)
+    looked_up = rows.join(F.broadcast(hot.drop(size)), F.col(by).eqNullSafe(F.col(key)), "left")
+    rest = looked_up.where(F.col(found).isNull()).select(*every(rows))
+    joined = rest.join(sides.where(F.col(size) * HOT <= total).drop(size), F.col(by).eqNullSafe(F.col(key)), "left")
+    columns = [*every(rows), *[F.col("`" + c.replace("`", "``") + "`") for c in more]]
+    return looked_up.where(F.col(found)).select(*columns).unionByName(joined.select(*columns))
