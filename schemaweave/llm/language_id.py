@@ -7,9 +7,9 @@ weighted by how reliable each bit was on the training sample, and flags a text a
 ambiguous if the second best is close.
 
 Training reads at most about `per_language` documents of each language, chosen by a
-hash of the id, of the `most_languages` that have the most documents (a bound on what the
-driver holds); every document is predicted from its whole text. The bits' reliability is
-measured on a tenth of that sample.
+hash of the id; every document is predicted from its whole text. Counts stay distributed: the
+driver gets a name and a number per language, and BUCKETS sums per bit, of which there are some
+10 for each doubling of the languages. The bits' reliability is measured on a tenth of that sample.
 
 Cases: a null text, or one without a letter, is `und` with score 0. Rows without
 language, or without id, are not learned from. Without any training row every text is
@@ -21,6 +21,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from schemaweave.llm.arrays import lowered, text_bytes, text_slices
-from schemaweave.llm.shared import bounded_sample
+from schemaweave.llm.shared import bounded_sample, stored
 
 BUCKETS = 1 << 15
 _LETTER = regex.compile(r"\p{L}")
@@ -57,22 +58,31 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Gram counts of each language in this partition."""
     counts: dict[str, np.ndarray] = {}
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for name, sums in counts.items():
+            full = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(full)), pa.array(full), pa.array(sums[full])], ["lang", "bucket", "n"])
+        counts.clear()
+
     for batch in text_slices(batches, limit=1 << 20):
+        if len(counts) > 100:  # 256 kB each
+            yield from rows()
         names = batch.column("lang").to_pylist()
-        index = {name: i for i, name in enumerate(dict.fromkeys(names))}
-        of = np.array([index[x] for x in names], np.int64)
-        sums = np.zeros((len(index), BUCKETS), np.int64)
-        for key, row in _grams(*text_bytes(batch.column("text"))):
-            sums += np.bincount(of[row] * BUCKETS + key, minlength=sums.size).reshape(sums.shape)
-        for name, i in index.items():
-            counts[name] = counts.get(name, 0) + sums[i]
-    for name, sums in counts.items():
-        full = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(full)), pa.array(full), pa.array(sums[full])], ["lang", "bucket", "n"])
+        for at in range(0, len(names), 200):  # so a piece has 200 languages at most
+            part = names[at : at + 200]
+            index = {name: i for i, name in enumerate(dict.fromkeys(part))}
+            of = np.array([index[x] for x in part], np.int64)
+            sums = np.zeros((len(index), BUCKETS), np.int64)
+            for key, row in _grams(*text_bytes(batch.column("text").slice(at, 200))):
+                sums += np.bincount(of[row] * BUCKETS + key, minlength=sums.size).reshape(sums.shape)
+            for name, i in index.items():
+                counts[name] = counts.get(name, 0) + sums[i]
+    yield from rows()
 
 
 def codewords(languages: int, seed: int = 5) -> np.ndarray:
-    """One row of -1 and 1 per language: all splits for up to six, else the best of random codes."""
+    """One row of -1 and 1 per language: all splits for up to six, else the best of random codes (over 1000 languages: the first)."""
     if languages <= 1:
         return np.ones((languages, 1))
     if languages <= 6:
@@ -82,6 +92,8 @@ def codewords(languages: int, seed: int = 5) -> np.ndarray:
     for _ in range(50):
         code = rng.choice((-1.0, 1.0), (languages, width))
         code[0, np.abs(code.sum(0)) == languages] *= -1
+        if languages > 1000:  # their distances are too many to compare, and random ones are near the best
+            return code
         apart = (width - (code @ code.T)[np.triu_indices(languages, 1)].max()) / 2
         if apart > least:
             best, least = code, apart
@@ -110,27 +122,46 @@ def _margins(weights: np.ndarray, column: pa.Array) -> np.ndarray:
 
 def _losses(model: LanguageModel, margins: np.ndarray) -> np.ndarray:
     """Weighted logistic loss of each text against each codeword."""
-    z = -np.clip(margins, -30, 30)[:, None, :] * model.code[None]
-    return (np.logaddexp(0, z) * model.trust).sum(2) / model.trust.sum()
-
-
-def train(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 10_000, most_languages: int = 1000) -> LanguageModel:
-    """A model from the documents where `learn` holds; at most about `per_language` of each of at most `most_languages` languages."""
+    margins = np.clip(margins, -30, 30)
+    on, off = np.logaddexp(0, -margins) * model.trust, np.logaddexp(0, margins) * model.trust
+    return (on @ (model.code > 0).T + off @ (model.code < 0).T) / model.trust.sum()
+
+
+def _bit_sums(code: np.ndarray, totals: np.ndarray, unit: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """bucket, and for each bit the sums of its grams' shares in the languages that have it on and off, in whole units."""
+    sums: dict[int, np.ndarray] = {}
+    on, off = code > 0, code < 0
+    for batch in batches:
+        bucket, of, n = (batch.column(c).to_numpy() for c in ("bucket", "of", "n"))
+        share = np.rint(n / (totals[of] + 0.5 * BUCKETS) * unit).astype(np.int64)
+        for b, k, x in zip(bucket.tolist(), of.tolist(), share.tolist(), strict=True):
+            own = sums.setdefault(b, np.zeros((2, code.shape[1]), np.int64))
+            own[0, on[k]] += x
+            own[1, off[k]] += x
+    for b, own in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([own.tobytes()], pa.binary())], ["bucket", "sums"])
+
+
+def train(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 10_000) -> LanguageModel:
+    """A model from the documents where `learn` holds; at most about `per_language` of each language."""
     rows = docs.where(learn).select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and doc_id is not null")
-    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
-    rows = rows.join(F.broadcast(most.select("lang")), "lang", "left_semi")  # at most most_languages rows
     sample = bounded_sample(rows, "lang", "doc_id", per_language).select("lang", "text")
-    summed = sample.mapInArrow(_count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(summed["lang"].unique())
-    counts = np.zeros((len(languages), BUCKETS))
-    counts[np.searchsorted(languages, summed["lang"]), summed["bucket"]] = summed["n"]
-    share = (counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * BUCKETS)  # each language counts the same
+    counts = stored(sample.mapInArrow(_count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "grams")
+    found = counts.groupBy("lang").agg(F.sum("n").alias("n")).toArrow().sort_by("lang")  # a row per language
+    languages, totals = found.column("lang").to_pylist(), found.column("n").to_numpy()
     code = codewords(len(languages))
+    numbered = docs.sparkSession.createDataFrame(pa.table({"lang": pa.array(languages, pa.string()), "of": pa.array(range(len(languages)), pa.int64())}))
+    # Shares are summed in whole units, so the sums don't depend on their order; each language counts the same.
+    unit = float(1 << (61 - len(languages).bit_length()))
+    summed = counts.join(numbered, "lang").select("bucket", "of", "n").repartition("bucket").mapInArrow(partial(_bit_sums, code, totals, unit), "bucket bigint, sums binary").toArrow()
+    least = 0.5 / (totals + 0.5 * BUCKETS)  # the share of a gram that a language doesn't have
+    sums = np.repeat(np.stack([least @ (code > 0), least @ (code < 0)])[None], BUCKETS, axis=0)
+    if summed.num_rows:
+        sums[summed.column("bucket").to_numpy()] += np.frombuffer(b"".join(summed.column("sums").to_pylist()), np.int64).reshape(-1, *sums.shape[1:]) / unit
+    of = np.stack([(code > 0).sum(0), (code < 0).sum(0)])
     weights = np.zeros((BUCKETS, code.shape[1]), np.float32)
-    for b in range(code.shape[1]):
-        on, off = code[:, b] > 0, code[:, b] < 0
-        if on.any() and off.any():
-            weights[:, b] = np.log(share[on].mean(0)) - np.log(share[off].mean(0))
+    split = (of > 0).all(0)
+    weights[:, split] = np.log(sums[:, 0, split] / of[0, split]) - np.log(sums[:, 1, split] / of[1, split])
     model = LanguageModel(languages, code, weights, np.ones(code.shape[1]))
     if len(languages) < 2:
         return model
@@ -164,14 +195,14 @@ def predict(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text:
         for batch in text_slices(batches, limit=1 << 20):
             texts = batch.column("text").to_pylist()
             known = np.array([bool(m.languages) and x is not None and _LETTER.search(x) is not None for x in texts])
-            if not m.languages:
-                best, score, close = np.zeros(len(texts), int), np.zeros(len(texts)), known
-            else:
-                loss = _losses(m, _margins(m.weights, batch.column("text")))
-                ranked = np.sort(loss, 1)
-                near = np.exp(np.maximum(loss.min(1, keepdims=True) - loss, -700) * 4)
-                best, score = loss.argmin(1), 1 / near.sum(1)
-                close = known & (ranked.shape[1] > 1) & (ranked[:, min(1, ranked.shape[1] - 1)] - ranked[:, 0] < closeness)
+            best, score, close = np.zeros(len(texts), int), np.zeros(len(texts)), known.copy()
+            step = max(1, (1 << 20) // max(1, len(m.languages)))  # texts whose losses against all languages are held at once
+            for at in range(0, len(texts) if m.languages else 0, step):
+                part = slice(at, at + step)
+                loss = _losses(m, _margins(m.weights, batch.column("text").slice(at, step)))
+                least = loss.min(1, keepdims=True)
+                best[part], score[part] = loss.argmin(1), 1 / np.exp(np.maximum(least - loss, -700) * 4).sum(1)
+                close[part] &= (np.partition(loss, 1, 1)[:, 1] - least[:, 0] < closeness) if loss.shape[1] > 1 else False
             names = [m.languages[i] if k else "und" for i, k in zip(best, known, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(close)], ["doc_id", "lang_pred", "score", "ambiguous"])
 
