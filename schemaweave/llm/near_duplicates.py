@@ -215,7 +215,9 @@ def _across(large: DataFrame, hubs: DataFrame, roots: DataFrame, sets: DataFrame
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each document."""
+    """doc_id, n_shingles, component_id, kept for each document; percent is 80 at least, for which the search's constants hold."""
+    if percent < 80:
+        raise ValueError("below a similarity of 0.80 the candidate search would lose links")
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     sketched = stored(rows.mapInArrow(_sketch, "doc_id bigint, n bigint, print_a bigint, print_b bigint, low array<bigint>, sketch array<bigint>"), "sketches")
     full = sketched.where("n > 0 and doc_id is not null")
