@@ -98,12 +98,20 @@ def read_turns(formatted: Column) -> Column:
     return F.transform(pieces, lambda x: F.struct(unescape(F.substring_index(body(x), TEXT, 1)).alias("role"), unescape(F.substring_index(body(x), TEXT, -1)).alias("text")))
 
 
-def loss_text(formatted: Column, mask: Column) -> Column:
-    """All text under the loss mask, unescaped, end to end.
+def with_loss_text(conversations: DataFrame, name: str = "loss") -> DataFrame:
+    """The rows of format_conversations() with all text under their loss masks, unescaped, end to end, as a last column.
 
-    Spans and assistant turns come in the same order, so each span is cut from its own turn and a
-    conversation is gone through once, however many turns it has.
+    Each turn of the text and each span of the mask is a row with its place; a span is cut from the turn
+    that begins last before it, so a conversation is gone through once, however many turns it has.
     """
-    head = "assistant" + TEXT
-    own = F.filter(F.split(formatted, r"<\|turn\|>"), lambda x: x.startswith(head))
-    return F.array_join(F.zip_with(own, mask, lambda x, m: unescape(F.substring(x, F.lit(len(head) + 1), m["length"].cast("int")))), "")
+    keyed = conversations.select("conv_id", "formatted", "loss_mask")
+    turns = keyed.select("conv_id", F.posexplode(F.split("formatted", r"<\|turn\|>")).alias("pos", "piece")).where("pos > 0")
+    before = F.sum(F.length("piece").cast("bigint") + len(TURN)).over(Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    turns = turns.select("conv_id", (F.coalesce(before, F.lit(0)) + len(TURN) + 1).alias("at"), F.lit(None).cast("bigint").alias("length"), "piece")
+    spans = keyed.select("conv_id", F.inline("loss_mask")).select("conv_id", F.col("start").alias("at"), "length", F.lit(None).cast("string").alias("piece"))
+    so_far = Window.partitionBy("conv_id").orderBy("at", F.col("length").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    met = turns.unionByName(spans).select("conv_id", "at", "length", F.last(F.when(F.col("piece").isNotNull(), F.struct("at", "piece")), ignorenulls=True).over(so_far).alias("turn")).where("length is not null")
+    cut = met.select("conv_id", "at", unescape(F.substring("turn.piece", (F.col("at") - F.col("turn.at") + 1).cast("int"), F.col("length").cast("int"))).alias("said"))
+    said = cut.groupBy(F.col("conv_id").alias("__of")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "said"))), lambda x: x["said"]), "").alias("__said"))
+    joined = conversations.join(said, F.col("conv_id").eqNullSafe(F.col("__of")), "left")
+    return joined.withColumn(name, F.coalesce("__said", F.lit(""))).drop("__of", "__said")

@@ -55,7 +55,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.range(1).select(F.lit(-1).cast("bigint").alias("conv_id"), F.inline(F.array(*[F.struct(F.lit(i).cast("bigint").alias("turn"), F.lit(r).alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")) for i, r in enumerate(("user", "assistant"))])))
     messages = rows.unionByName(probe).select("conv_id", "turn", "role", chat_format.text_parts(F.col("text")).alias("parts"))
     out = chat_format.format_conversations(messages)
-    back = out.withColumn("turns", chat_format.read_turns(F.col("formatted"))).withColumn("loss", chat_format.loss_text(F.col("formatted"), F.col("loss_mask")))
+    back = chat_format.with_loss_text(out).withColumn("turns", chat_format.read_turns(F.col("formatted")))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",

@@ -333,3 +333,8 @@ def test_stage_keeps_null_ids(spark):
     docs = docs.withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id")))
     out = corpus_pipeline.near_dedup(spark, docs, "")
     assert out.where("doc_id is null").count() == docs.where("doc_id is null").count()
+
+
+def test_similarities_that_would_lose_links_are_refused(spark):
+    with pytest.raises(ValueError, match="0.80"):
+        near_duplicates.near_duplicates(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), percent=79)

@@ -61,9 +61,11 @@ def test_marks_that_are_no_letters_are_undetermined(spark):
     assert got[100] == ("und", 0.0) and got[101][0] != "und" and got[102][0] != "und"
 
 
-def test_only_so_many_languages_are_learned(spark):
-    docs = made(spark, [(i, speech("aa", 6, i), "aa" if i < 30 else "bb" if i < 50 else f"x{i}") for i in range(80)])
-    assert language_id.train(docs, F.lit(True), most_languages=2).languages == ["aa", "bb"]
+def test_no_language_is_left_out(spark):
+    docs = made(spark, [(i, speech("aa", 6, i) + f" zz{i % 150}", f"x{i % 150}") for i in range(450)])
+    model = language_id.train(docs, F.lit(True))
+    assert len(model.languages) == 150 and model.code.shape[0] == 150
+    assert language_id.predict(docs, model).where("lang_pred = 'und'").count() == 0
 
 
 def test_decoding_takes_the_nearest_codeword():
@@ -245,12 +247,16 @@ def test_chat_parts_and_round_trip(spark):
         (1, 1, "assistant", [("text", "<|end|>ok\\", None, None), ("document", None, "d.pdf", 9)]),
         (2, None, None, None), (None, 3, "assistant", [(None, None, None, None)]),
     ]
-    out = {r.conv_id: r for r in chat_format.format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, parts " + chat_format.PARTS)).select("*", chat_format.read_turns(F.col("formatted")).alias("turns"), chat_format.loss_text(F.col("formatted"), F.col("loss_mask")).alias("loss")).collect()}
+    made_ = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, parts " + chat_format.PARTS)).withColumn("turns", chat_format.read_turns(F.col("formatted")))
+    out = {r.conv_id: r for r in chat_format.with_loss_text(made_).collect()}
     a = out[1]
     assert a.n_turns == 3 and [(t.role, t.text) for t in a.turns][0] == ("user", "see <|image|> \\ <|<|image|><|audio|><|unknown|>")
     assert a.loss == "<|end|>ok\\<|document|>" * 2 and a.expanded_tokens == 7 + 128 + 0 + 9 + 9
     assert [(x.position, x.turn_index, x.type, x.uri) for x in a.attachments] == [(0, 0, "image", "i.png"), (1, 0, "audio", "a.wav"), (2, 0, "new", "n"), (3, 1, "document", "d.pdf"), (4, 2, "document", "d.pdf")]
     assert out[2].n_turns == 1 and out[2].loss == "" and out[None].turns[0].text == ""
+    for by in (1, -1, 1000):  # the text comes from where the mask says
+        moved = made_.withColumn("loss_mask", F.transform("loss_mask", lambda m: m.withField("start", m["start"] + by)))
+        assert chat_format.with_loss_text(moved).where("conv_id = 1").first().loss != a.loss
 
 
 def test_neighbour_quality_on_held_out_rows(spark):
