@@ -19,6 +19,14 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+def mounted_dir(spark: SparkSession) -> str:
+    """shared_dir() as a path for programs that know files only; an error if it isn't mounted on the machines."""
+    place = shared_dir(spark).removeprefix("file:")
+    if "://" in place or not place.startswith("/"):
+        raise ValueError(f"{place} isn't a mounted folder")
+    return "/" + place.lstrip("/")
+
+
 def stored(df: DataFrame, by: str | None = None) -> DataFrame:
     """`df` written to the shared folder, in a folder for each value of `by`, and read back."""
     path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"

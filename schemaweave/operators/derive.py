@@ -12,14 +12,27 @@ from pyspark.sql import functions as F
 
 from schemaweave.functions import scanners, text
 from schemaweave.functions.storage import stored
+from schemaweave.operators.tables import COLUMN
 
 _KEY = ["script_id", "stmt_seq", "part_seq"]
 #: A plain item: a column with or without what it is a column of.
 _PLAIN = rf"^(?:{text.NAME}\.)?{text.NAME}$"
-COLUMNS = "array<struct<column:string,data_type:string>>"
+COLUMNS = "array<struct<column:string,data_type:string,nullable:boolean,pk:boolean,unique:boolean,fk_to:string,default:string>>"
 _KNOWN = f"array<struct<table:string,columns:{COLUMNS}>>"
 
 
+def as_given(c: Column) -> Column:
+    """A defined column as queries see it."""
+    return F.struct(*[c[x].alias(x) for x in COLUMN])
+
+
+def _plain(column: Column, data_type: Column) -> list[Column]:
+    """The fields of a column without flags."""
+    none = F.lit(None).cast("string")
+    values = (column, data_type, F.lit(True), F.lit(False), F.lit(False), none, none)
+    return [v.alias(x) for v, x in zip(values, COLUMN, strict=True)]
+
+
 def queries(rows: DataFrame) -> DataFrame:
     """rows(script_id, stmt_seq, part_seq, name, body) with items, and names: array<struct<k, table>> of what a qualifier k means."""
     read = rows.withColumn("q", scanners.query_parts(F.col("body")))
@@ -78,8 +91,9 @@ def _columns(item: Column, place: Column) -> Column:
     """What an item gives: the columns that its wildcard stands for, or one; n numbers a name that is taken (0: by its own place)."""
     source = text.expression_source(item)
     wide = F.when(source == "*", F.flatten(F.transform(_tables(), _of))).when(source.endswith(".*"), _of(_meant(_qualifier(item)))).otherwise(F.array().cast(COLUMNS))
-    one = F.array(F.struct(text.expression_name(item, place).alias("column"), _typed(item).alias("data_type"), place.cast("int").alias("n")))
-    many = F.transform(wide, lambda c: F.struct(c["column"].alias("column"), c["data_type"].alias("data_type"), F.lit(0).alias("n")))
+    one = F.array(F.struct(*_plain(text.expression_name(item, place), _typed(item)), place.cast("int").alias("n")))
+    kept = lambda c: F.struct(*[F.when(F.col("copy"), c[x]).otherwise(p).alias(x) for x, p in zip(COLUMN, _plain(c["column"], c["data_type"]), strict=True)], F.lit(0).alias("n"))
+    many = F.transform(wide, kept)
     return F.when((F.size(many) > 0) | F.col("copy"), many).otherwise(one)
 
 
@@ -91,7 +105,7 @@ def resolved(ready: DataFrame) -> DataFrame:
     def unique(c: Column, i: Column) -> Column:
         number = F.when(c["n"] > 0, c["n"]).otherwise(i + 1)
         taken = F.array_position(F.col("used"), c["column"]) <= i
-        return F.struct(F.when(taken, F.concat(c["column"], F.lit("_"), number)).otherwise(c["column"]).alias("column"), c["data_type"].alias("data_type"))
+        return as_given(c.withField("column", F.when(taken, F.concat(c["column"], F.lit("_"), number)).otherwise(c["column"])))
 
     return wide.withColumn("used", names).select(*_KEY, "name", F.transform("all", unique).alias("columns"))
 

@@ -24,11 +24,11 @@ _FILL = {"TABLE": "#dbeafe", "VIEW": "#dcfce7", "MATERIALIZED_VIEW": "#a7f3d0",
 _COLOUR = {"FK": "gray40", "READ": "steelblue", "WRITE": "firebrick", "INHERITS": "darkgreen"}
 
 
-def _lines(rows: DataFrame, section: int, line: Column, *order: Column) -> DataFrame:
-    """script_id, key, line: a section's lines, in order of up to three texts and a number."""
+def _lines(rows: DataFrame, section: int, line: Column, *order: Column, seq: Column | None = None) -> DataFrame:
+    """script_id, key, line: a section's lines, in order of up to three texts and a number, or of seq, an array of numbers."""
     texts = [F.coalesce(x.cast("string"), F.lit("")) for x in order[:-1]]
     texts += [F.lit("")] * (3 - len(texts))
-    number = (order[-1] if order else F.lit(0)).cast("bigint")
+    number = F.array((order[-1] if order else F.lit(0)).cast("bigint")) if seq is None else seq.cast("array<bigint>")
     return rows.select("script_id", F.struct(F.lit(section).alias("s"), *[t.alias(f"t{i}") for i, t in enumerate(texts)], number.alias("n")).alias("key"), line.alias("line")).where("line is not null")
 
 
@@ -93,7 +93,7 @@ def to_text(a, most: int = 6) -> DataFrame:
             _lines(edges, 3, arrow, rank, F.col("source"), F.col("target"), F.lit(0)),
             _lines(mapped, 3, F.concat(F.lit("        "), F.col("src_table"), F.lit("."), "src_col", F.lit("  ->  "), F.col("target"), F.lit("."), "tgt_col"), F.col("rank"), F.col("source"), F.col("target"), F.col("pos") + 1),
             *_title(lineage, 5, "Column-level lineage"),
-            _lines(lineage, 6, F.concat(F.lit("    "), pair(_wide("src_col", 24)), F.lit("  (via "), "via", F.lit(")")), F.shiftleft(F.col("stmt_seq").cast("bigint"), 34) + F.col("insert_seq") * 4096 + F.col("pos")),
+            _lines(lineage, 6, F.concat(F.lit("    "), pair(_wide("src_col", 24)), F.lit("  (via "), "via", F.lit(")")), seq=F.array("stmt_seq", "insert_seq", "pos")),
             *_title(flows, 8, "Data flows in function bodies"),
             _lines(flows, 9, F.concat(F.lit("    "), _wide("source", 24), F.lit(" ==["), "edge_type", _braced(), F.lit("]==> "), "target", F.lit("  (in "), "via", F.lit(")")), F.col("via"), F.col("source"), F.col("target"), F.lit(0)),
             _lines(warned, 11, F.format_string("  WARNING: %s circular dependency cycle(s) detected!", "n")),
@@ -106,28 +106,31 @@ def to_text(a, most: int = 6) -> DataFrame:
     )
 
 
+#: What an edge says of its source.
+_VERBS = {"FK": "refers to", "READ": "reads", "WRITE": "writes", "INHERITS": "inherits from"}
+
+
 def to_report(a, most: int = 5) -> DataFrame:
-    """script_id, report: statistics first, then objects in order of definition with their first columns, relationships and cycles."""
-    objects, stats, cycles = a.objects, a.stats, a.cycles()
+    """script_id, report: counts, objects in order of definition with their first columns, what each depends on, and cycles by number."""
+    objects, cycles = a.objects, a.cycles()
     cols = a.columns.join(objects.select("script_id", "name", "obj_seq"), ["script_id", "name"]).withColumn("place", F.row_number().over(Window.partitionBy("script_id", "name").orderBy("ordinal")))
-    flags = F.concat_ws(", ", F.when(F.col("pk"), "PK"), F.concat(F.lit("FK→"), "fk_to"))
-    at = F.lpad(F.col("obj_seq").cast("string"), 20, "0")
+    notes = F.concat_ws(", ", F.when(F.col("pk"), "primary key"), F.concat(F.lit("refers to "), "fk_to"))
     more = cols.groupBy("script_id", "name", "obj_seq").agg(F.count("*").alias("n")).where(F.col("n") > most)
-    ruled = lambda text: F.lit(f"{text}\n" + "-" * 70)
-    rule = "=" * 70
+    within = lambda n: F.concat("obj_seq", F.array(n.cast("bigint")))
+    described = F.concat(F.lit("      "), F.concat_ws(" ", "column", F.nullif("data_type", F.lit(""))), F.when(notes != "", F.concat(F.lit("  ("), notes, F.lit(")"))).otherwise(""))
+    said = F.concat(F.lit("  "), "source", F.lit(" "), _of(_VERBS, "edge_type"), F.lit(" "), "target", _braced(), F.when((F.col("via") != "") & (F.col("via") != F.col("source")), F.concat(F.lit(", by "), "via")).otherwise(""))
+    counts = F.concat("script_id", F.format_string("\n  %s objects, %s edges, ", "total_objects", "total_edges"), F.when(F.col("has_cycles"), "with cycles").otherwise("without cycles"))
     return _joined(
         [
-            _lines(stats, 0, F.lit(f"{rule}\nSCHEMA LINEAGE REPORT\n{rule}\n")),
-            _lines(stats, 1, F.concat(ruled("STATISTICS"), F.format_string("\nTotal Objects:  %s\nTotal Edges:    %s\nHas Cycles:     %s\n", "total_objects", "total_edges", "has_cycles"))),
-            _lines(stats, 2, ruled("OBJECTS")),
-            _lines(objects, 3, F.concat(F.lit("  "), _wide("type", 20), F.lit(" "), "name"), at, F.lit(0)),
-            _lines(cols.where(F.col("place") <= most), 3, F.concat(F.lit("    - "), _wide("column", 20), F.lit(" "), "data_type", F.when(flags != "", F.concat(F.lit(" ["), flags, F.lit("]"))).otherwise("")), at, F.col("place")),
-            _lines(more, 3, F.format_string("    ... and %s more columns", F.col("n") - most), at, F.lit(most + 1)),
-            _lines(stats, 4, F.concat(F.lit("\n"), ruled("RELATIONSHIPS (EDGES)"))),
-            _lines(a.edges, 5, F.concat(F.lit("  "), _wide("source", 25), F.lit(" --["), _wide("edge_type", 8), F.lit("]--> "), _wide("target", 25), _braced(), F.when(F.col("via") != "", F.concat(F.lit(" via "), "via")).otherwise("")), F.col("edge_seq")),
-            _lines(cycles.select("script_id").distinct(), 6, F.concat(F.lit("\n"), ruled("CYCLES DETECTED (ISSUES)"))),
-            _lines(cycles, 7, F.concat(F.lit("  Cycle: "), F.array_join("path", " → ")), F.col("seq")),
-            _lines(stats, 8, F.lit(f"\n{rule}")),
+            _lines(a.stats, 0, counts),
+            _lines(objects.select("script_id").distinct(), 1, F.lit("\nObjects")),
+            _lines(objects, 2, F.concat(F.lit("  "), "name", F.lit(" : "), F.lower(F.replace("type", F.lit("_"), F.lit(" ")))), seq=within(F.lit(0))),
+            _lines(cols.where(F.col("place") <= most), 2, described, seq=within(F.col("place"))),
+            _lines(more, 2, F.format_string("      and %s more", F.col("n") - most), seq=within(F.lit(most + 1))),
+            _lines(a.edges.select("script_id").distinct(), 3, F.lit("\nDependencies")),
+            _lines(a.edges, 4, said, seq=F.col("edge_seq")),
+            _lines(cycles.select("script_id").distinct(), 5, F.lit("\nCycles")),
+            _lines(cycles.withColumn("k", F.row_number().over(Window.partitionBy("script_id").orderBy("seq"))), 6, F.concat(F.format_string("  %s. ", "k"), F.array_join("path", " > ")), F.col("k")),
         ],
         "report",
     )
@@ -167,9 +170,9 @@ def to_dot(a, most: int = 8) -> DataFrame:
             _lines(owners, 2, F.concat(F.lit("  subgraph "), quote(F.concat(F.lit("cluster_"), "owner")), F.lit(" {\n    label="), quote(F.concat(F.lit("ƒ "), "owner")), F.lit("; style=dashed;")), F.col("owner"), F.lit(0)),
             _lines(nodes.where(inside), 2, F.concat(F.lit("    "), box), F.col("owner"), F.when(F.col("name") == F.col("owner"), "").otherwise(F.col("name")), F.lit(1)),
             _lines(owners, 2, F.lit("  }"), F.col("owner"), F.lit("\U0010ffff"), F.lit(2)),
-            _lines(edges, 3, link(F.concat("edge_type", _braced(), F.coalesce(F.concat(F.lit("\\n"), "maps"), F.lit(""))), F.concat(F.lit("color="), _of(_COLOUR, "edge_type"))), F.col("edge_seq")),
-            _lines(a.flows, 4, link(F.concat(F.lit("flow"), F.when(F.col("details") != "", F.concat(F.lit(" "), "details")).otherwise("")), F.lit("color=orange style=bold")), F.col("flow_seq")),
-            _lines(steps, 5, link(F.lit("CYCLE!"), F.lit("color=red penwidth=2.5")), F.col("seq") * 4096 + F.col("k")),
+            _lines(edges, 3, link(F.concat("edge_type", _braced(), F.coalesce(F.concat(F.lit("\\n"), "maps"), F.lit(""))), F.concat(F.lit("color="), _of(_COLOUR, "edge_type"))), seq=F.col("edge_seq")),
+            _lines(a.flows, 4, link(F.concat(F.lit("flow"), F.when(F.col("details") != "", F.concat(F.lit(" "), "details")).otherwise("")), F.lit("color=orange style=bold")), seq=F.col("flow_seq")),
+            _lines(steps, 5, link(F.lit("CYCLE!"), F.lit("color=red penwidth=2.5")), seq=F.array("seq", "k")),
             _lines(ids, 6, F.lit("}")),
         ],
         "dot",
@@ -211,7 +214,7 @@ def to_mermaid(a) -> DataFrame:
             _lines(nodes.where(inside), 2, F.concat(F.lit("    "), box), F.col("owner"), F.when(F.col("name") == F.col("owner"), "").otherwise(F.col("name")), F.lit(1)),
             _lines(owners, 2, F.lit("  end"), F.col("owner"), F.lit("\U0010ffff"), F.lit(2)),
             mermaid_links(a.edges).select("script_id", F.struct(F.lit(3).alias("s"), *[F.lit("").alias(f"t{i}") for i in range(3)], F.col("edge_seq").alias("n")).alias("key"), "line"),
-            _lines(a.flows, 4, _mermaid_link("==>", F.when(F.col("details") != "", F.col("details")).otherwise(F.lower("edge_type"))), F.col("flow_seq")),
+            _lines(a.flows, 4, _mermaid_link("==>", F.when(F.col("details") != "", F.col("details")).otherwise(F.lower("edge_type"))), seq=F.col("flow_seq")),
             _lines(warned, 5, F.lit("  %% WARNING: circular dependencies detected:")),
             _lines(cycles, 6, F.concat(F.lit("  %% "), F.array_join("path", " -> ")), F.col("seq")),
             _lines(marked, 7, F.concat(F.lit("  classDef cycle stroke:#d33,stroke-width:3px\n  class "), "names", F.lit(" cycle"))),

@@ -43,7 +43,7 @@ def _rank(label: Column) -> Column:
 def write_edges(full: DataFrame) -> DataFrame:
     """An edge for each table and kind of write, by kind and then by place."""
     rows = _first(full, F.transform("parts", lambda p: p["writes"]))
-    return rows.select(*edge(F.col("name"), F.col("v.t"), "WRITE", F.col("name"), F.col("v.label"), 1, _rank(F.col("v.label")) * 100_000 + F.col("pos")))
+    return rows.select(*edge(F.col("name"), F.col("v.t"), "WRITE", F.col("name"), F.col("v.label"), 1, (_rank(F.col("v.label")), F.col("pos"))))
 
 
 def body_parts(full: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def flows(parts: DataFrame) -> DataFrame:
     first = F.filter("writes", lambda w, i: F.array_position(F.transform("writes", lambda x: x["t"]), w["t"]) == i + 1)
     targets = F.when(writing, first).otherwise(F.array(F.struct(F.lit("").alias("label"), F.col("name").alias("t"))))
     sources = F.when((F.size("sources") > 0) | ~writing, F.col("sources")).otherwise(own)
-    seq = F.shiftleft(F.col("stmt_seq").cast("bigint"), 36) + F.shiftleft(F.col("part_seq").cast("bigint"), 16) + 256 * F.least(F.col("target_pos"), F.lit(255)) + F.least(F.col("source_pos"), F.lit(255))
+    seq = F.array(*[F.col(c).cast("bigint") for c in ("stmt_seq", "part_seq", "target_pos", "source_pos")])
     rows = parts.select("script_id", "stmt_seq", "part_seq", "name", writing.alias("writing"), sources.alias("s"), F.posexplode(targets).alias("target_pos", "w"))
     rows = rows.select("*", F.posexplode("s").alias("source_pos", "source")).where("source <> w.t")
     return rows.select("script_id", seq.alias("flow_seq"), "source", F.col("w.t").alias("target"), F.when(F.col("writing"), "WRITE").otherwise("READ").alias("edge_type"), F.col("name").alias("via"), F.col("w.label").alias("details"))

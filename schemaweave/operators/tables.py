@@ -54,11 +54,12 @@ def definitions(statements: DataFrame) -> DataFrame:
     return wide.select(*statements.columns, F.col("list").isNotNull().alias("listed"), own.alias("columns"), F.coalesce("list.parents", F.array()).alias("parents"))
 
 
+#: pos: where an edge stands in its statement and phase, an array that sorts.
 EDGE = ("script_id", "stmt_seq", "phase", "pos", "source", "target", "edge_type", "via", "details")
 
 
-def edge(source: Column, target: Column, kind: str, via: Column, details: Column, phase: int, pos: Column) -> list[Column]:
-    return [F.col("script_id"), F.col("stmt_seq"), F.lit(phase).alias("phase"), pos.cast("bigint").alias("pos"), source.alias("source"), target.alias("target"), F.lit(kind).alias("edge_type"), via.alias("via"), details.alias("details")]
+def edge(source: Column, target: Column, kind: str, via: Column, details: Column, phase: int, pos: Column | tuple[Column, ...]) -> list[Column]:
+    return [F.col("script_id"), F.col("stmt_seq"), F.lit(phase).alias("phase"), F.transform(F.array(*pos) if isinstance(pos, tuple) else F.array(pos), lambda p: p.cast("bigint")).alias("pos"), source.alias("source"), target.alias("target"), F.lit(kind).alias("edge_type"), via.alias("via"), details.alias("details")]
 
 
 def foreign_edges(tables: DataFrame) -> DataFrame:

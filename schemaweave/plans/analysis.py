@@ -10,12 +10,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from schemaweave.functions import text
 from schemaweave.functions.storage import stored
-from schemaweave.operators import derive, finalize, graph, routines, statements, tables
+from schemaweave.operators import derive, finalize, graph, routines, splitting, statements, tables
 
 
 @dataclass(frozen=True)
@@ -66,20 +66,20 @@ class Analysis:
         made = known.where("kind = 'TABLE' and not listed").select("script_id", "stmt_seq", "part_seq", "name", F.col("stmt").alias("body"))
         of = F.lower(text.first(F.col("stmt"), rf"\bRETURNS\s+SETOF\s+(?:[`\"\[]?\w+[`\"\]]?\.)*{text.NAME}"))
         sets = known.where("kind <> 'TABLE' and size(columns) = 0").select("script_id", "stmt_seq", "name", of.alias("of")).where("of is not null")
-        given = lists.where("part_seq < 0").select("script_id", "stmt_seq", "name", F.transform("columns", lambda c: F.struct(c["column"].alias("column"), c["data_type"].alias("data_type"))).alias("columns"))
+        given = lists.where("part_seq < 0").select("script_id", "stmt_seq", "name", F.transform("columns", derive.as_given).alias("columns"))
         return stored(derive.derived_columns(derive.queries(views.unionByName(made)).unionByName(derive.copies(sets)), given))
 
     @cached_property
     def derived_columns(self) -> DataFrame:
-        """script_id, stmt_seq, name, ordinal, column, data_type."""
-        return self._derived.select("script_id", "stmt_seq", "name", F.posexplode("columns").alias("pos", "c")).select("script_id", "stmt_seq", "name", (F.col("pos") + 1).alias("ordinal"), "c.column", "c.data_type")
+        """script_id, stmt_seq, name, ordinal and COLUMN; what a view or query gives has no flags, what a routine returns has its table's."""
+        return self._derived.select("script_id", "stmt_seq", "name", F.posexplode("columns").alias("pos", "c")).select("script_id", "stmt_seq", "name", (F.col("pos") + 1).alias("ordinal"), "c.*")
 
     @cached_property
     def columns(self) -> DataFrame:
         """Columns of the final definition of every object: script_id, name, ordinal, column, data_type, nullable, pk, unique, fk_to, default."""
         names = ["script_id", "stmt_seq", "name"]
         given = tables.with_alterations(self._definitions.where("listed").select(*names, "columns"), self._altered).select(*names, F.inline("columns"))
-        derived = self.derived_columns.select(*names, "ordinal", "column", "data_type", F.lit(True).alias("nullable"), F.lit(False).alias("pk"), F.lit(False).alias("unique"), F.lit(None).cast("string").alias("fk_to"), F.lit(None).cast("string").alias("default"))
+        derived = self.derived_columns.select(*names, "ordinal", *tables.COLUMN)
         defined = self.statements.where("kind <> 'ALTER'").select(*names).unionByName(self._made.select(*names))
         last = defined.groupBy("script_id", "name").agg(F.max("stmt_seq").alias("stmt_seq"))
         return stored(given.unionByName(derived).join(last, names, "left_semi").drop("stmt_seq"))
@@ -101,13 +101,13 @@ class Analysis:
     def objects(self) -> DataFrame:
         """script_id, obj_seq, name, type, schema, temporary, parent."""
         schema = F.when(F.col("kind").isin("FUNCTION", "PROCEDURE"), "").otherwise(F.col("schema"))
-        top = tables.latest(self.statements.where("kind <> 'ALTER'").drop("stmt")).select("script_id", F.col("obj_seq").cast("bigint").alias("obj_seq"), "name", F.col("kind").alias("type"), schema.alias("schema"), "temporary", F.lit(None).cast("string").alias("parent"))
-        made = self._made.select("script_id", (F.col("stmt_seq") * 100_000 + F.col("part_seq") + F.lit(1 << 36)).alias("obj_seq"), "name", F.lit("TABLE").alias("type"), "schema", "temporary", "parent")
+        top = tables.latest(self.statements.where("kind <> 'ALTER'").drop("stmt")).select("script_id", F.array(F.lit(0).cast("bigint"), F.col("obj_seq").cast("bigint")).alias("obj_seq"), "name", F.col("kind").alias("type"), schema.alias("schema"), "temporary", F.lit(None).cast("string").alias("parent"))
+        made = self._made.select("script_id", F.array(*[F.lit(1).cast("bigint"), F.col("stmt_seq").cast("bigint"), F.col("part_seq").cast("bigint")]).alias("obj_seq"), "name", F.lit("TABLE").alias("type"), "schema", "temporary", "parent")
         return stored(finalize.registered(top.unionByName(made), self.edges))
 
     @cached_property
     def cyclic(self) -> DataFrame:
-        return stored(graph.cyclic_nodes(self.edges))
+        return stored(graph.cyclic_nodes(self.edges, self._levels))
 
     @cached_property
     def stats(self) -> DataFrame:
@@ -122,9 +122,13 @@ class Analysis:
     def cycles(self) -> DataFrame:
         return self._cycles
 
+    @cached_property
+    def _levels(self) -> DataFrame:
+        return stored(graph.levels(self.objects, self.edges))
+
     @cached_property
     def _order(self) -> DataFrame:
-        return stored(graph.topological_order(self.objects, self.edges))
+        return stored(graph.topological_order(self.objects, self.edges, self._levels))
 
     @cached_property
     def _cycles(self) -> DataFrame:
@@ -133,26 +137,30 @@ class Analysis:
 
 @dataclass(frozen=True)
 class Project(Analysis):
-    """Objects and edges of all scripts as those of one, named by name; each script is still parsed by itself."""
+    """All scripts as one, called `name`: their statements in order of script_id, so a script sees what those before it define.
+
+    Each script is cut by itself. Statements get numbers that go on from script to script; from there on a
+    project is analysed like one script, so columns, flows, mappings and edges cross scripts.
+    """
 
     name: str
 
     @cached_property
-    def _own(self) -> Analysis:
-        return Analysis(self.scripts)
+    def statements(self) -> DataFrame:
+        ids = self.scripts.select("script_id").distinct()
+        numbers = stored(graph.ranked(ids.withColumn("all", F.lit(1)), ["all"], ["script_id"], "number", ids.count()).drop("all"))
+        own = statements.statements(self.scripts).join(numbers, ["script_id"])
+        placed = F.shiftleft(F.col("number"), 31) + F.col("stmt_seq")  # a script has fewer statements than characters
+        return stored(own.withColumn("stmt_seq", placed).withColumn("script_id", F.lit(self.name)).drop("number"), by="kind")
 
-    def _first(self, df: DataFrame, keys: list[str], seq: str) -> DataFrame:
-        ranked = df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("script_id", seq)))
-        return ranked.where("__n = 1").drop("__n").withColumn("script_id", F.lit(self.name))
 
-    @cached_property
-    def objects(self) -> DataFrame:
-        defined = self._own.objects.where(F.col("obj_seq") < F.lit(1 << 40))
-        return stored(finalize.registered(self._first(defined, ["name", "type"], "obj_seq"), self.edges))
+@dataclass(frozen=True)
+class Dump(Analysis):
+    """Scripts too large for one task: `scripts` are blocks from splitting.read_blocks() or line_blocks()."""
 
     @cached_property
-    def edges(self) -> DataFrame:
-        return stored(self._first(self._own.edges, ["source", "target", "edge_type", "details"], "edge_seq"))
+    def statements(self) -> DataFrame:
+        return stored(splitting.statements(self.scripts), by="kind")
 
 
 def analyze(scripts: DataFrame) -> Analysis:

@@ -6,11 +6,20 @@ from the rows, without any text. Corpora are DataFrames, so they grow with the t
 
 from __future__ import annotations
 
+import sqlite3
+import uuid
+from contextlib import closing
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaweave.operators import compare, graph, history, render, statements
-from schemaweave.plans.analysis import Analysis, Project, analyze
+from schemaweave.functions import storage
+from schemaweave.operators import compare, graph, history, render, splitting, statements
+from schemaweave.plans.analysis import Analysis, Dump, Project, analyze
+from schemaweave.sources.catalog import connector
+from schemaweave.sources.live import DbApi
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,8 +76,8 @@ def columns_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _order_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_partkey")).alias("parts"))
-    orders = _read(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    joins = F.array_join(F.transform("parts", lambda p: F.format_string("JOIN part_%1$s ON TRUE", p)), " ")
+    orders = _read(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    joins = F.coalesce(F.array_join(F.transform("parts", lambda p: F.format_string("JOIN part_%1$s ON TRUE", p)), " "), F.lit(""))
     return orders.withColumn("joins", joins)
 
 
@@ -204,6 +213,57 @@ def layer_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.layer_levels(a.objects, a.edges.select("script_id", "edge_seq", F.col("target").alias("from"), F.col("source").alias("to"))).select("name", "level")
 
 
+def _spread(spark: SparkSession, sf_dir: str) -> Project:
+    """Tables, views on them, and routines that return their rows or copy them, each kind in scripts of its own."""
+    rows = _read(spark, sf_dir, "customer")
+    forms = {
+        "a": "CREATE TABLE c_%1$s (id BIGINT PRIMARY KEY, n INT NOT NULL REFERENCES n_%2$s (id), note TEXT UNIQUE);",
+        "b": "CREATE VIEW v_%1$s AS SELECT c.*, n AS nation, count(*) AS k FROM c_%1$s c;",
+        "c": "CREATE FUNCTION f_%1$s() RETURNS SETOF c_%1$s AS $$ INSERT INTO v_%1$s (id, k) SELECT id, n FROM c_%1$s $$; CREATE VIEW w_%1$s AS SELECT nation, f.note FROM v_%1$s JOIN f_%1$s f ON TRUE;",
+    }
+    made = [rows.select(F.concat(F.lit(k), F.expr("c_custkey div 50").cast("string")).alias("s"), _say(form, "c_custkey", "c_nationkey").alias("d")) for k, form in forms.items()]
+    return Project(_scripts(reduce(DataFrame.unionByName, made), F.col("s"), F.col("d")), "spread")
+
+
+def project_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spread(spark, sf_dir).columns.select("script_id", "name", F.col("ordinal").cast("bigint").alias("ordinal"), "column", "data_type", "nullable", "pk", "unique", "fk_to")
+
+
+def project_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _spread(spark, sf_dir)
+    flows = a.flows.select("script_id", "source", F.lit("").alias("src_col"), "target", F.lit("").alias("tgt_col"), "via")
+    return flows.unionByName(a.column_lineage.select("script_id", F.col("src_table").alias("source"), "src_col", F.col("tgt_table").alias("target"), "tgt_col", "via"))
+
+
+def dump_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One script of all orders, cut in blocks wherever a block is full."""
+    rows = _read(spark, sf_dir, "orders")
+    forms = (
+        "CREATE TABLE o_%1$s ( -- it's; one", "  id INT REFERENCES c_%2$s, note TEXT DEFAULT 'a;", "b('' );');",
+        "CREATE FUNCTION f_%1$s() RETURNS void AS $$ BEGIN", "  INSERT INTO o_%1$s (id) SELECT id FROM c_%2$s; /* not;", "  yet */ END $$;",
+    )
+    lines = rows.select(F.lit("dump").alias("script_id"), F.col("o_orderkey").cast("bigint").alias("k"), F.posexplode(F.array(*[_say(f, "o_orderkey", "o_custkey") for f in forms])).alias("i", "line"))
+    blocks = splitting.line_blocks(lines.select("script_id", (F.col("k") * len(forms) + F.col("i")).alias("at"), "line"), size=1 << 17)
+    return Dump(blocks).edges.select("script_id", "source", "target", "edge_type", "details")
+
+
+def live_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers' definitions, made in databases of 1000 customers each, read from their catalogs and analysed."""
+    folder = storage.mounted_dir(spark)
+    rows = _read(spark, sf_dir, "customer").select(F.expr("concat('shop', c_custkey div 1000)").alias("database"), _say("CREATE TABLE c_%1$s (id INTEGER PRIMARY KEY, nation_id INT NOT NULL REFERENCES nation_%2$s (id)); CREATE VIEW w_%1$s AS SELECT id FROM c_%1$s;", "c_custkey", "c_nationkey").alias("ddl"))
+
+    def make(table: pa.Table) -> pa.Table:
+        """One database, as a file that no other attempt of the task touches."""
+        path = f"{folder}/catalog-{uuid.uuid4().hex}.db"
+        with closing(sqlite3.connect(path)) as db:
+            db.executescript("".join(table.column("ddl").to_pylist()))
+        return pa.table({"database": table.column("database")[:1], "path": [path]})
+
+    made = storage.stored(rows.groupBy("database").applyInArrow(make, "database string, path string"))
+    source = DbApi("sqlite3", {r["database"]: {"database": r["path"]} for r in made.collect()})  # a row per database
+    return analyze(connector("sqlite").scripts(spark, source, "main")).edges.select("script_id", "source", "target", "edge_type", "details")
+
+
 def _versions(spark: SparkSession, sf_dir: str) -> list[Analysis]:
     """Two versions of the suppliers' tables; each refers elsewhere for some of them, and the new one renames some."""
     rows = _read(spark, sf_dir, "supplier")
@@ -243,7 +303,7 @@ def history_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     fk_edges_inline, fk_edges_alter, fk_composite, columns_parsed, columns_altered, view_reads, reads_comma_cte, routine_edges, routine_flows, column_mapping, routine_objects, lineage_view, function_groups, statement_counts,
-    derived_types, impact_downstream, impact_upstream, impact_fk_only, topo_levels, topo_order, layer_levels, object_stats, cyclic_nodes, cycles_listed, version_diff, object_diff, diff_counts, merged_results, render_mermaid_edges, history_dedupe,
+    derived_types, impact_downstream, impact_upstream, impact_fk_only, topo_levels, topo_order, layer_levels, object_stats, cyclic_nodes, cycles_listed, version_diff, object_diff, diff_counts, merged_results, render_mermaid_edges, history_dedupe, project_columns, project_flows, live_catalog, dump_edges,
 )
 
 _SHOP_LINKS = """
@@ -276,8 +336,8 @@ ORACLE_SQL = {
   CASE o WHEN 0 THEN 'SERIAL' WHEN 1 THEN 'VARCHAR(10)' WHEN 2 THEN 'NUMERIC(10,2)' WHEN 3 THEN 'INTEGER' ELSE 'INT' END AS data_type,
   o >= 2 AS nullable, o < 2 AS pk, o = 2 AS "unique", CASE WHEN o = 4 THEN 'owners.id' END AS fk_to, CASE WHEN o = 1 THEN p_brand END AS "default"
 FROM part, range(5) AS r(o)""",
-    "view_reads": """SELECT CAST(o_orderkey // 50 AS VARCHAR) AS script_id, 'v_' || o_orderkey AS source, 'customer_' || o_custkey AS target, 'READ' AS edge_type FROM orders SEMI JOIN lineitem ON l_orderkey = o_orderkey
-UNION SELECT CAST(o_orderkey // 50 AS VARCHAR), 'v_' || o_orderkey, 'nowhere', 'READ' FROM orders SEMI JOIN lineitem ON l_orderkey = o_orderkey -- literals are read like the rest
+    "view_reads": """SELECT CAST(o_orderkey // 50 AS VARCHAR) AS script_id, 'v_' || o_orderkey AS source, 'customer_' || o_custkey AS target, 'READ' AS edge_type FROM orders
+UNION SELECT CAST(o_orderkey // 50 AS VARCHAR), 'v_' || o_orderkey, 'nowhere', 'READ' FROM orders -- literals are read like the rest
 UNION SELECT CAST(o_orderkey // 50 AS VARCHAR), 'v_' || o_orderkey, 'part_' || l_partkey, 'READ' FROM orders JOIN lineitem ON l_orderkey = o_orderkey""",
     "reads_comma_cte": """SELECT CAST(o_orderkey // 50 AS VARCHAR) AS script_id, 'v_' || o_orderkey AS source, unnest(['orders_' || o_orderkey, 'cust_' || o_custkey, 'b_' || o_orderkey, 'd_' || o_orderkey]) AS target FROM orders""",
     "routine_edges": f"""WITH e AS ({_EVENT})
@@ -338,6 +398,16 @@ SELECT target, node FROM reach WHERE node <> target""",
     "cyclic_nodes": "SELECT CAST(p_partkey // 50 AS VARCHAR) AS script_id, 'p_' || p_partkey AS node FROM part WHERE p_partkey % 10 BETWEEN 5 AND 8",
     "cycles_listed": """SELECT CAST(p // 50 AS VARCHAR) AS script_id, array_to_string(list_concat(list_slice(x, k, 4), list_slice(x, 1, k - 1), [x[k]]), ' ') AS path FROM (
   SELECT p, x, list_position(x, list_min(x)) AS k FROM (SELECT p_partkey AS p, ['p_' || p_partkey, 'p_' || (p_partkey + 1), 'p_' || (p_partkey + 2), 'p_' || (p_partkey + 3)] AS x FROM part WHERE p_partkey % 10 = 5))""",
+    "project_columns": """SELECT 'spread' AS script_id, v || c_custkey AS name, CAST(o AS BIGINT) AS ordinal, c AS "column", t AS data_type, nul AS nullable, pk, uq AS "unique", CASE WHEN fk THEN 'n_' || c_nationkey || '.id' END AS fk_to FROM customer, (VALUES
+  ('c_', 0, 'id', 'BIGINT', FALSE, TRUE, FALSE, FALSE), ('c_', 1, 'n', 'INT', FALSE, FALSE, FALSE, TRUE), ('c_', 2, 'note', 'TEXT', TRUE, FALSE, TRUE, FALSE),
+  ('v_', 1, 'id', 'BIGINT', TRUE, FALSE, FALSE, FALSE), ('v_', 2, 'n', 'INT', TRUE, FALSE, FALSE, FALSE), ('v_', 3, 'note', 'TEXT', TRUE, FALSE, FALSE, FALSE), ('v_', 4, 'nation', 'INT', TRUE, FALSE, FALSE, FALSE), ('v_', 5, 'k', '', TRUE, FALSE, FALSE, FALSE),
+  ('f_', 1, 'id', 'BIGINT', FALSE, TRUE, FALSE, FALSE), ('f_', 2, 'n', 'INT', FALSE, FALSE, FALSE, TRUE), ('f_', 3, 'note', 'TEXT', TRUE, FALSE, TRUE, FALSE),
+  ('w_', 1, 'nation', 'INT', TRUE, FALSE, FALSE, FALSE), ('w_', 2, 'note', 'TEXT', TRUE, FALSE, FALSE, FALSE)) AS x(v, o, c, t, nul, pk, uq, fk)""",
+    "project_flows": """SELECT 'spread' AS script_id, 'c_' || c_custkey AS source, s AS src_col, 'v_' || c_custkey AS target, t AS tgt_col, 'f_' || c_custkey AS via FROM customer, (VALUES ('', ''), ('id', 'id'), ('n', 'k')) AS x(s, t)""",
+    "dump_edges": """SELECT 'dump' AS script_id, 'o_' || o_orderkey AS source, 'c_' || o_custkey AS target, 'FK' AS edge_type, 'id -> c_' || o_custkey || '.id' AS details FROM orders
+UNION ALL SELECT 'dump', 'f_' || o_orderkey, 'o_' || o_orderkey, 'WRITE', 'INSERT' FROM orders UNION ALL SELECT 'dump', 'f_' || o_orderkey, 'c_' || o_custkey, 'READ', '' FROM orders""",
+    "live_catalog": """SELECT 'shop' || (c_custkey // 1000) AS script_id, 'c_' || c_custkey AS source, 'nation_' || c_nationkey AS target, 'FK' AS edge_type, 'nation_id -> nation_' || c_nationkey || '.id' AS details FROM customer
+UNION ALL SELECT 'shop' || (c_custkey // 1000), 'w_' || c_custkey, 'c_' || c_custkey, 'READ', '' FROM customer""",
     "version_diff": _EDGE_DIFF + " SELECT script_id, key, status FROM d",
     "diff_counts": _EDGE_DIFF + " SELECT script_id, count(*) FILTER (WHERE status = 'added') AS added, count(*) FILTER (WHERE status = 'removed') AS removed, count(*) FILTER (WHERE status = 'unchanged') AS unchanged FROM d GROUP BY script_id",
     "object_diff": _VERSIONS + """, a AS (SELECT DISTINCT script_id, unnest(['TABLE::::' || old_name, 'TABLE::::' || old_to]) AS key, unnest([2, 0]) AS n FROM v), b AS (SELECT DISTINCT script_id, unnest(['TABLE::::' || new_name, 'TABLE::::' || new_to]) AS key, unnest([2, 0]) AS n FROM v)

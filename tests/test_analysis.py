@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from schemaweave import cli
 from schemaweave.operators import compare, graph, history, render
-from schemaweave.plans.analysis import analyze
+from schemaweave.plans.analysis import Project, analyze
 from schemaweave.sources import catalog
 from schemaweave.sources.scripts import from_text, read_scripts, write_json, write_text
 from schemaweave.streaming.scripts import stream_scripts, write_edges
@@ -56,7 +56,7 @@ def test_renderings_have_all_facts(spark):
     for part in ("  TABLEs  (4)", "    * members\n        id                       SERIAL               PK NOT NULL\n", "member_id                INTEGER              FK NOT NULL  -> members.id", "Lineage edges  (8)", "    fines                    --[FK (loan_id -> loans.id)]--> loans",
                  "    close_loan               --[WRITE (INSERT)]--> fines\n        loan_books.loan_id  ->  fines.loan_id", "Column-level lineage  (3)", "Data flows in function bodies  (2)", "members -> loans -> fines -> loan_books -> open_loans -> close_loan", "  Summary: 6 objects, 8 edges"):
         assert part in text, part
-    assert "WARNING" not in text and "Total Edges:    8" in render.to_report(a).first().report
+    assert "WARNING" not in text and "objects, 8 edges, without cycles" in render.to_report(a).first().report
     found = json.loads(render.to_json(a).first().json)
     assert list(found) == ["objects", "edges", "col_lineage", "flows", "cycles", "topo_order", "stats"] and found["stats"] == {"total_objects": 6, "total_edges": 8, "has_cycles": False}
     assert found["objects"][1]["columns"][1] == {"name": "member_id", "type": "INTEGER", "nullable": False, "pk": False, "fk_to": "members.id", "unique": False, "default": ""}
@@ -74,7 +74,7 @@ def test_renderings_have_all_facts(spark):
     mermaid, dot, text = render.to_mermaid(ring).first().mermaid, render.to_dot(ring).first().dot, render.to_text(ring).first().report
     assert "  n_end[" in mermaid and '  n_graph -->|"reads"| n_end' in mermaid and "  %% a -> b -> a" in mermaid and mermaid.endswith("  class a,b cycle")
     assert dot.count("CYCLE!") == 2 and "color=red" in dot and "WARNING: 1 circular" in text and "    a -> b -> a" in text and "[CYCLES DETECTED]" in text
-    assert "Cycle: a → b → a" in render.to_report(ring).first().report and json.loads(render.to_json(ring).first().json)["cycles"] == [["a", "b", "a"]]
+    assert "1. a > b > a" in render.to_report(ring).first().report and json.loads(render.to_json(ring).first().json)["cycles"] == [["a", "b", "a"]]
 
 
 def test_view_labels_and_hidden_routines(spark):
@@ -174,6 +174,29 @@ def test_columns_of_routines_and_their_tables(spark):
     assert {(r.name, r.temporary, r.parent) for r in a.objects.where("parent is not null").collect()} == {("s", True, "stage"), ("log", False, "stage")}
 
 
+def test_order_of_emission_has_no_bound(spark):
+    n = 700
+    froms, inserts = ", ".join(f"s{i:04}" for i in range(n)), " ".join(f"INSERT INTO t{i:04} VALUES (1);" for i in range(n))
+    a = analyze(from_text(spark, f"CREATE FUNCTION f() RETURNS void AS $$ INSERT INTO t SELECT 1 FROM {froms}; {inserts} $$; CREATE VIEW v AS SELECT 1 FROM {froms};"))
+    flows = [(r.source, r.target) for r in a.flows.orderBy("flow_seq").collect()]
+    assert flows == [(f"s{i:04}", "t") for i in range(n)] + [("f", f"t{i:04}") for i in range(n)]
+    assert len({str(r.flow_seq) for r in a.flows.collect()}) == 2 * n
+    reads = [r.target for r in a.edges.where("edge_type = 'READ' and source = 'v'").orderBy("edge_seq").collect()]
+    assert reads == [f"s{i:04}" for i in range(n)]
+    objects = [r.name for r in a.objects.orderBy("obj_seq").collect()]
+    assert objects[:2] == ["f", "v"] and sorted(objects[2:]) == sorted([*{x for f in flows for x in f} - {"f"}])
+
+
+def test_projects_cross_scripts(spark):
+    scripts = spark.createDataFrame([("1", "CREATE TABLE t (id INT PRIMARY KEY, o INT NOT NULL REFERENCES o (id));"), ("2", "CREATE VIEW v AS SELECT id AS x, o FROM t; CREATE FUNCTION f() RETURNS SETOF t AS $$ SELECT 1 $$;"), ("3", "CREATE VIEW w AS SELECT v.x FROM v; ALTER TABLE t ADD FOREIGN KEY (o) REFERENCES p (code);"), ("4", "CREATE TABLE v (y INT);")], "script_id string, ddl string")
+    p = Project(scripts, "all")
+    got = {(c.name, c.column): c for c in p.columns.collect()}
+    assert {c.script_id for c in got.values()} == {"all"} and set(got) == {("t", "id"), ("t", "o"), ("f", "id"), ("f", "o"), ("w", "x"), ("v", "y")}
+    assert got["w", "x"].data_type == "INT" and got["t", "o"].fk_to == "p.code" and got["f", "id"].pk and not got["f", "o"].nullable and got["f", "o"].fk_to == "o.id"
+    assert [(o.name, o.type) for o in p.objects.orderBy("obj_seq").collect()][:3] == [("t", "TABLE"), ("v", "TABLE"), ("f", "FUNCTION")]
+    assert "x INT" in render.to_report(p).first().report
+
+
 def test_empty_and_null_scripts(spark):
     a = analyze(spark.createDataFrame([("a", None), ("b", ""), ("c", "SELECT 1")], "script_id string, ddl string"))
     assert a.edges.count() == a.objects.count() == a.flows.count() == a.columns.count() == 0
