@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from schemaweave.sources.scripts import from_text, read_scripts
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="schemaweave")
-    p.add_argument("path", help="a file or folder of scripts, or - for standard input")
+    p.add_argument("path", nargs="?", default="-", help="a file or folder of scripts; - or nothing for standard input")
     p.add_argument("-f", "--format", choices=("text", "dot", "mermaid", "json"), default="text")
     p.add_argument("-o", "--output", help="folder for the result instead of the screen")
     p.add_argument("--impact", help="show what this object depends on and what depends on it")
@@ -23,7 +24,13 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--cycles", action="store_true", help="show cycles")
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
-    result = analyze(from_text(spark, sys.stdin.read()) if a.path == "-" else read_scripts(spark, a.path, glob="*"))
+    try:
+        result = analyze(from_text(spark, sys.stdin.read()) if a.path == "-" else read_scripts(spark, a.path, glob="*"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        print(f"{a.path}: no such file", file=sys.stderr)
+        return 1
     code, column = 0, None
     if a.impact:
         out = graph.impact_summary(result.impact(result.scripts.select("script_id", F.lit(a.impact).alias("target"))))
@@ -40,6 +47,8 @@ def main(argv: list[str] | None = None) -> int:
     else:
         for row in out.toLocalIterator():
             print(row[column] if column else " ".join(map(str, row)))
+        if a.cycles and not code:
+            print("No circular dependencies detected.")
     return code
 
 

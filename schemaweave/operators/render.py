@@ -2,8 +2,9 @@
 
 Each renderer takes an analysis (objects, columns, edges, flows, column_lineage, cyclic, stats,
 cycles(), topological_order()) and is a union of sections of lines, which are sorted and joined
-by script. A script's rendering is one text, so it has to fit in one row. Names that are null or
-missing give no lines.
+by script. A script's rendering is one text, so it has to fit in one row; with `lines` a renderer gives script_id,
+key and line instead, for sources.scripts.write_lines(), and no row holds more than a line. Names that are
+null or missing give no lines.
 """
 
 from __future__ import annotations
@@ -32,9 +33,9 @@ def _lines(rows: DataFrame, section: int, line: Column, *order: Column, seq: Col
     return rows.select("script_id", F.struct(F.lit(section).alias("s"), *[t.alias(f"t{i}") for i, t in enumerate(texts)], number.alias("n")).alias("key"), line.alias("line")).where("line is not null")
 
 
-def _joined(sections: list[DataFrame], name: str) -> DataFrame:
+def _joined(sections: list[DataFrame], name: str, lines: bool) -> DataFrame:
     every = reduce(DataFrame.unionByName, sections)
-    return every.groupBy("script_id").agg(F.sort_array(F.collect_list(F.struct("key", "line"))).alias("l")).select("script_id", F.array_join(F.col("l.line"), "\n").alias(name))
+    return every if lines else every.groupBy("script_id").agg(F.sort_array(F.collect_list(F.struct("key", "line"))).alias("l")).select("script_id", F.array_join(F.col("l.line"), "\n").alias(name))
 
 
 def _title(rows: DataFrame, section: int, title: str) -> list[DataFrame]:
@@ -62,7 +63,7 @@ def _mapped(a) -> DataFrame:
     return rows.where(F.struct("stmt_seq", "insert_seq") == F.col("__first")).select("script_id", F.col("via").alias("source"), F.col("tgt_table").alias("target"), "pos", "src_table", "src_col", "tgt_col")
 
 
-def to_text(a, most: int = 6) -> DataFrame:
+def to_text(a, most: int = 6, lines: bool = False) -> DataFrame:
     """script_id, report: objects by type with their first columns, edges, mappings, flows, cycles, order, summary."""
     objects, edges, stats = a.objects, a.edges, a.stats
     rule = "=" * 58
@@ -103,6 +104,7 @@ def to_text(a, most: int = 6) -> DataFrame:
             _lines(stats, 15, F.concat(F.format_string("  Summary: %s objects, %s edges", "total_objects", "total_edges"), F.when(F.col("has_cycles"), "  [CYCLES DETECTED]").otherwise(""), F.lit("\n"))),
         ],
         "report",
+        lines,
     )
 
 
@@ -110,7 +112,7 @@ def to_text(a, most: int = 6) -> DataFrame:
 _VERBS = {"FK": "refers to", "READ": "reads", "WRITE": "writes", "INHERITS": "inherits from"}
 
 
-def to_report(a, most: int = 5) -> DataFrame:
+def to_report(a, most: int = 5, lines: bool = False) -> DataFrame:
     """script_id, report: counts, objects in order of definition with their first columns, what each depends on, and cycles by number."""
     objects, cycles = a.objects, a.cycles()
     cols = a.columns.join(objects.select("script_id", "name", "obj_seq"), ["script_id", "name"]).withColumn("place", F.row_number().over(Window.partitionBy("script_id", "name").orderBy("ordinal")))
@@ -133,6 +135,7 @@ def to_report(a, most: int = 5) -> DataFrame:
             _lines(cycles.withColumn("k", F.row_number().over(Window.partitionBy("script_id").orderBy("seq"))), 6, F.concat(F.format_string("  %s. ", "k"), F.array_join("path", " > ")), F.col("k")),
         ],
         "report",
+        lines,
     )
 
 
@@ -147,7 +150,7 @@ def _cycle_ends(cycles: DataFrame) -> DataFrame:
     return cycles.select("script_id", F.explode("path").alias("name")).distinct().withColumn("cyclic", F.lit(True))
 
 
-def to_dot(a, most: int = 8) -> DataFrame:
+def to_dot(a, most: int = 8, lines: bool = False) -> DataFrame:
     """script_id, dot: objects with columns, in a cluster for each routine with its tables; edges, flows and cycles."""
     quote = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('\\"')), F.lit('"'))
     cycles = a.cycles()
@@ -176,6 +179,7 @@ def to_dot(a, most: int = 8) -> DataFrame:
             _lines(ids, 6, F.lit("}")),
         ],
         "dot",
+        lines,
     )
 
 
@@ -197,7 +201,7 @@ def mermaid_links(edges: DataFrame) -> DataFrame:
     return edges.select("script_id", "edge_seq", _mermaid_link("-->", F.concat(_of(LABELS, "edge_type"), _braced())).alias("line"))
 
 
-def to_mermaid(a) -> DataFrame:
+def to_mermaid(a, lines: bool = False) -> DataFrame:
     """script_id, mermaid: objects, in a subgraph for each routine with its tables; edges, flows, and cycles as a class."""
     nodes, cycles = _grouped(a.objects), a.cycles()
     box = F.concat(mermaid_id(F.col("name")), F.lit('["'), _mermaid_text(F.col("name")), F.lit("<br/>"), "type", F.lit('"]'))
@@ -220,6 +224,7 @@ def to_mermaid(a) -> DataFrame:
             _lines(marked, 7, F.concat(F.lit("  classDef cycle stroke:#d33,stroke-width:3px\n  class "), "names", F.lit(" cycle"))),
         ],
         "mermaid",
+        lines,
     )
 
 

@@ -26,7 +26,7 @@ from schemaweave.functions.storage import stored
 #: Characters of a block, about.
 BLOCK = 1 << 20
 #: States that are tried on every block, and rounds in which they are looked for.
-FREQUENT, EARLY = 24, 3
+FREQUENT, EARLY = 8, 2
 _KEY = ["script_id", "n"]
 
 

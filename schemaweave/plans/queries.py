@@ -295,15 +295,31 @@ def render_mermaid_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.mermaid_links(a.edges).select("script_id", "line")
 
 
+def render_mermaid_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = analyze(_customers(spark, sf_dir, "CREATE TABLE c_%1$s (id INT, n INT REFERENCES nation_%2$s);"))
+    return render.to_mermaid(a).select("script_id", "mermaid")
+
+
 def history_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "events")
     saves = e.select(F.col("user_id").cast("string").alias("project"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "view", "update").otherwise("analysis").alias("action"), F.col("event_type").alias("ddl"))
     return history.history(saves).select("project", "seq", "action", "ddl")
 
 
+def history_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saves with their states in a project store, and each project's history with the statistics in its states."""
+    e = _read(spark, sf_dir, "events")
+    stats = F.struct(F.col("user_id").alias("total_objects"), (F.col("event_id") % 7).alias("total_edges"), (F.col("event_id") % 2 == 0).alias("has_cycles"))
+    state = F.when(F.col("event_type") == "error", F.lit("{}")).otherwise(F.to_json(F.struct(stats.alias("stats"))))
+    saves = e.select(F.col("user_id").cast("string").alias("project"), F.col("event_id").cast("bigint").alias("seq"), F.when(F.col("event_type") == "view", "update").otherwise("analysis").alias("action"), F.col("event_type").alias("ddl"), state.alias("state"))
+    store = history.Projects(spark, f"{storage.shared_dir(spark)}/projects-{uuid.uuid4().hex}")
+    store.save(saves)
+    return history.history_list(store.saves.read()).fillna(-1, ["total_objects", "total_edges"]).fillna({"has_cycles": False})
+
+
 QUERIES = (
     fk_edges_inline, fk_edges_alter, fk_composite, columns_parsed, columns_altered, view_reads, reads_comma_cte, routine_edges, routine_flows, column_mapping, routine_objects, lineage_view, function_groups, statement_counts,
-    derived_types, impact_downstream, impact_upstream, impact_fk_only, topo_levels, topo_order, layer_levels, object_stats, cyclic_nodes, cycles_listed, version_diff, object_diff, diff_counts, merged_results, render_mermaid_edges, history_dedupe, project_columns, project_flows, live_catalog, dump_edges,
+    derived_types, impact_downstream, impact_upstream, impact_fk_only, topo_levels, topo_order, layer_levels, object_stats, cyclic_nodes, cycles_listed, version_diff, object_diff, diff_counts, merged_results, render_mermaid_edges, render_mermaid_whole, history_dedupe, project_columns, project_flows, live_catalog, dump_edges, history_states,
 )
 
 _SHOP_LINKS = """
@@ -414,6 +430,15 @@ UNION ALL SELECT 'shop' || (c_custkey // 1000), 'w_' || c_custkey, 'c_' || c_cus
 SELECT script_id, key, CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' ELSE 'unchanged' END AS status, CAST(coalesce(a.n, -1) AS BIGINT) AS old_columns, CAST(coalesce(b.n, -1) AS BIGINT) AS new_columns FROM a FULL JOIN b USING (script_id, key)""",
     "merged_results": _VERSIONS + " SELECT DISTINCT unnest([old_name, new_name, old_to, new_to]) AS name, 'TABLE' AS type FROM v",
     "render_mermaid_edges": "SELECT CAST(c_custkey // 50 AS VARCHAR) AS script_id, '  c_' || c_custkey || ' -->|\"FK (n -> nation_' || c_nationkey || '.id)\"| nation_' || c_nationkey AS line FROM customer",
+    "render_mermaid_whole": """WITH c AS (SELECT CAST(c_custkey // 50 AS VARCHAR) AS script_id, 'c_' || c_custkey AS name, 'nation_' || c_nationkey AS ref, 'CREATE TABLE c_' || c_custkey || ' (' AS stmt FROM customer),
+lines AS (
+  SELECT DISTINCT script_id, 0 AS section, '' AS key, 'graph LR' AS line FROM c
+  UNION ALL SELECT DISTINCT script_id, 1, name, '  ' || name || '["' || name || '<br/>TABLE"]' FROM (SELECT script_id, unnest([name, ref]) AS name FROM c)
+  UNION ALL SELECT script_id, 2, stmt, '  ' || name || ' -->|"FK (n -> ' || ref || '.id)"| ' || ref FROM c)
+SELECT script_id, string_agg(line, chr(10) ORDER BY section, key) AS mermaid FROM lines GROUP BY script_id""",
+    "history_states": """WITH s AS (SELECT CAST(user_id AS VARCHAR) AS project, CAST(event_id AS BIGINT) AS seq, CASE WHEN event_type = 'view' THEN 'update' ELSE 'analysis' END AS action, event_type AS ddl, event_type <> 'error' AS known, CAST(user_id AS BIGINT) AS u FROM events),
+p AS (SELECT *, lag(ddl) OVER (PARTITION BY project, action ORDER BY seq) AS before FROM s)
+SELECT project, seq, action, CASE WHEN known THEN u ELSE -1 END AS total_objects, CASE WHEN known THEN seq % 7 ELSE -1 END AS total_edges, known AND seq % 2 = 0 AS has_cycles FROM p WHERE NOT (action = 'analysis' AND before IS NOT NULL AND before = ddl)""",
     "history_dedupe": """WITH s AS (SELECT CAST(user_id AS VARCHAR) AS project, event_id AS seq, CASE WHEN event_type = 'view' THEN 'update' ELSE 'analysis' END AS action, event_type AS ddl FROM events),
 p AS (SELECT *, lag(ddl) OVER (PARTITION BY project, action ORDER BY seq) AS before FROM s)
 SELECT project, seq, action, ddl FROM p WHERE NOT (action = 'analysis' AND before IS NOT NULL AND before = ddl)""",
