@@ -8,11 +8,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Temporary folders of local sessions, by application; a running session takes no new spark.checkpoint.dir.
+_own: dict[str, str] = {}
 #: Python workers see this much text at once, however large a partition is.
 BATCH_BYTES = 2 << 20
 BATCH_ROWS = 2000
 #: A side with more rows than this isn't broadcast.
 BROADCAST_ROWS = 10_000
+#: With more tasks than this, partitions aren't put together.
+PACKED = 1000
 #: A value with more than one in HOT of all rows is hot, so there are fewer than HOT hot ones.
 HOT = 1 << 16
 #: Bits of a bitmap for each key, and its 64-bit words at least and at most.
@@ -33,8 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not place:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir isn't set; executors need a folder that they share")
-        place = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", place)
+        app = spark.sparkContext.applicationId
+        place = _own[app] = _own.get(app) or tempfile.mkdtemp(prefix="spark-")
     return place.rstrip("/")
 
 
@@ -59,10 +63,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def packed(df: DataFrame) -> DataFrame:
     """`df` in fewer partitions: a quarter of the shuffle partitions, or four a core if that is more, so that small tables make few files.
 
-    A task goes through its parts one by one, so none of it needs more memory.
+    A task goes through its parts one by one, so none of it needs more memory. Where that would still be more
+    than PACKED tasks, the tables aren't small: all partitions stay, so no task has more than its share.
     """
     spark = df.sparkSession
-    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
+    few = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    return df.coalesce(few) if few <= PACKED else df
 
 
 def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
