@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from schemaweave.functions import storage
 from schemaweave.operators import graph, render
 from schemaweave.plans.analysis import analyze
 from schemaweave.sources.scripts import from_text, read_scripts
@@ -24,32 +25,33 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--cycles", action="store_true", help="show cycles")
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
-    try:
-        result = analyze(from_text(spark, sys.stdin.read()) if a.path == "-" else read_scripts(spark, a.path, glob="*"))
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        print(f"{a.path}: no such file", file=sys.stderr)
-        return 1
-    code, column = 0, None
-    if a.impact:
-        out = graph.impact_summary(result.impact(result.scripts.select("script_id", F.lit(a.impact).alias("target"))))
-    elif a.topo:
-        out = result.topological_order().orderBy("script_id", "position")
-    elif a.cycles:
-        out = result.cycles().orderBy("script_id", "seq")
-        code = int(bool(out.take(1)))
-    else:
-        column = {"text": "report"}.get(a.format, a.format)
-        out = {"text": render.to_text, "dot": render.to_dot, "mermaid": render.to_mermaid, "json": render.to_json}[a.format](result)
-    if a.output:
-        (out.select(column).write.text if column else out.write.json)(a.output)
-    else:
-        for row in out.toLocalIterator():
-            print(row[column] if column else " ".join(map(str, row)))
-        if a.cycles and not code:
-            print("No circular dependencies detected.")
-    return code
+    with storage.scope():
+        try:
+            result = analyze(from_text(spark, sys.stdin.read()) if a.path == "-" else read_scripts(spark, a.path, glob="*"))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            print(f"{a.path}: no such file", file=sys.stderr)
+            return 1
+        code, column = 0, None
+        if a.impact:
+            out = graph.impact_summary(result.impact(result.scripts.select("script_id", F.lit(a.impact).alias("target"))))
+        elif a.topo:
+            out = result.topological_order().orderBy("script_id", "position")
+        elif a.cycles:
+            out = result.cycles().orderBy("script_id", "seq")
+            code = int(bool(out.take(1)))
+        else:
+            column = {"text": "report"}.get(a.format, a.format)
+            out = {"text": render.to_text, "dot": render.to_dot, "mermaid": render.to_mermaid, "json": render.to_json}[a.format](result)
+        if a.output:
+            (out.select(column).write.text if column else out.write.json)(a.output)
+        else:
+            for row in out.toLocalIterator():
+                print(row[column] if column else " ".join(map(str, row)))
+            if a.cycles and not code:
+                print("No circular dependencies detected.")
+        return code
 
 
 if __name__ == "__main__":

@@ -4,9 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Temporary folders of local sessions, by application; a running session takes no new spark.checkpoint.dir.
+_own: dict[str, str] = {}
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """What is stored within goes when it ends, so results have to be used within; without a scope, tables stay until the folder is cleared."""
+    mine: list[DataFrame] = []
+    _scopes.append(mine)
+    try:
+        yield
+    finally:
+        _scopes.remove(mine)
+        for df in mine:
+            dropped(df)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; only a local master may do without, and then gets a temporary folder."""
@@ -14,8 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not place:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir isn't set; executors need a folder that they share")
-        place = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", place)
+        app = spark.sparkContext.applicationId
+        place = _own[app] = _own.get(app) or tempfile.mkdtemp(prefix="spark-")
     return place.rstrip("/")
 
 
@@ -33,6 +52,8 @@ def stored(df: DataFrame, by: str | None = None) -> DataFrame:
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._stored_at = path
+    for s in _scopes:
+        s.append(back)
     return back
 
 

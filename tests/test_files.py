@@ -1,10 +1,12 @@
 """What is read and what is rejected, renderings as many files, the command line's answers, and super-nodes."""
 
 import sys
+from pathlib import Path
 
 import pytest
 
 from schemaweave import cli
+from schemaweave.functions import storage
 from schemaweave.operators import compare, render
 from schemaweave.plans.analysis import analyze
 from schemaweave.sources.scripts import read_checked, write_lines
@@ -50,3 +52,25 @@ def test_super_nodes(spark):
     objects = spark.createDataFrame([("s", "f", None), ("s", "t", "f"), ("s", "u", "f"), ("s", "x", None), ("r", "t", None)], "script_id string, name string, parent string")
     links = spark.createDataFrame([("s", "x", "t"), ("s", "x", "u"), ("s", "t", "u"), ("s", "u", "x"), ("r", "t", "x")], 'script_id string, from string, to string')
     assert sorted(map(tuple, compare.collapsed(links, objects).collect())) == [("r", "t", "x"), ("s", "f", "x"), ("s", "x", "f")]
+
+
+def test_a_scope_leaves_no_tables(spark):
+    place = Path(storage.mounted_dir(spark))
+    place.mkdir(exist_ok=True)
+    before = set(place.iterdir())
+    with storage.scope():
+        a = analyze(spark.createDataFrame([("s", "CREATE TABLE a (b INT REFERENCES c);")], "script_id string, ddl string"))
+        assert a.topological_order().count() == 2 and set(place.iterdir()) > before
+    assert set(place.iterdir()) <= before
+
+
+def test_a_local_session_needs_no_shared_folder(spark, monkeypatch):
+    class Unset:
+        def get(self, key, default=None):
+            return default
+
+    session = type("Session", (), {"conf": Unset(), "sparkContext": spark.sparkContext})()
+    assert storage.shared_dir(session) == storage.shared_dir(session) and Path(storage.shared_dir(session)).is_dir()
+    session.sparkContext = type("Context", (), {"master": "spark://x", "applicationId": "x"})()
+    with pytest.raises(ValueError, match="checkpoint"):
+        storage.shared_dir(session)
