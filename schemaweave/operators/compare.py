@@ -36,17 +36,22 @@ def diff_counts(diff: DataFrame) -> DataFrame:
     return diff.groupBy("script_id").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("added", "removed", "unchanged")])
 
 
-def merged(*results: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(objects, edges) of several analyses as one: first seen of (name, type) and of (source, target, type)."""
+def merged(*results: tuple[DataFrame, ...]) -> tuple[DataFrame, ...]:
+    """(objects, edges) or (objects, edges, cycles) of several analyses as one: first seen of (name, type), of (source, target, type) and of each cycle."""
+
     def first(frames: list[DataFrame], keys: list[str]) -> DataFrame:
         every = None
         for i, f in enumerate(frames):
             f = f.withColumn("result", F.lit(i))
             every = f if every is None else every.unionByName(f, allowMissingColumns=True)
         order = Window.partitionBy(*keys).orderBy("result", "script_id")
-        return every.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+        number = "_n"
+        while number in every.columns:
+            number = f"_{number}"
+        return every.withColumn(number, F.row_number().over(order)).where(F.col(number) == 1).drop(number)
 
-    return first([o for o, _ in results], ["name", "type"]), first([e for _, e in results], ["source", "target", "edge_type"])
+    keys = (["name", "type"], ["source", "target", "edge_type"], ["path"])
+    return tuple(first([r[i] for r in results], keys[i]) for i in range(min(map(len, results), default=0)))
 
 
 def lineage_view(objects: DataFrame, edges: DataFrame, flows: DataFrame) -> DataFrame:

@@ -290,6 +290,10 @@ def merged_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.merged(*[(a.objects, a.edges) for a in _versions(spark, sf_dir)])[0].select("name", "type")
 
 
+def merged_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.merged(*[(a.objects, a.edges) for a in _versions(spark, sf_dir)])[1].select("source", "target", "edge_type", "details")
+
+
 def render_mermaid_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = analyze(_customers(spark, sf_dir, "CREATE TABLE c_%1$s (id INT, n INT REFERENCES nation_%2$s);"))
     return render.mermaid_links(a.edges).select("script_id", "line")
@@ -319,7 +323,7 @@ def history_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     fk_edges_inline, fk_edges_alter, fk_composite, columns_parsed, columns_altered, view_reads, reads_comma_cte, routine_edges, routine_flows, column_mapping, routine_objects, lineage_view, function_groups, statement_counts,
-    derived_types, impact_downstream, impact_upstream, impact_fk_only, topo_levels, topo_order, layer_levels, object_stats, cyclic_nodes, cycles_listed, version_diff, object_diff, diff_counts, merged_results, render_mermaid_edges, render_mermaid_whole, history_dedupe, project_columns, project_flows, live_catalog, dump_edges, history_states,
+    derived_types, impact_downstream, impact_upstream, impact_fk_only, topo_levels, topo_order, layer_levels, object_stats, cyclic_nodes, cycles_listed, version_diff, object_diff, diff_counts, merged_results, merged_edges, render_mermaid_edges, render_mermaid_whole, history_dedupe, project_columns, project_flows, live_catalog, dump_edges, history_states,
 )
 
 _SHOP_LINKS = """
@@ -429,6 +433,7 @@ UNION ALL SELECT 'shop' || (c_custkey // 1000), 'w_' || c_custkey, 'c_' || c_cus
     "object_diff": _VERSIONS + """, a AS (SELECT DISTINCT script_id, unnest(['TABLE::::' || old_name, 'TABLE::::' || old_to]) AS key, unnest([2, 0]) AS n FROM v), b AS (SELECT DISTINCT script_id, unnest(['TABLE::::' || new_name, 'TABLE::::' || new_to]) AS key, unnest([2, 0]) AS n FROM v)
 SELECT script_id, key, CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' ELSE 'unchanged' END AS status, CAST(coalesce(a.n, -1) AS BIGINT) AS old_columns, CAST(coalesce(b.n, -1) AS BIGINT) AS new_columns FROM a FULL JOIN b USING (script_id, key)""",
     "merged_results": _VERSIONS + " SELECT DISTINCT unnest([old_name, new_name, old_to, new_to]) AS name, 'TABLE' AS type FROM v",
+    "merged_edges": _VERSIONS + " SELECT DISTINCT s AS source, t AS target, 'FK' AS edge_type, 'n -> ' || t || '.id' AS details FROM (SELECT unnest([old_name, new_name]) AS s, unnest([old_to, new_to]) AS t FROM v)",
     "render_mermaid_edges": "SELECT CAST(c_custkey // 50 AS VARCHAR) AS script_id, '  c_' || c_custkey || ' -->|\"FK (n -> nation_' || c_nationkey || '.id)\"| nation_' || c_nationkey AS line FROM customer",
     "render_mermaid_whole": """WITH c AS (SELECT CAST(c_custkey // 50 AS VARCHAR) AS script_id, 'c_' || c_custkey AS name, 'nation_' || c_nationkey AS ref, 'CREATE TABLE c_' || c_custkey || ' (' AS stmt FROM customer),
 lines AS (

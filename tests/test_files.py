@@ -74,3 +74,9 @@ def test_a_local_session_needs_no_shared_folder(spark, monkeypatch):
     session.sparkContext = type("Context", (), {"master": "spark://x", "applicationId": "x"})()
     with pytest.raises(ValueError, match="checkpoint"):
         storage.shared_dir(session)
+
+
+def test_merged_cycles(spark):
+    ring = analyze(spark.createDataFrame([("s", "CREATE VIEW a AS SELECT 1 FROM b; CREATE VIEW b AS SELECT 1 FROM a;")], "script_id string, ddl string"))
+    objects, edges, cycles = compare.merged(*[(ring.objects, ring.edges, ring.cycles())] * 2)
+    assert (objects.count(), edges.count(), [r.path for r in cycles.collect()]) == (2, 2, [["a", "b", "a"]])
