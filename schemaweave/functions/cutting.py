@@ -15,6 +15,9 @@ from schemaweave.functions.tokens import lazily
 from schemaweave.functions.words import DECLARATIONS, ROUTINE_OPTIONS
 
 _STATEMENT_TOKEN = re.compile(r"'|\$|(?P<slash>(?m:^[ \t]*/[ \t]*$)\n?)|(?P<mark>[();])|(?P<word>\w+)")
+#: The same when a text is read whole and a statement has begun: words that open or close nothing are passed over; without blocks, all words.
+_BLOCK_TOKEN = re.compile(r"['$]|(?P<slash>(?<=\n)[ \t]*/[ \t]*(?:\n|\Z))|(?P<mark>[();])|\b(?P<word>CASE|BEGIN|END)\b", re.I)
+_PLAIN_TOKEN = re.compile(r"['$]|(?P<slash>(?<=\n)[ \t]*/[ \t]*(?:\n|\Z))|(?P<mark>[();])|(?P<word>(?!))")
 _NO_BLOCK = re.compile(r"\s*(?:;|(?:TRANSACTION|TRAN|WORK|ISOLATION|DISTRIBUTED)\b)", re.I)
 _NO_END = re.compile(r"\s+(?:IF|LOOP|WHILE|REPEAT|FOR)\b", re.I)
 #: What may still grow into a word that matters, at the end of a text.
@@ -227,7 +230,8 @@ def cut(block: str, state: State, final: bool, blocks: bool = True, dollar_later
                 stop = len(text) if final else max(at, len(text) - len(tag) + 1)
                 break
             at, mode, tag = end + len(tag), "n", ""
-        m = _STATEMENT_TOKEN.search(text, at)
+        pattern = _STATEMENT_TOKEN if not final or fresh and blocks else _BLOCK_TOKEN if blocks else _PLAIN_TOKEN
+        m = pattern.search(text, at)
         if not m:
             break
         if m.end() == len(text) and not final and (m["word"] or m["slash"] and m[0][-1] != "\n"):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 #: A literal, a dollar-quoted text, a quoted name, a word, or any other character.
 _CLOSED = re.compile(r"'(?:[^']|'')*(?:'|\Z)|\$(?P<tag>(?:[^\W\d]\w*)?)\$(?s:.*?)(?:\$(?P=tag)\$|\Z)|`[^`]*`|\"[^\"]*\"|\[[^\]]*\]|\w+|[^\w\s]")
@@ -21,11 +22,13 @@ class Tokens:
 
     Numbers past the end have empty words, so a grammar can look ahead. past[i] is the number
     after the group that a parenthesis at i opens; around[i] that of the parenthesis around i.
+    most: no more tokens than these are read; whole: whether that was the whole text.
     """
 
-    def __init__(self, text: str, literals: bool = True) -> None:
-        found = list((_CLOSED if literals else _OPEN).finditer(text))
+    def __init__(self, text: str, literals: bool = True, most: int | None = None) -> None:
+        found = list(islice((_CLOSED if literals else _OPEN).finditer(text), most))
         self.text, self.n = text, len(found)
+        self.whole = most is None or self.n < most
         self.raw = [m[0] for m in found] + [""] * 8
         self.word = [x.upper() for x in self.raw]
         self.start = [m.start() for m in found] + [len(text)] * 8

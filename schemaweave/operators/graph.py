@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from schemaweave.functions.storage import dropped, stored
 
@@ -275,24 +276,63 @@ def _coloured(links: DataFrame) -> DataFrame:
         colour, changed = fresh, better
 
 
-def _walked(nodes: DataFrame, edges: DataFrame, cyclic: DataFrame | None) -> DataFrame:
+def _pieces(links: DataFrame) -> DataFrame:
+    """script_id, node, piece: the least name of all nodes that links join to a node, whichever way they run.
+
+    Every node points to a node of its piece. A round lets it point to the least that those around it point to, two
+    steps on, offers the same to the node that it points to, and lets pointers double their reach; so
+    rounds are logarithmic, and a node's offers are put together before they are shuffled.
+    """
+    both = stored(links.unionByName(links.select("script_id", F.col("to").alias("from"), F.col("from").alias("to"))).distinct())
+    of = stored(both.select("script_id", F.col("from").alias("node"), F.col("from").alias("up")).distinct())
+    while True:
+        top = of.select("script_id", F.col("node").alias("up"), F.col("up").alias("top"))
+        far = stored(of.join(top, ["script_id", "up"]).select("script_id", "node", "up", "top"))
+        near = both.join(far.select("script_id", F.col("node").alias("to"), "top"), ["script_id", "to"]).groupBy("script_id", F.col("from").alias("node")).agg(F.min("top").alias("top"))
+        near = near.join(far.select("script_id", "node", "up"), ["script_id", "node"])
+        offers = near.select("script_id", F.explode(F.array("node", "up")).alias("node"), "top").unionByName(far.select("script_id", "node", "top")).withColumn("up", F.lit(None).cast("string"))
+        new = offers.unionByName(far.select("script_id", "node", "top", "up")).groupBy("script_id", "node").agg(F.min("top").alias("top"), F.max("up").alias("up"))
+        new = stored(new.select("script_id", "node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+        for old in (of, far):
+            dropped(old)
+        of = new.drop("moved")
+        of._stored_at = new._stored_at
+        if not new.where("moved").take(1):
+            dropped(both)
+            return of.select("script_id", "node", F.col("up").alias("piece"))
+
+
+def _walked(nodes: DataFrame, edges: DataFrame, of: DataFrame | None) -> DataFrame:
     """script_id, seq, path of each link that a depth-first walk in object order finds to lead back; path: from the link's end to its start.
 
-    Only the graphs of scripts with a cycle are walked, one script at a time: the walk's order
-    decides which links lead back, so it can't be split. edges need edge_seq, nodes obj_seq.
+    of: what levels() has found of these edges, if that is known. Only nodes on or above a cycle are walked: the
+    others lead to no link back, so the walk finds the same without them. Nodes that no links join don't change each
+    other's walk either, so scripts with more than ALONE such nodes are walked piece by piece, and what is found is put
+    in the order of the roots. In one piece the order decides which links lead back, so a piece isn't split.
+    edges need edge_seq, nodes obj_seq.
     """
     import pandas as pd
 
-    bad = stored((cyclic_nodes(edges) if cyclic is None else cyclic).select("script_id").distinct())
-    rows = edges.where("source <> target").join(bad, "script_id", "left_semi").select("script_id", F.lit(1).alias("kind"), F.col("edge_seq").alias("seq"), F.col("source").alias("a"), F.col("target").alias("b"))
-    rows = rows.unionByName(nodes.join(bad, "script_id", "left_semi").select("script_id", F.lit(0).alias("kind"), F.col("obj_seq").alias("seq"), F.col("name").alias("a"), F.lit("").alias("b")))
+    links = edges.where("source <> target").select("script_id", F.col("edge_seq").alias("seq"), F.col("source").alias("a"), F.col("target").alias("b"))
+    if of is None:
+        of = levels(links.select("script_id", F.explode(F.array("a", "b")).alias("name")), edges)
+    open_ = stored(of.where("level is null").select("script_id", F.col("name").alias("a")))
+    links = links.join(open_, ["script_id", "a"], "left_semi").join(open_.withColumnRenamed("a", "b"), ["script_id", "b"], "left_semi")
+    if _most(open_) > ALONE:
+        links = stored(links)
+        pieces = _pieces(links.select("script_id", F.col("a").alias("from"), F.col("b").alias("to"))).withColumnRenamed("node", "a")
+    else:
+        pieces = open_.withColumn("piece", F.lit(""))
+    roots = nodes.select("script_id", F.lit(0).alias("kind"), F.col("obj_seq").alias("seq"), F.col("name").alias("a"), F.lit("").alias("b"))
+    rows = links.withColumn("kind", F.lit(1)).unionByName(roots).join(pieces, ["script_id", "a"])
+    shape = StructType([rows.schema["script_id"], StructField("at", rows.schema["seq"].dataType), StructField("root", StringType()), StructField("step", LongType()), StructField("path", ArrayType(StringType()))])
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf["seq"] = pdf["seq"].map(lambda x: tuple(x) if hasattr(x, "__len__") else x)
         pdf = pdf.sort_values(["kind", "seq", "a", "b"])
         of = pdf[pdf["kind"] == 1].drop_duplicates(["a", "b"]).groupby("a", sort=False)["b"].agg(list).to_dict()
-        found, seen = [], set()
-        for root in pdf[pdf["kind"] == 0]["a"]:
+        found, seen, first = [], set(), pdf[pdf["kind"] == 0]
+        for at, root in zip(first["seq"], first["a"], strict=True):
             path, place, todo = [], {}, [[root]]  # todo[k]: what is left to visit from path[k - 1], last first
             while todo:
                 node = todo[-1].pop() if todo[-1] else None
@@ -300,25 +340,33 @@ def _walked(nodes: DataFrame, edges: DataFrame, cyclic: DataFrame | None) -> Dat
                     todo.pop()
                     place.pop(path.pop() if path else None, None)
                 elif node in place:
-                    found.append(path[place[node] :])
+                    found.append((at, root, len(found), path[place[node] :]))
                 elif node not in seen:
                     seen.add(node)
                     place[node] = len(path)
                     path.append(node)
                     todo.append(of.get(node, [])[::-1])
-        return pd.DataFrame({"script_id": pdf["script_id"].iloc[0], "seq": range(len(found)), "path": found})
+        out = pd.DataFrame(found, columns=["at", "root", "step", "path"])
+        out.insert(0, "script_id", pdf["script_id"].iloc[0])
+        return out
+
+    found = stored(rows.groupBy("script_id", "piece").applyInPandas(walk, shape))
+    return ranked(found, ["script_id"], ["at", "root", "step"], "rank", _most(found)).select("script_id", (F.col("rank") - 1).alias("seq"), "path")
+
 
-    return rows.groupBy("script_id").applyInPandas(walk, "script_id string, seq bigint, path array<string>")
+def _most(rows: DataFrame) -> int:
+    """The most rows of one script."""
+    return rows.groupBy("script_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
 
 
-def cycles(nodes: DataFrame, edges: DataFrame, cyclic: DataFrame | None = None) -> DataFrame:
+def cycles(nodes: DataFrame, edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """script_id, seq, path: the distinct cycles that a depth-first walk closes, smallest name first and last (see _walked()).
 
-    cyclic: what cyclic_nodes() has found, if that is known.
+    of: what levels() has found of these edges, if that is known.
     """
     k = F.array_position("path", F.array_min("path")).cast("int")
     ring = F.concat(F.slice("path", k, F.size("path")), F.slice("path", F.lit(1), k - 1), F.array(F.array_min("path")))
-    return _walked(nodes, edges, cyclic).select("script_id", "seq", ring.alias("path")).groupBy("script_id", "path").agg(F.min("seq").alias("seq")).select("script_id", "seq", "path")
+    return _walked(nodes, edges, of).select("script_id", "seq", ring.alias("path")).groupBy("script_id", "path").agg(F.min("seq").alias("seq")).select("script_id", "seq", "path")
 
 
 def layer_levels(nodes: DataFrame, links: DataFrame) -> DataFrame:

@@ -132,7 +132,7 @@ class Analysis:
 
     @cached_property
     def _cycles(self) -> DataFrame:
-        return stored(graph.cycles(self.objects, self.edges, self.cyclic))
+        return stored(graph.cycles(self.objects, self.edges, self._levels))
 
 
 @dataclass(frozen=True)

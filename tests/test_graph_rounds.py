@@ -86,3 +86,55 @@ def test_large_levels_are_numbered_by_ranges(spark, monkeypatch):
     links = nodes.where("obj_seq >= 500").select("script_id", F.col("obj_seq").alias("edge_seq"), F.col("name").alias("source"), F.format_string("n%04d", 999 - F.col("obj_seq")).alias("target"), F.lit("FK").alias("edge_type"))
     order = [r.name for r in graph.topological_order(nodes, links).orderBy("position").collect()]
     assert order == [f"n{i:04}" for i in range(500)] + [f"n{i:04}" for i in range(999, 499, -1)]
+
+
+def walked(objects, links):
+    """The cycles that one walk over a whole graph closes, in order."""
+    found, seen = [], set()
+
+    def visit(node, path):
+        if node in path:
+            ring = path[path.index(node) :]
+            k = ring.index(min(ring))
+            found.append((*ring[k:], *ring[:k], ring[k]))
+        elif node not in seen:
+            seen.add(node)
+            for a, b in dict.fromkeys(links):
+                if a == node and a != b:
+                    visit(b, [*path, node])
+
+    for root in objects:
+        visit(root, [])
+    return list(dict.fromkeys(found))
+
+
+def test_cycles_piece_by_piece_are_those_of_one_walk(spark, monkeypatch):
+    rng, rows, objects, expected = random.Random(7), [], [], {}
+    for g in range(6):
+        names, links = [f"v{i:03}" for i in rng.sample(range(200), 60)], []
+        for k in range(0, 60, 6):  # ten pieces of six nodes, some without a cycle
+            piece = names[k : k + 6]
+            links += [tuple(rng.sample(piece, 2)) for _ in range(rng.randint(4, 9))]
+        rng.shuffle(names)
+        rng.shuffle(links)
+        links.append((names[0], names[0]))
+        rows += [(str(g), i, a, b) for i, (a, b) in enumerate(links)]
+        objects += [(str(g), i, n) for i, n in enumerate(names)]
+        expected[str(g)] = walked(names, links)
+    edges = spark.createDataFrame(rows, "script_id string, edge_seq long, source string, target string")
+    nodes = spark.createDataFrame(objects, "script_id string, obj_seq long, name string")
+    for alone in (graph.ALONE, 5):
+        monkeypatch.setattr(graph, "ALONE", alone)
+        got = {}
+        for r in graph.cycles(nodes, edges).orderBy("script_id", "seq").collect():
+            got.setdefault(r.script_id, []).append(tuple(r.path))
+        assert got == {g: x for g, x in expected.items() if x}
+    assert sum(map(len, expected.values())) > 20
+
+
+def test_pieces_take_few_rounds(spark, rounds):
+    _, links = chain(spark, LONG)
+    name = lambda c: F.concat(F.substring(F.md5(c), 1, 6), c)
+    found = graph._pieces(links.where("edge_seq <> 4000").select("script_id", name(F.col("source")).alias("from"), name(F.col("target")).alias("to")))
+    assert sorted(r["count"] for r in found.groupBy("piece").count().collect()) == [4000, 6000]
+    assert len(rounds) < 60, len(rounds)
