@@ -213,6 +213,12 @@ def layer_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.layer_levels(a.objects, a.edges.select("script_id", "edge_seq", F.col("target").alias("from"), F.col("source").alias("to"))).select("name", "level")
 
 
+def layer_levels_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels of views that form rings, and of the views of other scripts that they read: the link that closes a ring is left out."""
+    a = _rings(spark, sf_dir)
+    return graph.layer_levels(a.objects, a.edges.select("script_id", "edge_seq", F.col("target").alias("from"), F.col("source").alias("to"))).select("script_id", "name", "level")
+
+
 def _spread(spark: SparkSession, sf_dir: str) -> Project:
     """Tables, views on them, and routines that return their rows or copy them, each kind in scripts of its own."""
     rows = _read(spark, sf_dir, "customer")
@@ -323,7 +329,7 @@ def history_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     fk_edges_inline, fk_edges_alter, fk_composite, columns_parsed, columns_altered, view_reads, reads_comma_cte, routine_edges, routine_flows, column_mapping, routine_objects, lineage_view, function_groups, statement_counts,
-    derived_types, impact_downstream, impact_upstream, impact_fk_only, topo_levels, topo_order, layer_levels, object_stats, cyclic_nodes, cycles_listed, version_diff, object_diff, diff_counts, merged_results, merged_edges, render_mermaid_edges, render_mermaid_whole, history_dedupe, project_columns, project_flows, live_catalog, dump_edges, history_states,
+    derived_types, impact_downstream, impact_upstream, impact_fk_only, topo_levels, topo_order, layer_levels, layer_levels_rings, object_stats, cyclic_nodes, cycles_listed, version_diff, object_diff, diff_counts, merged_results, merged_edges, render_mermaid_edges, render_mermaid_whole, history_dedupe, project_columns, project_flows, live_catalog, dump_edges, history_states,
 )
 
 _SHOP_LINKS = """
@@ -405,6 +411,11 @@ UNION ALL SELECT script_id, 'users_' || u, 'fresh_' || e, 'WRITE', 'CREATE' FROM
 SELECT target, node FROM reach WHERE node <> target""",
     "topo_levels": _SHOP_LEVELS,
     "layer_levels": _SHOP_LEVELS,
+    "layer_levels_rings": """WITH RECURSIVE links AS (
+        SELECT p_partkey // 50 AS s, CASE WHEN p_partkey % 10 = 8 THEN p_partkey - 3 ELSE p_partkey + 1 END AS a, p_partkey AS b FROM part),
+      ahead AS (SELECT * FROM links WHERE NOT (b % 10 = 5 AND b + 3 IN (SELECT p_partkey FROM part))),
+      paths AS (SELECT s, unnest([a, b]) AS k, 0 AS n FROM links UNION SELECT s, b, n + 1 FROM paths JOIN ahead USING (s) WHERE a = k)
+      SELECT CAST(s AS VARCHAR) AS script_id, 'p_' || k AS name, CAST(max(n) AS BIGINT) AS level FROM paths GROUP BY s, k""",
     "topo_order": """WITH r AS (
   SELECT 'r_' || n_regionkey AS name, row_number() OVER (ORDER BY min('n_' || n_nationkey || ' ')) AS position FROM nation GROUP BY n_regionkey
 ), n AS (
