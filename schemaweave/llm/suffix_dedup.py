@@ -9,7 +9,9 @@ boundary. A bucket sorts them, and the reversed bytes before them, by multikey q
 over 8-byte words. Common prefixes of neighbours in both orders tell which windows repeat.
 
 Suffixes whose leading tokens stand in more than `crowd` contexts would make a bucket
-large; their windows are counted by Spark instead, which pre-aggregates them.
+large. Spark's aggregation compares these by stretches of windows instead, and looks into
+a stretch only where it is neither repeated whole nor alone (see _narrowed()), so a suffix
+makes few rows, however many windows it has.
 
 Cases: a null or empty text has no bytes. Rows with one id, or a null id, are told
 apart. Texts shorter than a window keep all bytes. No rows give no rows. Only the named
@@ -19,6 +21,7 @@ that a removed run has cut in two.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +31,13 @@ from pyspark.sql import functions as F
 
 from schemaweave.llm import repeats
 from schemaweave.llm.arrays import text_bytes, text_slices
-from schemaweave.llm.shared import free_name, stored
+from schemaweave.llm.shared import free_name, stored, with_group
 
 CROWD = 4096
 _BUCKET_ROWS = 4096
 _CUT_ROWS = 2048
+#: A stretch of windows is looked into in so many parts.
+_PARTS = 4
 
 
 def multikey_order(keys: np.ndarray, groups: np.ndarray) -> np.ndarray:
@@ -155,13 +160,48 @@ def _sorted_buckets(contexts: DataFrame, unit: repeats.Unit) -> DataFrame:
     return ranged.mapInArrow(run, "key bigint, start bigint, end bigint")
 
 
+def _narrowed(contexts: DataFrame, unit: repeats.Unit) -> DataFrame:
+    """key, start, end of the repeated windows among any number of suffixes with the same leading tokens, in rounds.
+
+    A row is a stretch: the windows that start `low` to `high` bytes before the anchor, within one
+    of the blocks of `size` distances. Its hull is all that they cover, its core what any window of the
+    block covers. Equal hulls make all their windows repeated; a window can be equal only to one with the
+    same core. So a core with one hull is settled; of others each hull goes on once, in smaller blocks.
+    In the last round a stretch is one window, and core and hull are the same.
+    """
+    low, high = (F.shiftright("at", b).bitwiseAND(F.lit((1 << 16) - 1)) for b in (16, 0))
+    hull = F.substring("bytes", F.lit(unit.span) - high, high - low + unit.window)
+    open_ = contexts.select("gram", "key", "at", "n", low.alias("low"), high.alias("high"), hull.alias("hull"))
+    found, size = [], 1
+    while size * _PARTS < unit.span:
+        size *= _PARTS
+    while size:
+        cut = open_.select("*", F.explode(F.sequence(F.col("low") - F.pmod("low", F.lit(size)), "high", F.lit(size).cast("bigint"))).alias("block"))
+        low, high = F.greatest("low", "block"), F.least(F.col("high"), F.col("block") + size - 1)
+        cut = cut.select("gram", "key", "at", "n", "block", low.alias("low"), high.alias("high"), F.substring("hull", F.col("high") - high + 1, high - low + unit.window).alias("hull"))
+        core = F.substring("hull", F.col("high") - F.col("block") + 1, F.lit(max(0, unit.window - size + 1)))
+        name, core = F.xxhash64("low", "high", "hull"), F.xxhash64("gram", "block", core)
+        cut = stored(cut.select("gram", name.alias("name"), core.alias("core"), "key", "at", "n", "low", "high", "hull"), "stretches")
+        if not cut.take(1):
+            break
+        hulls = cut.groupBy("gram", "core", "name").agg(F.sum("n").alias("n"), F.min(F.struct("key", "at", "low", "high", "hull")).alias("first"))
+        hulls = stored(hulls.select("gram", "core", "name", "n", "first.*"), "hulls")
+        place = F.shiftright("at", 32)
+        rows = cut.select("gram", "name", "key", "at", (place - F.col("high")).alias("start"), (place - F.col("low") + unit.window).alias("end"), F.lit(-1).cast("bigint").alias("again"))
+        found.append(repeats.repeated(rows, hulls.where("n > 1"), others_than_first=False))
+        kinds = hulls.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").withColumn("open", F.lit(True))
+        open_ = with_group(hulls, "core", kinds, "kinds").where("open") if size > 1 else open_
+        size //= _PARTS
+    return functools.reduce(DataFrame.unionByName, found) if found else contexts.select("key", F.col("at").alias("start"), F.col("at").alias("end"))
+
+
 def repeated_bytes(docs: DataFrame, window: int = 200, crowd: int = CROWD) -> DataFrame:
     """key, start, end (bytes) of the windows of docs(key, text) that start anywhere else too."""
     unit = _unit(window)
     found, groups = repeats.classes(docs, unit)
     copies = repeats.members(found, groups, others_than_first=False)
     sorted_ = _sorted_buckets(stored(_contexts(docs, groups.where(F.col("kinds") <= crowd), unit), "suffixes", "zstd"), unit)
-    crowded = repeats.repeated_windows(repeats.window_names(docs, groups.where(F.col("kinds") > crowd), unit), unit, others_than_first=False)
+    crowded = _narrowed(stored(_contexts(docs, groups.where(F.col("kinds") > crowd), unit), "crowded"), unit)
     return copies.unionByName(sorted_).unionByName(crowded)
 
 

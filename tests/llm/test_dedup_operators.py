@@ -140,6 +140,25 @@ def test_rows_grow_with_documents_not_with_windows(spark, words):
     assert covered(made(spark, [(1, "a " * 20_000 if words else "a" * 40_000)]).selectExpr("doc_id as key", "text")).count() <= 10
 
 
+def test_crowded_suffixes_make_rows_by_stretch_not_by_window(spark, monkeypatch):
+    """A passage amid different texts, some with a part of it only: no step makes a row for each of its windows."""
+    made_rows, store = [], suffix_dedup.stored
+
+    def counted(df, name, *more):
+        made_rows.append((store(df, name, *more), name))
+        return made_rows[-1][0]
+
+    monkeypatch.setattr(suffix_dedup, "stored", counted)
+    monkeypatch.setattr(suffix_dedup.repeats, "stored", counted)
+    rng = random.Random(13)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = text(500)
+    rows = [(i, text(90) + (shared[i % 7 * 10 : 460 + i % 5 * 10] if i % 2 else shared) + text(90)) for i in range(100)]
+    got = suffix_dedup.remove_repeated_bytes(made(spark, rows), window=200, crowd=1).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=repr) == bytes_brute([(i, t.encode()) for i, t in rows], 200)
+    assert max((df.count(), name) for df, name in made_rows)[0] <= 16 * len(rows)
+
+
 def test_repeated_bytes_with_repeated_and_null_ids(spark):
     rows = [(1, "0123456789 one"), (1, "0123456789 two"), (None, "0123456789"), (None, None), (2, "unique text")]
     got = suffix_dedup.remove_repeated_bytes(made(spark, rows), window=8).collect()
