@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -290,6 +291,26 @@ def test_leaks_against_brute_force(spark):
     assert {(d, d % 24) for d in range(24)} <= got <= far and len(got & near) >= 0.95 * len(near) >= 0.95 * 40
 
 
+def test_the_latent_space_is_that_of_all_passages(spark, monkeypatch):
+    """Against dense products of every passage of long texts."""
+    rng = random.Random(9)
+    texts = [" ".join(f"w{min(rng.randrange(1, 300), rng.randrange(1, 300))}" for _ in range(48 * 30 + d)) for d in range(12)] + [None, "", "unknown"]
+    items = [(i, " ".join(f"w{rng.randrange(1, 300)}" for _ in range(40))) for i in range(12)]
+    spaces, factorised = [], decontamination._factorised
+    monkeypatch.setattr(decontamination, "RANK", 6)
+    monkeypatch.setattr(decontamination, "_factorised", lambda *args: spaces.append(factorised(*args)) or spaces[0])
+    decontamination.find_leaks(made(spark, list(enumerate(texts))), spark.createDataFrame(items, "item_id bigint, text string"))
+    space = spaces[0]
+    cuts = [" ".join(w[k : k + 48]) for w in ((t or "").split() for t in texts) for k in range(0, len(w), 48)] + [t for _, t in items]
+    row, dimension, value = space.rows(*decontamination._hashed(pa.array(cuts)))
+    dense = np.zeros((len(cuts), space.dimensions))
+    np.add.at(dense, (row, dimension), value)
+    basis = np.linalg.qr(np.random.default_rng(3).standard_normal((space.dimensions, 6)))[0]
+    for _ in range(2):
+        basis = np.linalg.qr(dense.T @ (dense @ basis))[0]
+    assert np.abs(space.basis @ space.basis.T - basis @ basis.T).max() < 1e-3
+
+
 def test_sampled_passages_of_every_document():
     lengths = [0, 48 * 60, 20, 48 * 9 + 1, 100]
     bounds = np.append(0, np.cumsum(lengths))
