@@ -311,6 +311,20 @@ def test_the_latent_space_is_that_of_all_passages(spark, monkeypatch):
     assert np.abs(space.basis @ space.basis.T - basis @ basis.T).max() < 1e-3
 
 
+def test_the_pipelines_stage_fits_all_passages(spark, monkeypatch, tmp_path):
+    seen, factorised = [], decontamination._factorised
+
+    def spied(numbered, *more):
+        seen.extend(len(r.sizes) for r in numbered.collect())
+        return factorised(numbered, *more)
+
+    monkeypatch.setattr(decontamination, "_factorised", spied)
+    spark.createDataFrame([(1, "q1 q2 q3 q4 q5 q6 q7 q8")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = made(spark, [(1, "q1 w " * 48 * 20), (2, "q1 q2 q3 q4 q5 q6 q7 q8"), (3, None)])
+    assert sorted(r.doc_id for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()) == [1, 3]
+    assert sorted(seen) == [0, 1, 40]
+
+
 def test_sampled_passages_of_every_document():
     lengths = [0, 48 * 60, 20, 48 * 9 + 1, 100]
     bounds = np.append(0, np.cumsum(lengths))
