@@ -15,7 +15,7 @@ from schemaweave.functions.tokens import lazily
 from schemaweave.functions.words import DECLARATIONS, ROUTINE_OPTIONS
 
 _STATEMENT_TOKEN = re.compile(r"'|\$|(?P<slash>(?m:^[ \t]*/[ \t]*$)\n?)|(?P<mark>[();])|(?P<word>\w+)")
-#: The same when a text is read whole and a statement has begun: words that open or close nothing are passed over; without blocks, all words.
+#: The same when a statement has begun: words that open or close nothing are passed over; without blocks, all words.
 _BLOCK_TOKEN = re.compile(r"['$]|(?P<slash>(?<=\n)[ \t]*/[ \t]*(?:\n|\Z))|(?P<mark>[();])|\b(?P<word>CASE|BEGIN|END)\b", re.I)
 _PLAIN_TOKEN = re.compile(r"['$]|(?P<slash>(?<=\n)[ \t]*/[ \t]*(?:\n|\Z))|(?P<mark>[();])|(?P<word>(?!))")
 _NO_BLOCK = re.compile(r"\s*(?:;|(?:TRANSACTION|TRAN|WORK|ISOLATION|DISTRIBUTED)\b)", re.I)
@@ -25,6 +25,10 @@ _UNDECIDED = re.compile(r"\s*\w*\Z")
 _HALF_MARK = re.compile(r"[-/*]+\Z")
 _BLANK_LINE = re.compile(r"(?:\A|\n)([ \t]*)\Z")
 _QUOTE_AHEAD = re.compile(r"\s*['$]")
+#: Begins what is no routine, whatever follows.
+_OTHER = re.compile(r"CREATE\s+(?!(?:OR|EDITIONABLE|NONEDITIONABLE|PROCEDURE|FUNCTION)\b)[a-z_]+(?=[\s(])", re.A | re.I)
+#: Words after which _may_be_routine() has nothing more to tell.
+_HEAD_WORDS = 5
 
 
 class More(Exception):
@@ -37,6 +41,8 @@ def declared_body(text: str, at: int = 0, final: bool = True) -> int | None:
     Its head has a name, arguments, RETURN with a type, and options, and nothing else. Without
     `final` there may be more text, and More is raised if the answer depends on it.
     """
+    if _OTHER.match(text, at):
+        return None
     head: list[str] = []
     depth, tokens = 0, _decided(text, at, final)
     for m in tokens:
@@ -51,7 +57,7 @@ def declared_body(text: str, at: int = 0, final: bool = True) -> int | None:
             return None
         else:
             head.append(word)
-        if not _may_be_routine(head):
+        if len(head) <= _HEAD_WORDS and not _may_be_routine(head):
             return None
     else:
         return None
@@ -230,9 +236,11 @@ def cut(block: str, state: State, final: bool, blocks: bool = True, dollar_later
                 stop = len(text) if final else max(at, len(text) - len(tag) + 1)
                 break
             at, mode, tag = end + len(tag), "n", ""
-        pattern = _STATEMENT_TOKEN if not final or fresh and blocks else _BLOCK_TOKEN if blocks else _PLAIN_TOKEN
+        pattern = _STATEMENT_TOKEN if fresh and blocks else _BLOCK_TOKEN if blocks else _PLAIN_TOKEN
         m = pattern.search(text, at)
         if not m:
+            while not final and stop > at and (text[stop - 1].isalnum() or text[stop - 1] == "_"):
+                stop -= 1  # the next block may go on with a word
             break
         if m.end() == len(text) and not final and (m["word"] or m["slash"] and m[0][-1] != "\n"):
             stop = m.start()

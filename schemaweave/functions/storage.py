@@ -46,6 +46,11 @@ def mounted_dir(spark: SparkSession) -> str:
     return "/" + place.lstrip("/")
 
 
+def tasks(spark: SparkSession) -> int:
+    """So many tasks for work that takes time, whatever its size."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def stored(df: DataFrame, by: str | None = None) -> DataFrame:
     """`df` written to the shared folder, in a folder for each value of `by`, and read back."""
     path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"

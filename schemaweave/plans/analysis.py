@@ -160,7 +160,7 @@ class Dump(Analysis):
 
     @cached_property
     def statements(self) -> DataFrame:
-        return stored(splitting.statements(self.scripts), by="kind")
+        return splitting.statements(self.scripts)
 
 
 def analyze(scripts: DataFrame) -> Analysis:

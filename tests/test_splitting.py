@@ -84,3 +84,22 @@ def test_a_large_script_is_cut_by_many_tasks(spark, tmp_path):
     counts = {r.script_id: r.n_statements for r in splitting.statement_counts(splitting.line_blocks(rows, size=200)).collect()}
     one = from_text(spark, "\n".join(lines)).select(F.size(F.udf(cutting.cut_statements, "array<string>")(text.strip_comments(F.col("ddl")))).alias("n"))
     assert counts == {"x": one.first().n, "y": 1}
+
+
+def test_blocks_end_where_statements_begin(spark, monkeypatch):
+    """Most blocks are then entered as they are read at first: few are read again, and all by many tasks."""
+    lines = [x for i in range(3000) for x in (f"CREATE TABLE t{i} ( -- it's; one", "  note TEXT DEFAULT 'a;", "b('' );');", f"CREATE FUNCTION f{i}() RETURNS void AS $$ BEGIN", "  DELETE FROM t0; /* not;", "  yet */ END $$;")]
+    rows = spark.createDataFrame([("x", i, line) for i, line in enumerate(lines)], "script_id string, at int, line string")
+    blocks, tried, counted = splitting.line_blocks(rows, size=2000), splitting._tried, []
+    n = blocks.count()
+    assert n > 200 and blocks.where("startswith(text, 'CREATE')").count() > 0.9 * n
+    assert blocks.select(F.input_file_name()).distinct().count() >= 4
+
+    def counting(blocks, pairs):
+        counted.append(pairs.count())
+        return tried(blocks, pairs)
+
+    monkeypatch.setattr(splitting, "_tried", counting)
+    got = {(r.stmt_seq, r.stmt) for r in splitting.statements(blocks).select("stmt_seq", "stmt").collect()}
+    assert got == set(enumerate(cutting.cut_statements(without_comments("\n".join(lines)))))
+    assert sum(counted) < 0.1 * n
