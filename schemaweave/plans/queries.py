@@ -262,10 +262,10 @@ def live_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         """One database, as a file that no other attempt of the task touches."""
         path = f"{folder}/catalog-{uuid.uuid4().hex}.db"
         with closing(sqlite3.connect(path)) as db:
-            db.executescript("".join(table.column("ddl").to_pylist()))
+            db.executescript("BEGIN; " + "".join(table.column("ddl").to_pylist()) + " COMMIT;")  # written once, not statement by statement
         return pa.table({"database": table.column("database")[:1], "path": [path]})
 
-    made = storage.stored(rows.groupBy("database").applyInArrow(make, "database string, path string"))
+    made = storage.stored(rows.repartition(storage.tasks(spark), "database").groupBy("database").applyInArrow(make, "database string, path string"))
     source = DbApi("sqlite3", {r["database"]: {"database": r["path"]} for r in made.collect()})  # a row per database
     return analyze(connector("sqlite").scripts(spark, source, "main")).edges.select("script_id", "source", "target", "edge_type", "details")
 

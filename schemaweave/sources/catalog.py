@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from schemaweave.functions.storage import tasks
 from schemaweave.sources.live import DbApi, Jdbc
 
 #: Columns of each catalog relation.
@@ -128,7 +129,8 @@ def script_of(statements: DataFrame, script_id: str | None = None) -> DataFrame:
     ordered = F.sort_array(F.collect_list(F.struct("section", "seq", "ddl")))
     text = F.array_join(F.transform(ordered, lambda x: x["ddl"]), "\n\n").alias("ddl")
     if script_id is None:
-        return statements.groupBy(F.col("database").alias("script_id")).agg(text)
+        # Reading text takes time, not space: a fixed number of partitions isn't merged for being small.
+        return statements.repartition(tasks(statements.sparkSession), "database").groupBy(F.col("database").alias("script_id")).agg(text)
     return statements.agg(text).select(F.lit(script_id).alias("script_id"), "ddl")
 
 

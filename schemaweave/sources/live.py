@@ -1,7 +1,7 @@
 """Catalogs of running databases as DataFrames, over JDBC or any Python DB-API driver.
 
 A catalog query runs in as many tasks as asked for, each with its own connection and its own share of
-the objects; filters on the query's columns become part of its WHERE, and one on `database` leaves
+the objects; of many databases, a task reads several, and each in fewer shares. Filters on the query's columns become part of its WHERE, and one on `database` leaves
 out whole databases. Nothing passes through the driver but the connections' parameters.
 """
 
@@ -21,11 +21,14 @@ from pyspark.sql.types import BooleanType, StructType
 
 _COMPARED = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 _FETCHED = 1000
+#: Tasks of a query for each core.
+_TASKS = 4
 
 
 class DbApiSource(DataSource):
     """Format `dbapi`. Options: module (a DB-API module), databases (JSON: name to arguments of connect()), query,
-    follow (a column that holds statements, each replaced by what it gives), shard (a condition with {i} and {n}), partitions (n).
+    follow (a column that holds statements, each replaced by what it gives), shard (a condition with {i} and {n}), partitions (n),
+    tasks (so many at most; for databases that keep them busy, n is less).
 
     The first column is the database's name, the others are the query's, by name.
     """
@@ -40,10 +43,11 @@ class DbApiSource(DataSource):
 
 @dataclass
 class Share(InputPartition):
-    """A share of one database's rows."""
+    """A share of one database's rows, and those that the same task reads after it."""
 
     database: str
     i: int
+    then: list[Share] = field(default_factory=list)
 
 
 class DbApiReader(DataSourceReader):
@@ -70,14 +74,24 @@ class DbApiReader(DataSourceReader):
                 self.filters.append((column, "IN" if isinstance(f, In) else _COMPARED.get(type(f), "IS NULL" if isinstance(f, IsNull) else "IS NOT NULL"), values))
 
     def partitions(self) -> Sequence[InputPartition]:
-        shares = int(self.options.get("partitions", "1")) if self.options.get("shard") else 1
-        return [Share(d, i) for d in sorted(self.chosen) for i in range(shares)]
+        shares = [Share(d, i) for d in sorted(self.chosen) for i in range(self.shares())]
+        first = shares[: int(self.options.get("tasks", len(shares)))]
+        for k, share in enumerate(shares[len(first) :]):
+            first[k % len(first)].then.append(share)
+        return first
+
+    def shares(self) -> int:
+        """The shares of each database."""
+        shares, tasks = int(self.options.get("partitions", "1")), self.options.get("tasks")
+        if not self.options.get("shard") or not self.chosen:
+            return 1
+        return min(shares, -(-int(tasks) // len(self.chosen))) if tasks else shares
 
     def statement(self, share: Share, style: str) -> tuple[str, list | dict]:
         """The SQL of a share and its parameters, in the driver's style."""
         wanted, values = [], []
         if self.options.get("shard"):
-            wanted.append("(" + self.options["shard"].format(i=share.i, n=self.options.get("partitions", "1")) + ")")
+            wanted.append("(" + self.options["shard"].format(i=share.i, n=self.shares()) + ")")
         mark = {"qmark": lambda k: "?", "numeric": lambda k: f":{k}", "named": lambda k: f":p{k}"}.get(style, lambda k: "%s")
         for column, operator, given in self.filters:
             marks = [mark(len(values) + k) for k in range(1, len(given) + 1)]
@@ -92,6 +106,10 @@ class DbApiReader(DataSourceReader):
         return text, {f"p{k}": v for k, v in enumerate(values, 1)} if style == "named" else values
 
     def read(self, partition: Share) -> Iterator[tuple]:
+        for share in (partition, *partition.then):
+            yield from self._rows(share)
+
+    def _rows(self, partition: Share) -> Iterator[tuple]:
         module = importlib.import_module(self.options["module"])
         text, values = self.statement(partition, module.paramstyle)
         flags = [isinstance(f.dataType, BooleanType) for f in self.schema.fields[1:]]
@@ -137,7 +155,7 @@ class DbApi:
     def load(self, spark: SparkSession, query: str, shape: str, shard: str | None = None, follow: str | None = None) -> DataFrame:
         spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
         spark.dataSource.register(DbApiSource)
-        reader = spark.read.format("dbapi").schema(f"database string, {shape}").options(module=self.module, databases=json.dumps(self.databases), query=query, partitions=str(self.partitions))
+        reader = spark.read.format("dbapi").schema(f"database string, {shape}").options(module=self.module, databases=json.dumps(self.databases), query=query, partitions=str(self.partitions), tasks=str(_TASKS * spark.sparkContext.defaultParallelism))
         for k, v in (("shard", shard), ("follow", follow)):
             reader = reader.option(k, v) if v else reader
         return reader.load()

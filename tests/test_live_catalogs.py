@@ -1,5 +1,6 @@
 """Catalogs of running databases: SQLite through DB-API, Derby through JDBC."""
 
+import json
 import sqlite3
 
 import pytest
@@ -60,6 +61,23 @@ def test_filters_of_a_reader():
     assert reader.statement(live.Share("b", 1), "named")[1] == {"p1": "x", "p2": "y"}
 
 
+def test_many_databases_share_tasks(spark, databases):
+    """A task reads several databases if there are many, each in fewer shares, and nothing is left out; their scripts are read by many tasks."""
+    options = {"module": "sqlite3", "databases": '{"a": {}, "b": {}, "c": {}, "d": {}, "e": {}}', "query": "SELECT 1 AS name", "shard": "q.oid % {n} = {i}", "partitions": "4", "tasks": "3"}
+    reader = live.DbApiReader(options, StructType.fromDDL("database string, name string"))
+    parts = reader.partitions()
+    assert len(parts) == 3 and sorted((s.database, s.i) for p in parts for s in (p, *p.then)) == [(d, 0) for d in "abcde"]
+    assert "q.oid % 1 = 0" in reader.statement(parts[0], "qmark")[0]
+    shape = StructType.fromDDL("database string, name string, oid bigint")
+    query = "SELECT rowid AS oid, name FROM sqlite_master WHERE type <> 'index'"
+    for tasks in ("1", "2", "5", "99"):
+        reader = live.DbApiReader({**options, "databases": json.dumps(databases.databases), "query": query, "tasks": tasks}, shape)
+        parts = reader.partitions()
+        rows = sorted(r[:2] for p in parts for r in reader.read(p))
+        assert rows == sorted((d, x) for d, t in (("one", "orders"), ("two", "sales")) for x in ("users", "Odd Name", t, "big")) and len(parts) <= int(tasks)
+    assert connector("sqlite").scripts(spark, databases, "main").rdd.getNumPartitions() >= 4
+
+
 def test_a_statement_for_each_object(spark, databases):
     """As SHOW CREATE: each listed object's statement is run where it was listed; what fails has no definition."""
     query = "SELECT rowid AS oid, 'main' AS schema, name, upper(type) AS kind, CASE WHEN name = 'users' THEN 'SELECT broken' ELSE 'SELECT 1, sql AS \"Create Table\", 2 FROM sqlite_master WHERE name = ''' || name || '''' END AS definition FROM sqlite_master WHERE type <> 'index'"
