@@ -40,7 +40,7 @@ def definitions(statements: DataFrame) -> DataFrame:
     foreign = F.flatten(F.transform(F.filter(of("FOREIGN KEY"), lambda p: p["ref_table"].isNotNull()), lambda p: pairs(p["cols"], p["ref_table"], p["ref_cols"])))
 
     def column(p: Column) -> Column:
-        kind, mods = text.normal_type(p["type"]), F.upper(F.regexp_replace(p["mods"], r"\s+", " "))
+        kind, mods = p["type"], p["mods"]
         counted = kind.rlike(r"\b(?:SERIAL|IDENTITY)\b") | mods.rlike(r"\bIDENTITY\b")
         own = mods.contains("PRIMARY KEY") | counted
         listed = F.array_contains(F.col("__keys"), p["column"])
@@ -50,7 +50,8 @@ def definitions(statements: DataFrame) -> DataFrame:
         return F.struct(p["ordinal"].alias("ordinal"), *[v.alias(n) for v, n in zip(values, COLUMN, strict=True)])
 
     wide = read.withColumns({"__keys": keys, "__singles": singles, "__foreign": foreign})
-    own = F.transform(F.filter(parts, lambda p: p["constraint"].isNull()), column)
+    plain = lambda p: p.withField("type", text.normal_type(p["type"])).withField("mods", F.upper(F.regexp_replace(p["mods"], r"\s+", " ")))
+    own = F.transform(F.transform(F.filter(parts, lambda p: p["constraint"].isNull()), plain), column)
     return wide.select(*statements.columns, F.col("list").isNotNull().alias("listed"), own.alias("columns"), F.coalesce("list.parents", F.array()).alias("parents"))
 
 
